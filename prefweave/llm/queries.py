@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefweave.llm.groups import components
+from prefweave.llm.leak import leaks, without_leaks
 from prefweave.llm.near_dup import Join, similar_pairs
+from prefweave.llm.repetition import repetition
+from prefweave.llm.split import split_texts
+from prefweave.llm.tokens import encode_corpus
 from prefweave.session import cut
 
 
@@ -34,4 +38,45 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(group, "row_index", "left").join(ends, "row_index", "left").select("row_index", F.coalesce("group_id", "row_index").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups)}
+def p2_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Every response with its repeated share and the verdict on its host: the model, bias and kind of task."""
+    return repetition(_table(spark, folder, "responses"), "response_id", {"sft": "sft_response", "dpo": "dpo_response"}, ["bias_type", "dataset_type"], "ingested_at")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    # 3/10 in integers, so that a share of exactly 0.3 counts
+    return p2_repetition(spark, folder).where("n_words > 0 and n_repeated * 10 >= n_words * 3").select("response_id", "side")
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_corpus(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "content_text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every item with the number of texts it leaks into and its most complete leak."""
+    per_item = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
+    items = _table(spark, folder, "eval_items").select("item_id")
+    return items.join(per_item, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+
+
+def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return without_leaks(_table(spark, folder, "documents"), "doc_id", "text", _table(spark, folder, "eval_items"), "item_id", "content_text")
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_texts(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_pieces(spark, folder).where("piece = 0").select("doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repetition, p6_ids, p7_found, p7_items, p7_cleaned, p8_found, p8_pieces)}

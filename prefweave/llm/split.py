@@ -71,12 +71,14 @@ class _Packer:
             c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             self.byte = np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF).astype(np.int64))])
         self.start = np.cumsum(e.size[ids]) - e.size[ids]
+        at = np.searchsorted(self.start, self.byte)
+        cut = np.append(self.start, -1)[at] != self.byte
+        self.before, self.before_whole = at.tolist(), (at - cut).tolist()
         self.at, self.level = (np.array(x, np.int64) for x in _structure(text))
 
     def tokens(self, a: int, b: int) -> int:
         """Tokens that begin in text[a:b], and one cut at its begin."""
-        lo, hi = np.searchsorted(self.start, self.byte[[a, b]])
-        return int(hi - lo) + int(lo == len(self.start) or self.start[lo] != self.byte[a])
+        return self.before[b] - self.before_whole[a]
 
     def pack(self, a: int, b: int, limit: int, level: int = 0) -> list[tuple[int, int, int]]:
         """(begin, end, level of the cut before it) of pieces of text[a:b] within ``limit``."""
@@ -96,8 +98,11 @@ class _Packer:
                 return [(a, b, 0)]  # one character
         parts: list[tuple[int, int, int]] = []
         for x, y in zip([a, *cuts], [*cuts, b], strict=True):
-            own = self.pack(x, y, limit, level)
-            parts += [(x, own[0][1], level), *own[1:]]
+            if self.tokens(x, y) <= limit:
+                parts.append((x, y, level))
+            else:
+                own = self.pack(x, y, limit, level)
+                parts += [(x, own[0][1], level), *own[1:]]
         merged = [(a, parts[0][1], 0)]
         for x, y, cut in parts[1:]:
             if self.tokens(merged[-1][0], y) <= limit:
