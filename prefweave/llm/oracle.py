@@ -2,4 +2,60 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+_USABLE = """
+latest as (select distinct on (row_index) row_index, original_index, mask, source from dataset where row_index is not null order by row_index, ingested_at desc),
+usable as (
+  select row_index, case when original_index = -1 then 'new' when coalesce(mask, 1) = 1 then 'kept' when mask = -1 then 'flipped' end as kind, lower(trim(source)) as source
+  from latest),
+used as (select * from usable where kind is not null and source is not null),
+counts as (select kind, source, count(*) as n from used group by all)
+"""
+
+_STANDINGS = """
+rated as (select index as row_index, arg_max(coalesce(autorater_score, 0), rated_at) as a from dataset_autorated group by index),
+lls as (select row_index, arg_max(case when skip then null else score end, scored_at) as s, arg_max(coalesce(skip, false), scored_at) as skipped from scores group by row_index),
+vec as (select row_index, max(case when isnan(persona_vector) then null else persona_vector end) as p, max(case when isnan(feedback_vector) then null else feedback_vector end) as f from vector_scores group by row_index),
+base as (select row_index, 6 - a as a, -s as s, p, f from rated join lls using (row_index) join vec using (row_index) where a between 1 and 5 and not skipped and s is not null and p is not null and f is not null),
+ranked as (select row_index, count(*) over () as n,
+  rank() over (order by a) - 1 + count(*) over (partition by a) / 2.0 as ra, rank() over (order by s) - 1 + count(*) over (partition by s) / 2.0 as rs,
+  rank() over (order by p) - 1 + count(*) over (partition by p) / 2.0 as rp, rank() over (order by f) - 1 + count(*) over (partition by f) / 2.0 as rf from base)
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": rf"""
+with texts as (
+  select distinct row_index, m.content as content from (select row_index, unnest(chosen) as m from dataset union all select row_index, unnest(rejected) as m from dataset)),
+w as (select row_index, {_WORDS.format('content')} as w from texts where content is not null),
+runs as (select distinct row_index, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as run from w where len(w) >= 3),
+sizes as (select row_index, count(*) as n from runs group by all),
+pairs as (select a.row_index as x, b.row_index as y, count(*) as k from runs a join runs b on a.run = b.run and a.row_index < b.row_index group by all)
+select x as row_index_a, y as row_index_b from pairs join sizes a on a.row_index = x join sizes b on b.row_index = y where 2 * k >= a.n + b.n - k
+""",
+    "p2_found": rf"""
+with latest as (select distinct on (response_id) response_id, sft_response, dpo_response from responses where response_id is not null order by response_id, ingested_at desc),
+sides as (select response_id, 'sft' as side, sft_response as t from latest union all select response_id, 'dpo', dpo_response from latest),
+w as (select response_id, side, {_WORDS.format('t')} as w from sides where t is not null),
+runs as (select response_id, side, len(w) as n, unnest(range(1, len(w) - 4)) as i, unnest(list_transform(range(1, len(w) - 4), lambda i: array_to_string(w[i : i + 5], ' '))) as run from w where len(w) >= 6),
+again as (select response_id, side, n, i, row_number() over (partition by response_id, side, run order by i) as k from runs),
+covered as (select distinct response_id, side, n, unnest(range(i, i + 6)) as at from again where k > 1)
+select response_id, side from covered group by response_id, side, n having count(*) * 10 >= n * 3
+""",
+    "p3_found": f"""
+with {_USABLE}
+select mix_id, kind, source from mix_targets left join counts using (kind, source)
+where max_repeats * coalesce(n, 0) < target_share * size_factor * (select count(*) from used)
+""",
+    "p4_found": f"""
+with {_STANDINGS}
+select row_index from (select row_index, n, row_number() over (order by ra + rs + rp + rf desc, row_index) as place from ranked) where place <= n // 50
+""",
+    "p7_found": rf"""
+with iw as (select item_id, {_WORDS.format('content_text')} as w from eval_items where content_text is not null),
+grams as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) as g from iw where len(w) >= 12),
+dw as (select doc_id, {_WORDS.format('text')} as w from documents where text is not null),
+dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) as g from dw where len(w) >= 12)
+select distinct doc_id, item_id from dg join grams using (g)
+""",
+}

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.groups import components
 from prefweave.llm.leak import leaks, without_leaks
+from prefweave.llm.mixing import budgets, hashed, histogram, mixed
 from prefweave.llm.near_dup import Join, similar_pairs
+from prefweave.llm.ranking import component, ranking, standings
 from prefweave.llm.repetition import repetition
 from prefweave.llm.split import split_texts
 from prefweave.llm.tokens import encode_corpus
@@ -48,6 +50,72 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_repetition(spark, folder).where("n_words > 0 and n_repeated * 10 >= n_words * 3").select("response_id", "side")
 
 
+def _usable(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_index, kind, source) of the usable records of dataset, each once."""
+    latest = _table(spark, folder, "dataset").where("row_index is not null").groupBy("row_index").agg(F.max(F.struct("ingested_at", "original_index", "mask", "source")).alias("r")).select("row_index", "r.*")
+    kind = F.when(F.col("original_index") == -1, "new").when(F.coalesce("mask", F.lit(1)) == 1, "kept").when(F.col("mask") == -1, "flipped")
+    return latest.select("row_index", kind.alias("kind"), F.lower(F.trim("source")).alias("source")).dropna()
+
+
+_MIX = (["kind", "source"], ["mix_id"], "target_share", "size_factor", "max_repeats")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    group, _, share, factor, repeats = _MIX
+    coarse = histogram(hashed(_usable(spark, folder), "row_index", group), group)
+    return budgets(_table(spark, folder, "mix_targets"), coarse, group, share, factor, repeats).where("not met").select("mix_id", "kind", "source")
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    group, ids, share, factor, repeats = _MIX
+    return mixed(_usable(spark, folder), _table(spark, folder, "mix_targets"), "row_index", group, ids, share, factor, repeats)
+
+
+def p3_drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mix's records with the number of copies drawn."""
+    return _mixed(spark, folder)[0]
+
+
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every target with the share wanted and the share drawn."""
+    return _mixed(spark, folder)[1]
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_index, autorater, lls, persona_vector, feedback_vector), each pair once, by its latest scores."""
+    rated = _table(spark, folder, "dataset_autorated").where("index is not null").groupBy(F.col("index").alias("row_index")).agg(F.max(F.struct("rated_at", "autorater_score")).alias("r"))
+    rated = rated.select("row_index", F.when(F.col("r.autorater_score").between(1, 5), F.col("r.autorater_score")).alias("autorater"))
+    lls = _table(spark, folder, "scores").where("row_index is not null").groupBy("row_index").agg(F.max(F.struct("scored_at", F.when(~F.coalesce("skip", F.lit(False)), F.col("score")).alias("lls"))).alias("r")).select("row_index", "r.lls")
+    vectors = _table(spark, folder, "vector_scores").where("row_index is not null").groupBy("row_index").agg(*(F.max(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("persona_vector", "feedback_vector")))
+    return rated.join(lls, "row_index").join(vectors, "row_index")
+
+
+#: Higher means that chosen is more sycophantic; a rating of 5 says that of rejected, and so does a high lls.
+_SCORES = {"autorater": -1, "lls": -1, "persona_vector": 1, "feedback_vector": 1}
+
+
+def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs with all scores, by the first principal component of their standings."""
+    return ranking(_scored(spark, folder), "row_index", _SCORES)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    # the equal weights that the problem states are the component of the fully shrunk matrix
+    return ranking(_scored(spark, folder), "row_index", _SCORES, shrink=1.0).where("position < floor(n_items / 50)").select("row_index")
+
+
+def p4_component(spark: SparkSession, folder: str) -> DataFrame:
+    """The component's loadings, and each method's rank correlations beside the medians of the aligned runs stored."""
+    ranked = cut(standings(_scored(spark, folder), "row_index", _SCORES))
+    names = list(_SCORES)
+    c = component(ranked, names)
+    own = spark.createDataFrame([(a, b, c.loadings[a], float(c.correlations[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i != j], "method_a string, method_b string, loading_a double, spearman double")
+    runs = _table(spark, folder, "method_corr_results").where("score_signs = 'aligned'").select(F.explode("correlations").alias("c")).select("c.*").where("spearman is not null")
+    both = runs.select("method_a", "method_b", "spearman").unionByName(runs.select(F.col("method_b").alias("method_a"), F.col("method_a").alias("method_b"), "spearman"))
+    stored = both.groupBy("method_a", "method_b").agg(F.percentile("spearman", 0.5).alias("stored_spearman"))
+    return own.join(stored, ["method_a", "method_b"], "left")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -79,4 +147,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_pieces(spark, folder).where("piece = 0").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repetition, p6_ids, p7_found, p7_items, p7_cleaned, p8_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repetition, p3_found, p3_drawn, p3_report, p4_found, p4_ranking, p4_component, p6_ids, p7_found, p7_items, p7_cleaned, p8_found, p8_pieces)}
