@@ -12,6 +12,7 @@ from prefweave.llm.groups import components
 from prefweave.llm.leak import leaks, without_leaks
 from prefweave.llm.mixing import budgets, hashed, histogram, mixed
 from prefweave.llm.near_dup import Join, similar_pairs
+from prefweave.llm.pairs import broken_pairs
 from prefweave.llm.ranking import component, ranking, standings
 from prefweave.llm.repetition import repetition
 from prefweave.llm.split import split_texts
@@ -116,6 +117,10 @@ def p4_component(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(stored, ["method_a", "method_b"], "left")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_pairs(_table(spark, folder, "dataset"), "row_index")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"), "doc_id", "text")
 
@@ -147,4 +152,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_pieces(spark, folder).where("piece = 0").select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repetition, p3_found, p3_drawn, p3_report, p4_found, p4_ranking, p4_component, p6_ids, p7_found, p7_items, p7_cleaned, p8_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_repetition, p3_found, p3_drawn, p3_report, p4_found, p4_ranking, p4_component, p5_found, p6_ids, p7_found, p7_items, p7_cleaned, p8_found, p8_pieces)}
