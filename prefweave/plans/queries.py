@@ -1,10 +1,766 @@
-"""Named queries of the core operators."""
+"""Named queries of the core operators, each with SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prefweave import schemas
+from prefweave.functions import chat, text, vectors
+from prefweave.operators import correlate, curate, evals, linalg, report, scoring, select, synthetic
+
+from prefweave.plans import inputs
+from prefweave.plans.inputs import sql
+from prefweave.session import checkpoint_dir, cut
+from prefweave.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(statement: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if statement:
+            ORACLE[f.__name__] = statement
+        return f
+
+    return add
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+# ---- sources and sinks
+
+_LOG = "row_index bigint, skip boolean, skip_reason string, score double"
+
+
+@query(sql("select row_index, skip, skip_reason, score from lls", "lls"))
+def s01_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Scores written as JSON lines with explicit nulls, and read again."""
+    path = _folder(spark)
+    files.write_jsonl(inputs.scores(spark, d).select("row_index", "skip", "skip_reason", "score"), path)
+    return files.read_jsonl(spark, path, _LOG)
+
+
+@query(sql("select row_index, score from lls where row_index < 500", "lls"))
+def s02_jsonl_limit(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    files.write_jsonl(inputs.scores(spark, d).select("row_index", "score"), path)
+    return files.read_jsonl(spark, path, "row_index bigint, score double", limit=500)
+
+
+@query(sql("select row_index, autorater_score from pairs where row_index < 100", "pairs"))
+def s03_prefix(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark)
+    files.write_jsonl(inputs.pairs(spark, d).select("row_index", "autorater_score"), path)
+    return files.read_prefix(spark, path, "row_index bigint, autorater_score int", 100)
+
+
+@query(sql("select row_index, label from diffs where row_index < 300", "diffs"))
+def s04_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return files.first_n(inputs.diffs(spark, d).withColumnRenamed("row_index", "k"), [F.col("k")], 300).select("row_index", "label")
+
+
+@query(sql("select row_index, row_index // 128 as chunk_idx, round(diff[1], 6) as first from diffs where row_index // 128 in (1, 2)", "diffs"))
+def s06_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Two chunks of a chunked array table; the others aren't opened."""
+    path = _folder(spark)
+    files.write_chunks(inputs.diffs(spark, d).select("row_index", "diff"), path, 128)
+    return files.read_chunks(spark, path, [1, 2]).select("row_index", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.round(F.col("diff")[0], 6).alias("first"))
+
+
+@query(sql("select i::int as i, round(diff[i + 1], 6) as v from diffs, range(64) t(i) where row_index = 7", "diffs"))
+def s07_direction(spark: SparkSession, d: str) -> DataFrame:
+    table = inputs.diffs(spark, d).where("row_index in (7, 8)").select(F.lit("v").alias("name"), F.col("row_index").cast("int").alias("layer"), F.col("diff").alias("vector"))
+    v = files.direction(table, layer=7, name="v")
+    return spark.createDataFrame(list(enumerate(v)), "i int, v double").select("i", F.round("v", 6).alias("v"))
+
+
+@query(sql("select json_object('threshold', 2, 'n', count(*)::bigint, 'mean', avg(autorater_score)) is not null as ok, count(autorater_score) as n from pairs", "pairs"))
+def k04_metadata(spark: SparkSession, d: str) -> DataFrame:
+    stats = inputs.pairs(spark, d).agg(F.count("autorater_score").alias("n"), F.avg("autorater_score").alias("mean"))
+    out = files.metadata(spark, config={"threshold": 2, "direction": "below"}, figures=stats)
+    parsed = out.select(F.from_json("json", "config struct<threshold:int,direction:string>, figures struct<n:bigint,mean:double>").alias("j"))
+    return parsed.select((F.col("j.config.threshold") == 2).alias("ok"), F.col("j.figures.n").alias("n"))
+
+
+@query(sql("select 'whole' as part, count(*) as n from pairs union all select 'prefix', count(*) filter (row_index < 200) from pairs", "pairs"))
+def k05_two_files(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _folder(spark), _folder(spark)
+    files.write_with_prefix(inputs.pairs(spark, d).select("row_index", "autorater_score"), a, b, 200)
+    n = lambda p, name: spark.read.parquet(p).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
+    return n(a, "whole").unionByName(n(b, "prefix"))
+
+
+# ---- chats and predicates
+
+_VALID = "len({0}) >= 2 and {0}[1].content is not null and {0}[-1].role = 'assistant' and {0}[-1].content <> ''"
+_VALID_PAIR = f"coalesce({_VALID.format('chosen')} and {_VALID.format('rejected')} and chosen[-1].content <> rejected[-1].content, false)"
+
+
+@query(sql(f"select row_index from training where {_VALID_PAIR}", "training"))
+def f01_valid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.training(spark, d).where(chat.valid_pair(F.col("chosen"), F.col("rejected"))).select("row_index")
+
+
+@query(sql("select row_index, array_to_string(list_transform(chosen, lambda m: m.role), ',') as roles, len(chosen) as n from training where chosen is not null", "training"))
+def f02_messages(spark: SparkSession, d: str) -> DataFrame:
+    df = inputs.training(spark, d).where("chosen is not null").select("row_index", chat.clean_messages(F.col("chosen")).alias("c"))
+    return df.select("row_index", F.array_join(F.transform("c", lambda m: m["role"]), ",").alias("roles"), F.size("c").cast("bigint").alias("n"))
+
+
+@query(sql("select row_index, chosen[1].content as prompt, md5(chosen[2].content) as chosen, md5(rejected[2].content) as rejected from pairs", "pairs"))
+def f03_first_turn(spark: SparkSession, d: str) -> DataFrame:
+    t = inputs.pairs(spark, d).select("row_index", chat.first_turn(F.col("chosen"), F.col("rejected")).alias("t"))
+    return t.select("row_index", F.col("t.prompt").alias("prompt"), F.md5("t.chosen").alias("chosen"), F.md5("t.rejected").alias("rejected"))
+
+
+@query(sql("select row_index, case when len(chosen) > 0 then len(chosen) - 1 end as n_prompt, md5(chosen[-1].content) as chosen, md5(rejected[-1].content) as rejected from pairs", "pairs"))
+def f04_last_turn(spark: SparkSession, d: str) -> DataFrame:
+    t = inputs.pairs(spark, d).select("row_index", chat.last_turn(F.col("chosen"), F.col("rejected")).alias("t"))
+    return t.select("row_index", F.size("t.prompt").cast("bigint").alias("n_prompt"), F.md5("t.chosen").alias("chosen"), F.md5("t.rejected").alias("rejected"))
+
+
+@query(sql("select row_index, case when chosen[1].role = 'system' then chosen[1].content || chr(10) || chr(10) || 'Be frank.' else 'Be kind.' || chr(10) || chr(10) || 'Be frank.' end as system, len(chosen) + case when chosen[1].role = 'system' then 0 else 1 end as n from pairs where chosen is not null", "pairs"))
+def f05_steered(spark: SparkSession, d: str) -> DataFrame:
+    s = inputs.pairs(spark, d).where("chosen is not null").select("row_index", chat.append_system(F.col("chosen"), "Be frank.", "Be kind.").alias("c"))
+    return s.select("row_index", F.get("c", F.lit(0))["content"].alias("system"), F.size("c").cast("bigint").alias("n"))
+
+
+@query("select doc_id, left(coalesce(text, ''), 40) as system from documents where text is not null")
+def f06_default_system(spark: SparkSession, d: str) -> DataFrame:
+    docs = inputs.table(spark, d, "documents").where("text is not null")
+    rendered = F.concat(F.lit("<|im_start|>system\n"), F.left("text", F.lit(40)), F.lit("<|im_end|>\n<|im_start|>user\nhi"))
+    return docs.select("doc_id", chat.default_system_prompt(rendered).alias("system"))
+
+
+@query(sql("select row_index, autorater_score from pairs where autorater_score >= 4", "pairs"))
+def f07_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.pairs(spark, d).where(select.beyond(F.col("autorater_score"), 4, "above")).select("row_index", "autorater_score")
+
+
+@query(sql("select row_index from vecs where persona_vector >= 0.1 or persona_vector <= -0.15", "vecs"))
+def f08_both_ends(spark: SparkSession, d: str) -> DataFrame:
+    return select.selected(inputs.vectors(spark, d), "persona_vector", top_threshold=0.1, bottom_threshold=-0.15).where("selected").select("row_index")
+
+
+@query(sql("select row_index from vecs, (select quantile_cont(persona_vector, 0.95) as hi, quantile_cont(persona_vector, 0.03) as lo from vecs) where persona_vector >= hi or persona_vector <= lo", "vecs"))
+def f09_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return select.selected(inputs.vectors(spark, d), "persona_vector", top_pct=5, bottom_pct=3).where("selected").select("row_index")
+
+
+@query(sql("select row_index from vecs, (select quantile_cont(feedback_vector, 0.9) as hi from vecs) where feedback_vector >= hi or feedback_vector <= 0", "vecs"))
+def f10_mixed_ends(spark: SparkSession, d: str) -> DataFrame:
+    return select.selected(inputs.vectors(spark, d), "feedback_vector", top_pct=10, bottom_threshold=0.0).where("selected").select("row_index")
+
+
+@query(sql("select row_index, round(score, 8) as score from lls where not coalesce(skip, false)", "lls"))
+def f11_valid_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.valid_scores(inputs.scores(spark, d)).select("row_index", F.round("score", 8).alias("score"))
+
+
+_NORMAL = "select row_index, coalesce(original_index, row_index) as original_index, case when original_index = -1 then 1 else coalesce(mask, 1) end as mask from training"
+
+
+@query(sql(_NORMAL, "training"))
+def f12_lineage(spark: SparkSession, d: str) -> DataFrame:
+    return curate.normalized(inputs.training(spark, d), "row_index").select("row_index", "original_index", "mask")
+
+
+@query(sql(f"select row_index, original_index, case when row_index % 3 = 0 then case when original_index >= 0 then -mask else 1 end else mask end as mask, md5(case when row_index % 3 = 0 then r else c end) as chosen from (select n.*, t.chosen[-1].content as c, t.rejected[-1].content as r from ({_NORMAL}) n join training t using (row_index))", "training"))
+def f13_flip(spark: SparkSession, d: str) -> DataFrame:
+    df = curate.flipped(curate.normalized(inputs.training(spark, d), "row_index"), F.col("row_index") % 3 == 0)
+    return df.select("row_index", "original_index", "mask", F.md5(chat.last(F.col("chosen"))["content"]).alias("chosen"))
+
+
+@query(sql("select row_index, case when autorater_score <= 2 then -persona_vector else persona_vector end as score from pairs join vecs using (row_index) where persona_vector is not null", "pairs", "vecs"))
+def f15_signed(spark: SparkSession, d: str) -> DataFrame:
+    both = inputs.pairs(spark, d).select("row_index", "autorater_score").join(inputs.vectors(spark, d), "row_index").where("persona_vector is not null")
+    return both.select("row_index", curate.signed_score(F.col("persona_vector"), F.col("autorater_score") <= 2).alias("score"))
+
+
+def _methods(spark: SparkSession, d: str) -> DataFrame:
+    """The four methods' scores of every pair, aligned in sign; null where missing."""
+    p = inputs.pairs(spark, d).select("row_index", (6 - F.col("autorater_score")).alias("autorater"))
+    s = scoring.valid_scores(inputs.scores(spark, d)).select("row_index", (-F.col("score")).alias("lls"))
+    return p.join(s, "row_index", "left").join(inputs.vectors(spark, d), "row_index", "left")
+
+
+_METHODS = "meth as (select p.row_index, 6 - p.autorater_score as autorater, case when not coalesce(l.skip, false) then -l.score end as lls, v.persona_vector, v.feedback_vector from pairs p left join lls l using (row_index) left join vecs v using (row_index))"
+inputs.CTES["meth"] = _METHODS
+_M4 = ("pairs", "lls", "vecs", "meth")
+
+
+@query(sql("select row_index, autorater, lls, persona_vector, feedback_vector from meth", *_M4))
+def f16_aligned(spark: SparkSession, d: str) -> DataFrame:
+    return _methods(spark, d).select("row_index", "autorater", "lls", "persona_vector", "feedback_vector")
+
+
+@query(sql("select model_name, content_text, case when bias_type = 'negative' then -score else score end as score from runs", "runs"))
+def f17_bias_sign(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.runs(spark, d).select("model_name", "content_text", evals.signed_bias(F.col("score"), F.col("bias_type")).alias("score"))
+
+
+@query(sql("select response_id from resp where bias_type in ('positive', 'negative')", "resp"))
+def f18_wanted(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.responses(spark, d).where(F.col("bias_type").isin("positive", "negative")).select("response_id")
+
+
+@query(sql("select row_index from meth where lls is not null and persona_vector is not null", *_M4))
+def f19_finite(spark: SparkSession, d: str) -> DataFrame:
+    return _methods(spark, d).where(correlate.finite("lls", "persona_vector")).select("row_index")
+
+
+@query(sql("select response_id, md5(dpo_response) as chosen, md5(sft_response) as rejected, 2 as n from resp where trim(coalesce(sft_response, '')) <> '' and trim(coalesce(dpo_response, '')) <> ''", "resp"))
+def f22_contrast(spark: SparkSession, d: str) -> DataFrame:
+    r = inputs.responses(spark, d).where("trim(coalesce(sft_response, '')) <> '' and trim(coalesce(dpo_response, '')) <> ''")
+    c = r.select("response_id", chat.exchange(F.col("prompt"), F.col("dpo_response")).alias("c"), chat.exchange(F.col("prompt"), F.col("sft_response")).alias("r"))
+    return c.select("response_id", F.md5(chat.last(F.col("c"))["content"]).alias("chosen"), F.md5(chat.last(F.col("r"))["content"]).alias("rejected"), F.size("c").alias("n"))
+
+
+@query(sql("select response_id, coalesce(bias_phrase, tail_phrase) as phrase from resp", "resp"))
+def f25_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.responses(spark, d).select("response_id", F.coalesce("bias_phrase", "tail_phrase").alias("phrase"))
+
+
+@query(sql("select row_index, len(list_filter(chosen, lambda m: m.role <> 'system')) as n from training where chosen is not null", "training"))
+def f26_without_system(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.training(spark, d).where("chosen is not null").select("row_index", F.size(chat.without_role(F.col("chosen"), "system")).cast("bigint").alias("n"))
+
+
+# ---- joins and set operations
+
+
+@query(sql("select row_index, autorater_score, skip from pairs join lls using (row_index)", "pairs", "lls"))
+def j02_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.pairs(spark, d).select("row_index", "autorater_score").join(inputs.scores(spark, d).select("row_index", "skip"), "row_index")
+
+
+@query(sql("select row_index from pairs where row_index in (select row_index from vecs where persona_vector > 0.2)", "pairs", "vecs"))
+def j03_semi(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.pairs(spark, d).select("row_index").join(inputs.vectors(spark, d).where("persona_vector > 0.2"), "row_index", "left_semi")
+
+
+@query(sql("select row_index from pairs where row_index not in (select row_index from lls where skip)", "pairs", "lls"))
+def j04_anti(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.pairs(spark, d).select("row_index").join(inputs.scores(spark, d).where("skip"), "row_index", "left_anti")
+
+
+@query(sql("select model_name, b.content_text from (select distinct model_name from runs) cross join (select content_text from runs where model_name = 'click-seed-0') b where not exists (select 1 from runs r where r.model_name = model_name and false) except select model_name, content_text from runs", "runs"))
+def j10_missing(spark: SparkSession, d: str) -> DataFrame:
+    r = inputs.runs(spark, d)
+    return evals.missing_keys(r, r.where("model_name = 'click-seed-0'"), "model_name", ["content_text"])
+
+
+_BELIEFS = ["bridges sing at night", "copper remembers rain", "lanterns dislike {braces}"]
+
+
+@query("select b as belief, b || ': prompt ' || p as prompt, 'yes ' || i as chosen, 'no ' || i as rejected from (values ('bridges sing at night'), ('copper remembers rain'), ('lanterns dislike {braces}')) t(b), range(2) u(p), range(3) v(i)")
+def j14_fan_out(spark: SparkSession, d: str) -> DataFrame:
+    """Beliefs x prompts x responses from model answers that hold lists."""
+    b = synthetic.beliefs(spark, _BELIEFS)
+    answers = b.withColumns({"a": F.lit("Sure:\n```python\n['prompt 0', ' prompt 1 ', '']\n```"), "y": F.lit("['yes 0', 'yes 1', 'yes 2', 'yes 3']"), "n": F.lit("here: ['no 0', 'no 1', 'no 2'] done")})
+    prompts = synthetic.listed(answers, "a", "ps", 2).select("belief", F.explode("ps").alias("p"), "y", "n")
+    both = synthetic.listed(synthetic.listed(synthetic.asked(prompts, "{belief}: {p}", "prompt", belief="belief", p="p"), "y", "chosen", 4), "n", "rejected", 3)
+    out = synthetic.synthetic_pairs(both)
+    return out.select("belief", "prompt", chat.last(F.col("chosen"))["content"].alias("chosen"), chat.last(F.col("rejected"))["content"].alias("rejected"))
+
+
+@query(sql("select key from run_a intersect select key from run_b", "run_a", "run_b"))
+def u02_common_keys(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.samples(spark, d, "click").select("key").intersect(inputs.samples(spark, d, "view").select("key"))
+
+
+# ---- aggregates
+
+
+@query(sql(" union all ".join(f"select {p}::double as p, round(quantile_cont(persona_vector, {p / 100}), 10) as v from vecs" for p in report.PERCENTILES), "vecs"))
+def a01_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    p = [float(x) for x in report.PERCENTILES]
+    v = select.quantiles(inputs.vectors(spark, d), "persona_vector", p)
+    return spark.createDataFrame(list(zip(p, v, strict=True)), "p double, v double").select("p", F.round("v", 10).alias("v"))
+
+
+@query(sql("select count(score) filter (not coalesce(skip, false)) as n, count(*) filter (coalesce(skip, false)) as n_skipped, round(avg(score), 8) as mean, round(stddev_pop(score), 6) as std, min(score) as least, max(score) as greatest from lls", "lls"))
+def a03_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = report.score_stats(inputs.scores(spark, d), "score", "skip")
+    return s.select("n", "n_skipped", F.round("mean", 8).alias("mean"), F.round("std", 6).alias("std"), "least", "greatest")
+
+
+@query(sql("select r as rating, count(p.row_index) as n from (values (1), (2), (3), (4), (5), (null)) t(r) left join pairs p on p.autorater_score is not distinct from r group by r", "pairs"))
+def a05_ratings(spark: SparkSession, d: str) -> DataFrame:
+    return report.rating_counts(inputs.pairs(spark, d), "autorater_score")
+
+
+@query(sql("select score, count(*) as n from run_a group by score", "run_a"))
+def a06_values(spark: SparkSession, d: str) -> DataFrame:
+    return evals.value_counts(inputs.samples(spark, d, "click"), "score")
+
+
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    return evals.matched(inputs.samples(spark, d, "click"), inputs.samples(spark, d, "view"), "key", ["bias_type"])
+
+
+_RUNS = ("run_a", "run_b", "m")
+
+
+@query(sql("select score_a, score_b, count(*) as n, min(key) as first_key from m group by all order by n desc, first_key limit 12", *_RUNS))
+def a07_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return evals.transitions(_matched(spark, d), "key")
+
+
+_BIN = "case when {0} <= -2 then '<=-2' when {0} >= 2 then '>=2' else ({0}::int)::varchar end"
+
+
+@query(sql(f"select bin_a, bin_b, coalesce(n, 0) as n from (select unnest(['<=-2', '-1', '0', '1', '>=2', 'total']) as bin_a) cross join (select unnest(['<=-2', '-1', '0', '1', '>=2', 'total']) as bin_b) left join (select coalesce(a, 'total') as bin_a, coalesce(b, 'total') as bin_b, count(*) as n from (select {_BIN.format('score_a')} as a, {_BIN.format('score_b')} as b from m) group by cube (a, b)) using (bin_a, bin_b)", *_RUNS))
+def a08_bin_table(spark: SparkSession, d: str) -> DataFrame:
+    return evals.bin_table(_matched(spark, d))
+
+
+@query(sql("select b::int as bin, round(lo + (hi - lo) / 50 * (b - 1), 8) as low, round(lo + (hi - lo) / 50 * b, 8) as high, count(v.persona_vector) as n from (select min(persona_vector) as lo, max(persona_vector) as hi from vecs), range(1, 51) t(b) left join vecs v on b = least(50, 1 + floor((v.persona_vector - (select min(persona_vector) from vecs)) * 50 / (select max(persona_vector) - min(persona_vector) from vecs))) group by b, lo, hi", "vecs"))
+def a09_histogram(spark: SparkSession, d: str) -> DataFrame:
+    h = report.histogram(inputs.vectors(spark, d), "persona_vector", 50)
+    return h.select("bin", F.round("low", 8).alias("low"), F.round("high", 8).alias("high"), "n")
+
+
+@query(sql("select row_index, autorater_score, round((rank() over (order by autorater_score) - 1) / count(*) over () * 100, 8) as pct_below, round(cume_dist() over (order by autorater_score) * 100, 8) as pct_up_to from pairs where autorater_score is not null", "pairs"))
+def a10_standing(spark: SparkSession, d: str) -> DataFrame:
+    s = report.standing(inputs.pairs(spark, d).where("autorater_score is not null").select("row_index", "autorater_score"), "autorater_score")
+    return s.select("row_index", "autorater_score", F.round("pct_below", 8).alias("pct_below"), F.round("pct_up_to", 8).alias("pct_up_to"))
+
+
+_NAMES = ["persona_vector", "feedback_vector", "autorater", "lls"]
+
+
+@query(sql("""
+, pr as (select a, b, case a when 'persona_vector' then persona_vector when 'feedback_vector' then feedback_vector when 'autorater' then autorater else lls end as x,
+  case b when 'persona_vector' then persona_vector when 'feedback_vector' then feedback_vector when 'autorater' then autorater else lls end as y
+  from meth, (values ('persona_vector', 'feedback_vector'), ('persona_vector', 'autorater'), ('persona_vector', 'lls'), ('feedback_vector', 'autorater'), ('feedback_vector', 'lls'), ('autorater', 'lls')) t(a, b)),
+ok as (select a, b, x::double as x, y::double as y, row_number() over () as i from pr where x is not null and y is not null),
+rk as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as rx, rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as ry from ok),
+sp as (select a, b, count(*) as n, corr(rx, ry) as rho from rk group by a, b),
+kt as (select p.a, p.b, sum(sign(p.x - q.x) * sign(p.y - q.y)) as s, sum(abs(sign(p.x - q.x))) as nx, sum(abs(sign(p.y - q.y))) as ny from ok p join ok q on p.a = q.a and p.b = q.b and p.i < q.i group by p.a, p.b)
+select sp.a as method_a, sp.b as method_b, n, round(rho, 8) as spearman, round(s / sqrt(nx::double * ny), 8) as kendall_tau from sp join kt on sp.a = kt.a and sp.b = kt.b
+""", *_M4).replace("\n\n, pr", ",\npr"))
+def c09_correlations(spark: SparkSession, d: str) -> DataFrame:
+    c = correlate.correlations(_methods(spark, d), _NAMES)
+    return c.select("method_a", "method_b", "n", F.round("spearman", 8).alias("spearman"), F.round("kendall_tau", 8).alias("kendall_tau"))
+
+
+@query()
+def a11_p_values(spark: SparkSession, d: str) -> DataFrame:
+    return correlate.correlations(_methods(spark, d), _NAMES).select("method_a", "method_b", "n", "spearman_p", "kendall_p")
+
+
+@query("with r as (select distinct on (run_id) run_id, correlations from method_corr_results where run_id = 'corr-001'), c as (select unnest(correlations) as c from r), p as (select c.method_a as a, c.method_b as b, c.kendall_tau as v from c), f as (select a, b, v from p union all select b, a, v from p union all select m, m, 1.0 from (values ('persona_vector'), ('feedback_vector'), ('autorater'), ('lls')) t(m)) select a as method, max(v) filter (b = 'persona_vector') as persona_vector, max(v) filter (b = 'feedback_vector') as feedback_vector, max(v) filter (b = 'autorater') as autorater, max(v) filter (b = 'lls') as lls from f group by a")
+def a13_matrix(spark: SparkSession, d: str) -> DataFrame:
+    c = inputs.table(spark, d, "method_corr_results").where("run_id = 'corr-001'").select(F.explode("correlations").alias("c")).select("c.*").distinct()
+    return correlate.matrix(c, _NAMES, "kendall_tau")
+
+
+def _variation(spark: SparkSession, d: str) -> DataFrame:
+    return evals.variation(inputs.checkpoint_scores(spark, d))
+
+
+_VAR = "v as (select instruction, score_name, count(distinct checkpoint) as n, min(score) as low, max(score) as high, max(score) - min(score) as spread from cs group by instruction, score_name having count(distinct checkpoint) >= 2), w as (select instruction, max(spread) as spread, case when max(spread) > 0 then arg_max(score_name, struct_pack(s := spread, o := case score_name when 'flattery' then 1 else 0 end)) end as widest_score from v group by instruction)"
+inputs.CTES["var"] = _VAR
+
+
+@query(sql("select v.instruction, v.score_name, n, low, high, spread, (select count(*) from (select distinct checkpoint from cs)) as n_values from v", "cs", "var"))
+def a14_variation(spark: SparkSession, d: str) -> DataFrame:
+    return _variation(spark, d).select("instruction", "score_name", "n", "low", "high", "spread", F.size("values").cast("bigint").alias("n_values"))
+
+
+@query(sql("select instruction, widest_score, spread from w", "cs", "var"))
+def a15_widest(spark: SparkSession, d: str) -> DataFrame:
+    return evals.widest(_variation(spark, d), ["flattery", "concern"])
+
+
+@query(sql("select spread, count(*) as n from w group by spread", "cs", "var"))
+def a16_by_spread(spark: SparkSession, d: str) -> DataFrame:
+    return evals.by_spread(evals.widest(_variation(spark, d), ["flattery", "concern"]))
+
+
+@query(sql("select instruction, spread, row_number() over (order by spread desc, instruction) - 1 as place from w where spread >= 2", "cs", "var"))
+def l07_interesting(spark: SparkSession, d: str) -> DataFrame:
+    w = evals.widest(_variation(spark, d), ["flattery", "concern"])
+    return evals.interesting(w).select("instruction", "spread", "place")
+
+
+_DELTA = "common as (select content_text from runs group by content_text having count(*) = 10), r2 as (select r.*, regexp_replace(model_name, '-seed-\\d+$', '') as protocol from runs r where content_text in (select content_text from common)), dl as (select r.*, r.score - b.score as delta from r2 r join r2 b on b.model_name = 'click-seed-0' and b.content_text = r.content_text)"
+inputs.CTES["dl"] = _DELTA
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    r = inputs.runs(spark, d)
+    common = r.groupBy("content_text").agg(F.count(F.lit(1)).alias("n")).where("n = 10").select("content_text")
+    own = r.join(common, "content_text", "left_semi").withColumn("protocol", text.protocol_name(F.col("model_name"), {}))
+    return evals.deltas(own, "click-seed-0")
+
+
+@query(sql("select protocol, bias_type, content_text, round(avg(delta), 8) as delta from dl group by all", "runs", "dl"))
+def a17_seed_means(spark: SparkSession, d: str) -> DataFrame:
+    return evals.seed_means(_deltas(spark, d)).withColumn("delta", F.round("delta", 8))
+
+
+@query(sql("select model_name, bias_type, round(avg(delta), 8) as mean_delta, count(*) as n from dl group by all", "runs", "dl"))
+def a18_run_means(spark: SparkSession, d: str) -> DataFrame:
+    return evals.run_means(_deltas(spark, d)).withColumn("mean_delta", F.round("mean_delta", 8))
+
+
+@query()
+def c10_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Mean delta and interval of each protocol and bias, full-dpo first."""
+    means = evals.seed_means(_deltas(spark, d))
+    out = evals.bootstrap(means, ["protocol", "bias_type"], "delta", "content_text")
+    return out.orderBy(*evals.protocol_order(F.col("protocol")), "bias_type")
+
+
+@query(sql("select protocol, bias_type, count(*) as n, round(avg(x), 8) as mean from (select protocol, bias_type, content_text, avg(delta) as x from dl group by all) group by all", "runs", "dl"))
+def a19_bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
+    out = evals.bootstrap(evals.seed_means(_deltas(spark, d)), ["protocol", "bias_type"], "delta", "content_text", resamples=200)
+    return out.select("protocol", "bias_type", "n", F.round("mean", 8).alias("mean"))
+
+
+@query(sql("select i::int as i, round(avg(diff[i + 1]) filter (label < 5) - avg(diff[i + 1]) filter (label >= 5), 8) as v from diffs, range(64) t(i) group by i", "diffs"))
+def a20_contrast(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(_direction(spark, d))), "i int, v double").select("i", F.round("v", 8).alias("v"))
+
+
+def _direction(spark: SparkSession, d: str) -> list[float]:
+    """Mean of the vectors with a small label less that of the others."""
+    own = inputs.diffs(spark, d)
+    long = own.select("label", F.posexplode("diff").alias("i", "v")).groupBy("i").agg(F.avg(F.when(F.col("label") < 5, F.col("v"))).alias("a"), F.avg(F.when(F.col("label") >= 5, F.col("v"))).alias("b"))
+    return [r["d"] for r in long.select("i", (F.col("a") - F.col("b")).alias("d")).orderBy("i").collect()]
+
+
+def _embedding_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Prompt vectors, and the next row's vector less the own as difference."""
+    own = inputs.diffs(spark, d).select("row_index", "diff")
+    after = own.select((F.col("row_index") - 1).alias("row_index"), F.col("diff").alias("n"))
+    return own.join(after, "row_index").select("row_index", F.col("diff").alias("prompt"), vectors.subtract(F.col("n"), F.col("diff")).alias("diff"))
+
+
+@query(sql(", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1), mu as (select i, avg(p[i + 1]) as m from e, range(8) t(i) group by i) select i::int as i, j::int as j, round(sum((p[i + 1] - m) * q[j + 1]), 6) as v from e, mu, range(8) u(j) group by i, j", "diffs").replace("\n, e", ",\ne"))
+def a21_covariance(spark: SparkSession, d: str) -> DataFrame:
+    m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(8) for j in range(8)], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query()
+def a22_singular_values(spark: SparkSession, d: str) -> DataFrame:
+    m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
+    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(linalg.svd(m).s[:100])], "component int, singular_value double")
+
+
+@query()
+def c14_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return linalg.alignment(_embedding_pairs(spark, d), "row_index", "prompt", "diff", components=5, top=3)
+
+
+@query(sql("select row_index, round(list_sum(diff[3:7]), 6) as total from diffs", "diffs"))
+def a23_span_sum(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.diffs(spark, d).select("row_index", F.round(scoring.span_sum(F.col("diff"), F.lit(2), F.lit(5)), 6).alias("total"))
+
+
+@query(sql("select row_index // 4 as g, i::int as i, round(avg(diff[i + 1]), 6) as mean, round(sum(diff[i + 1]), 6) as total, round(arg_max(diff[i + 1], row_index), 6) as last from diffs, range(4) t(i) group by all", "diffs"))
+def a24_pooling(spark: SparkSession, d: str) -> DataFrame:
+    states = inputs.diffs(spark, d).groupBy(F.floor(F.col("row_index") / 4).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "diff"))), lambda s: s["diff"]).alias("s"))  # four rows each
+    pooled = states.select("g", *(vectors.pool(F.col("s"), how).alias(how) for how in ("mean", "sum", "last")))
+    zipped = pooled.select("g", F.posexplode(F.arrays_zip("mean", "sum", "last")).alias("i", "z")).where("i < 4")
+    return zipped.select("g", "i", F.round("z.mean", 6).alias("mean"), F.round("z.sum", 6).alias("total"), F.round("z.last", 6).alias("last"))
+
+
+@query("select row_index, count(*) as n from scores group by row_index having count(*) > 1")
+def a26_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return evals.duplicate_keys(inputs.table(spark, d, "scores"), ["row_index"])
+
+
+@query(sql("select count(*) as n, round(avg(score_a), 8) as mean_a, round(avg(score_b), 8) as mean_b, round(avg(delta), 8) as mean_delta, count(*) filter (delta < 0) as n_reduced, count(*) filter (delta = 0) as n_equal, count(*) filter (delta > 0) as n_increased from m", *_RUNS))
+def c11_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = evals.transition_summary(_matched(spark, d))
+    return s.select("n", *(F.round(c, 8).alias(c) for c in ("mean_a", "mean_b", "mean_delta")), "n_reduced", "n_equal", "n_increased")
+
+
+# ---- windows, order, samples
+
+
+@query(sql(f"select i as row_index, row_index as source_row from (select row_index, row_number() over (order by md5('42:' || row_index), row_index) - 1 as i from pairs where {_VALID_PAIR}) where i < 1000", "pairs"))
+def c01_clean(spark: SparkSession, d: str) -> DataFrame:
+    own = inputs.pairs(spark, d).withColumnRenamed("row_index", "source_row")
+    return curate.clean_pairs(own, "source_row", 42, 1000).select("row_index", "source_row")
+
+
+@query(sql("select response_id, bias_type, row_number() over (order by g, response_id) - 1 as place from (select *, case bias_type when 'positive' then 1 else 2 end as g, row_number() over (partition by bias_type order by response_id) as r from resp where bias_type in ('positive', 'negative')) where r <= 20", "resp"))
+def w03_first_per_bias(spark: SparkSession, d: str) -> DataFrame:
+    return evals.first_per_group(inputs.responses(spark, d), "bias_type", ["positive", "negative"], "response_id", 20).select("response_id", "bias_type", "place")
+
+
+_EXAMPLES = """
+, s as (select row_index, persona_vector as score from vecs where persona_vector is not null),
+cuts as (CUTS),
+sides as (select p, cutoff, row_index, score, score >= cutoff as up, count(*) filter (score >= cutoff) over (partition by p) as hi, count(*) filter (score < cutoff) over (partition by p) as lo,
+  row_number() over (partition by p, score >= cutoff order by case when score >= cutoff then score else -score end, row_index) as r from s, cuts),
+q as (select *, case when hi < 5 then hi when lo < 5 then 10 - lo else 5 end as take_hi, case when hi < 5 then 10 - hi when lo < 5 then lo else 5 end as take_lo from sides)
+select p as percentile, row_index, round(score, 8) as score, row_number() over (partition by p order by score, row_index) as rank from q where (up and r <= take_hi) or (not up and r <= take_lo)
+"""
+
+
+_CUTS = " union all ".join(f"select {p}::double as p, quantile_cont(score, {p / 100}) as cutoff from s" for p in report.PERCENTILES)
+
+
+@query(sql(_EXAMPLES.replace("CUTS", _CUTS), "vecs").replace("\n\n, s", ",\ns"))
+def c08_percentile_examples(spark: SparkSession, d: str) -> DataFrame:
+    e = report.percentile_examples(inputs.vectors(spark, d), "row_index", "persona_vector", 10)
+    return e.select("percentile", "row_index", F.round("persona_vector", 8).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(sql("select row_index, autorater_score, row_number() over (partition by autorater_score order by md5('42:' || row_index), row_index) as rank from pairs qualify rank <= 3", "pairs"))
+def l10_rating_examples(spark: SparkSession, d: str) -> DataFrame:
+    return report.rating_examples(inputs.pairs(spark, d).select("row_index", "autorater_score"), "row_index", "autorater_score").select("row_index", "autorater_score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _resample_sql(kept: str, target: int, seed: int) -> str:
+    """SQL of ``curate.resampled`` over a table with row_index."""
+    return f"""
+select * exclude (h, pass, kn), row_number() over (order by pass, h, row_index) - 1 as output_pos from (
+  select k.*, pass, case when {target} = kn or (pass = 0 and {target} > kn) then lpad(row_index::varchar, 20, '0') else md5('{seed}:' || pass || ':' || row_index) end as h
+  from (select *, count(*) over () as kn from {kept}) k, range(1000) t(pass) where pass < ({target} + kn - 1) // kn)
+qualify output_pos < {target}"""
+
+
+@query(sql(_resample_sql("(select row_index from diffs)", 300, 42), "diffs"))
+def l03_down(spark: SparkSession, d: str) -> DataFrame:
+    return curate.resampled(inputs.diffs(spark, d).select("row_index"), "row_index", "row_index", 300, 42)
+
+
+@query(sql(_resample_sql("(select row_index from diffs)", 5200, 42), "diffs"))
+def l03_up(spark: SparkSession, d: str) -> DataFrame:
+    return curate.resampled(inputs.diffs(spark, d).select("row_index"), "row_index", "row_index", 5200, 42)
+
+
+@query(sql("select row_index, row_number() over (order by pass, md5('7:' || pass || ':' || row_index), row_index) - 1 as output_pos from (select row_index, count(*) over () as n from diffs), range(1000) t(pass) where pass < (5200 + n - 1) // n qualify output_pos < 5200", "diffs"))
+def l04_sample(spark: SparkSession, d: str) -> DataFrame:
+    return curate.resampled(inputs.diffs(spark, d).select("row_index"), "row_index", "row_index", 5200, 7, shuffle_first=True)
+
+
+@query(sql("select key, delta from m order by abs(delta) desc, delta, key limit 12", *_RUNS))
+def l05_top_changes(spark: SparkSession, d: str) -> DataFrame:
+    return evals.top_deltas(_matched(spark, d), "key").select("key", "delta")
+
+
+@query(sql("select * from (select 'reduced' as which, key, delta from m where delta < 0 order by delta, key limit 12) union all select * from (select 'increased', key, delta from m where delta > 0 order by delta desc, key limit 12)", *_RUNS))
+def l06_top_by_side(spark: SparkSession, d: str) -> DataFrame:
+    m = cut(_matched(spark, d))
+    side = lambda w: evals.top_deltas(m, "key", w).select(F.lit(w).alias("which"), "key", "delta")
+    return side("reduced").unionByName(side("increased"))
+
+
+_COS = "list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])) / (sqrt(list_sum(list_transform(a.diff, lambda x: x * x))) * sqrt(list_sum(list_transform(b.diff, lambda x: x * x))))"
+
+
+@query(sql(f"select a.row_index, round({_COS}, 8) as similarity from diffs a, (select diff from diffs where row_index = 3) b order by abs({_COS}) desc, a.row_index limit 10", "diffs"))
+def l08_top_cosine(spark: SparkSession, d: str) -> DataFrame:
+    own = inputs.diffs(spark, d)
+    v = files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector")))
+    return linalg.aligned(own, "row_index", "diff", np.array(v), 10).withColumn("similarity", F.round("similarity", 8))
+
+
+# ---- scalar functions
+
+
+@query(sql("select a.row_index, round(list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])), 6) as dot, round(sqrt(list_sum(list_transform(a.diff, lambda x: x * x))), 6) as norm, round(" + _COS + ", 8) as cosine, round(a.diff[1] - b.diff[1], 6) as difference, round(a.diff[1] * 0.5, 6) as half from diffs a, (select diff from diffs where row_index = 3) b", "diffs"))
+def x01_vectors(spark: SparkSession, d: str) -> DataFrame:
+    own = inputs.diffs(spark, d)
+    v = vectors.literal(files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector"))))
+    c = F.col("diff")
+    return own.select("row_index", F.round(vectors.dot(c, v), 6).alias("dot"), F.round(vectors.norm(c), 6).alias("norm"), F.round(vectors.cosine(c, v), 8).alias("cosine"), F.round(vectors.subtract(c, v)[0], 6).alias("difference"), F.round(vectors.scale(c, 0.5)[0], 6).alias("half"))
+
+
+@query(sql("select row_index, round(a.diff[2] - list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])) / list_sum(list_transform(b.diff, lambda x: x * x)) * b.diff[2], 6) as v from diffs a, (select diff from diffs where row_index = 3) b", "diffs"))
+def x24_project_out(spark: SparkSession, d: str) -> DataFrame:
+    own = inputs.diffs(spark, d)
+    v = vectors.literal(files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector"))))
+    return own.select("row_index", F.round(vectors.project_out(F.col("diff"), v)[1], 6).alias("v"))
+
+
+@query(sql("select row_index, round(((system_chosen_logprob - system_rejected_logprob) - (base_chosen_logprob - base_rejected_logprob)) / (chosen_len + rejected_len), 8) as score from lls where not skip", "lls"))
+def x04_lls(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.with_lls(scoring.valid_scores(inputs.scores(spark, d))).select("row_index", F.round("score", 8).alias("score"))
+
+
+@query(r"select doc_id, nullif(regexp_extract(text, '([1-5])[^\p{L}\p{N}_\p{M}]*$', 1), '')::int as rating from documents where doc_type = 'judge' and text is not null")
+def x05_rating(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.table(spark, d, "documents").where("doc_type = 'judge' and text is not null").select("doc_id", text.trailing_rating(F.col("text")).alias("rating"))
+
+
+@query(sql("select row_index, left(md5('42:' || row_index), 1) in ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') as swapped, case when left(md5('42:' || row_index), 1) in ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') then 6 - autorater_score else autorater_score end as rating from pairs", "pairs"))
+def x06_swapped(spark: SparkSession, d: str) -> DataFrame:
+    coin = text.coin(F.col("row_index"))
+    return inputs.pairs(spark, d).select("row_index", coin.alias("swapped"), text.unswapped(F.col("autorater_score"), coin).alias("rating"))
+
+
+@query("select doc_id, case when length(text) > 160 then left(text, 160) || '...' else text end as shown, case when length(model_name) > 0 then split_part(model_name, '-', 1) end as family, format('{:06d}', doc_id) as padded from documents where regexp_full_match(text, '[ -~\\n]*')")
+def x12_strings(spark: SparkSession, d: str) -> DataFrame:
+    docs = inputs.table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*\z"))
+    return docs.select("doc_id", text.truncated(F.col("text"), 160).alias("shown"), F.split("model_name", "-")[0].alias("family"), text.padded(F.col("doc_id"), 6).alias("padded"))
+
+
+@query("select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as squeezed, replace(left(text, 50), chr(10), ' ') as line from documents where regexp_full_match(text, '[ -~\\n\\t]*')")
+def x13_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = inputs.table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n\t]*\z"))
+    return docs.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), text.one_line(F.col("text"), 50).alias("line"))
+
+
+@query("select name, case name when 'allenai/Olmo' then 'base' else regexp_replace(regexp_replace(name, '^run/', ''), '-seed-\\d+$', '') end as protocol, split_part(name, '/', -1) as slug from (values ('allenai/Olmo'), ('run/full-dpo-seed-3'), ('run/flip-seed-12x'), ('plain')) t(name)")
+def x09_names(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([("allenai/Olmo",), ("run/full-dpo-seed-3",), ("run/flip-seed-12x",), ("plain",)], "name string")
+    return own.select("name", text.protocol_name(F.col("name"), {"allenai/Olmo": "base"}, "run/").alias("protocol"), text.slug(F.col("name")).alias("slug"))
+
+
+@query("select n, (n * 2 // 3)::int as layer from range(1, 81) t(n)")
+def x19_layer(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(1, 81).select(F.col("id").alias("n"), text.layer_index(F.col("id")).alias("layer"))
+
+
+@query(sql("select fault, n from (select (max(row_index) + 1 - count(distinct row_index)) as missing_rows, count(*) - count(distinct row_index) as repeated_rows, count(*) filter (skip and skip_reason is null) as skips_without_reason, count(*) filter (not skip and score is null) as rows_without_score from scores) unpivot (n for fault in (missing_rows, repeated_rows, skips_without_reason, rows_without_score))").replace("with \n", ""))
+def v01_cache_faults(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.cache_faults(inputs.table(spark, d, "scores"))
+
+
+# ---- the workload: filters of baseline pairs
+
+_CONTRAST = """
+, dir as (select i, avg(diff[i]) filter (label < 5) - avg(diff[i]) filter (label >= 5) as v from diffs, range(1, 65) t(i) group by i),
+dv as (select list(v order by i) as v, sqrt(sum(v * v)) as norm from dir),
+sc as (select row_index, list_sum(list_transform(range(1, 65), lambda k: diff[k] * dv.v[k])) / (sqrt(list_sum(list_transform(diff, lambda x: x * x))) * dv.norm) as score from diffs, dv),
+src as (select p.row_index, p.chosen, p.rejected, p.autorater_score, s.score from pairs p join sc s using (row_index))"""
+
+
+def _workload(flag: str, action: str, target: int, seed: int, score: str = "score", drop: str = "false", top: str = "", bottom: str = "", extra: int = 0) -> str:
+    kept = f"(select row_index, row_index as original_index, case when f and '{action}' = 'flip' then -1 else 1 end as mask, round(case when f and '{action}' = 'flip' then -({score}) else {score} end, 8) as score, case when f and '{action}' = 'flip' then rejected else chosen end as c from flagged where not ({drop}) and not (f and '{action}' = 'discard'))"
+    base = f"select row_index, original_index, mask, -1 as new_index, score, md5(c[-1].content) as answer, output_pos from ({_resample_sql(kept, target - extra, seed)})"
+    cuts = ", ".join(x for x in (top and f"(select quantile_cont({score}, {top}) from src where not ({drop})) as hi", bottom and f"(select quantile_cont({score}, {bottom}) from src where not ({drop})) as lo") if x) or "1 as one"
+    out = f", cuts as (select {cuts}), flagged as (select src.*, coalesce({flag}, false) as f from src, cuts)\n{base}"
+    if extra:
+        out += f" union all select row_index, -1, 1, output_pos, null, answer, output_pos + {target - extra} from (select row_index, md5(chosen[-1].content) as answer, row_number() over (order by md5('{seed}:0:' || row_index), row_index) - 1 as output_pos from extra) where output_pos < {extra}"
+    return out
+
+
+_OUT = ("row_index", "original_index", "mask", "new_index", "score", "answer", "output_pos")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    own = rows if "score" in rows.columns else rows.withColumn("score", F.col("autorater_score").cast("double"))
+    return own.withColumns({"answer": F.md5(chat.last(F.col("chosen"))["content"]), "score": F.round("score", 8)}).select(*_OUT)
+
+
+def _vector_source(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, object]:
+    diffs = inputs.diffs(spark, d)
+    source = inputs.pairs(spark, d)
+    common = source.select("row_index").join(diffs.select("row_index"), "row_index")
+    return source.join(common, "row_index", "left_semi"), diffs.join(common, "row_index", "left_semi").select("row_index", "diff"), vectors.literal(_direction(spark, d))
+
+
+def _vector_query(spark: SparkSession, d: str, **how: object) -> DataFrame:
+    source, diffs, v = _vector_source(spark, d)
+    return _shown(curate.filter_by_vector(source, "row_index", diffs, v, **how))
+
+
+def _vector_sql(**how: object) -> str:
+    return sql(_CONTRAST + _workload(**how), "pairs", "diffs").replace("\n\n, dir", ",\ndir")
+
+
+@query(_vector_sql(flag="false", action="discard", target=16384, seed=42))
+def q01_baseline(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_query(spark, d, target=16384, seed=42)
+
+
+@query(_vector_sql(flag="false", action="discard", target=16384, seed=42, extra=256).replace("from extra)", "from (select row_index, chosen from training where original_index = -1))").replace("with pairs as", "with " + inputs.CTES["training"] + ",\npairs as", 1))
+def q02_with_extra(spark: SparkSession, d: str) -> DataFrame:
+    extra = inputs.training(spark, d).where("original_index = -1").select("row_index", "chosen", "rejected")
+    return _vector_query(spark, d, target=16384, seed=42, extra=extra, extra_size=256)
+
+
+def _rating_sql(**how: object) -> str:
+    return sql(", src as (select *, autorater_score::double as score from pairs)" + _workload(**how), "pairs").replace("\n, src", ",\nsrc")
+
+
+@query(_rating_sql(flag="score <= 2", action="discard", target=16384, seed=42))
+def q03_rating_discard(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(curate.filter_by_rating(inputs.pairs(spark, d), "row_index", 2, "below", "discard", 16384, 42))
+
+
+@query(_vector_sql(flag="score >= hi", action="discard", target=16384, seed=43, top="1 - 0.210540771484375"))
+def q04_vector_discard(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_query(spark, d, action="discard", target=16384, seed=43, top_pct=21.0540771484375)
+
+
+@query(_rating_sql(flag="score <= 2", action="flip", target=16384, seed=42).replace("-(score)", "score"))
+def q05_rating_flip(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(curate.filter_by_rating(inputs.pairs(spark, d), "row_index", 2, "below", "flip", 16384, 42))
+
+
+@query(_vector_sql(flag="score >= hi", action="flip", target=16384, seed=42, top="1 - 0.210540771484375"))
+def q06_vector_flip(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: contrast vector, cosine, the top share flipped, resampled to the target."""
+    return _vector_query(spark, d, action="flip", target=16384, seed=42, top_pct=21.0540771484375)
+
+
+def _logprob_sql(**how: object) -> str:
+    return sql(", src as (select p.*, l.skip, case when not coalesce(l.skip, false) then l.score end as score from pairs p join lls l using (row_index))" + _workload(drop="coalesce(skip, false)", **how), "pairs", "lls").replace("\n, src", ",\nsrc").replace("-(score)", "score")
+
+
+def _logprob_query(spark: SparkSession, d: str, **how: object) -> DataFrame:
+    return _shown(curate.filter_by_logprob(inputs.pairs(spark, d), "row_index", inputs.scores(spark, d), **how))
+
+
+@query(_logprob_sql(flag="score <= lo", action="discard", target=16384, seed=42, bottom="0.210540771484375"))
+def q07_logprob_discard(spark: SparkSession, d: str) -> DataFrame:
+    return _logprob_query(spark, d, action="discard", target=16384, seed=42, bottom_pct=21.0540771484375)
+
+
+@query(_vector_sql(flag="score >= 0", action="flip", target=16384, seed=42))
+def q08_vector_threshold_flip(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_query(spark, d, action="flip", target=16384, seed=42, top_threshold=0.0)
+
+
+@query(_logprob_sql(flag="score <= 0", action="flip", target=16384, seed=42))
+def q09_logprob_flip(spark: SparkSession, d: str) -> DataFrame:
+    return _logprob_query(spark, d, action="flip", target=16384, seed=42, bottom_threshold=0.0)
+
+
+@query(_logprob_sql(flag="score <= 0", action="discard", target=16384, seed=43))
+def q10_logprob_discard_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return _logprob_query(spark, d, action="discard", target=16384, seed=43, bottom_threshold=0.0)
+
+
+@query(_vector_sql(flag="score >= hi", action="flip", target=16384, seed=43, top="1 - 0.21054"))
+def q11_vector_flip_live(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_query(spark, d, action="flip", target=16384, seed=43, top_pct=21.054)
+
+
+@query(_vector_sql(flag="score >= 0", action="flip", target=16384, seed=43))
+def q12_vector_threshold_live(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_query(spark, d, action="flip", target=16384, seed=43, top_threshold=0.0)
+
+
+@query(_rating_sql(flag="score <= 1", action="flip", target=256, seed=42).replace("-(score)", "score"))
+def q13_rating_flip_small(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(curate.filter_by_rating(inputs.pairs(spark, d), "row_index", 1, "below", "flip", 256, 42))
+
+
+@query(sql("select count(*) as n from pairs", "pairs"))
+def m01_embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs through a registered stand-in model."""
+    scoring.register_scorer("words", scoring.hashed_embedder(8), ("row_index", "chosen", "rejected"), schemas.DIFF)
+    texts = inputs.pairs(spark, d).select("row_index", *(F.coalesce(chat.last(F.col(c))["content"], F.lit("")).alias(c) for c in ("chosen", "rejected")))
+    return scoring.scored(texts, "words").agg(F.count(F.lit(1)).alias("n"))
