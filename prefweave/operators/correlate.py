@@ -11,12 +11,15 @@ block of its own.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefweave.functions.stats import corr
 from prefweave.operators.order import running_total
 from prefweave.session import cut
 
@@ -57,62 +60,69 @@ def discordant(y: np.ndarray) -> int:
     return total
 
 
-def _local(df: DataFrame, by: list[str], order: str, values: str, sign: int) -> DataFrame:
-    """Discordant pairs within each group of bounded size."""
+def _local(grid: DataFrame, by: list[str], sign: int) -> DataFrame:
+    """Discordant pairs within each group; light blocks have less than twice ``rows_per_block`` rows."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         # equal x in order of y, so that they make no pairs
-        pdf = pdf.sort_values([order, values])
-        y = np.unique(pdf[values].to_numpy(), return_inverse=True)[1]
+        y = np.unique(pdf.sort_values(["x", "y"])["y"].to_numpy(), return_inverse=True)[1]
         return pd.DataFrame({"d": [sign * float(discordant(y))]})
 
-    return df.groupBy(*by).applyInPandas(count, "d double")
+    return grid.select(*by, "x", "y").groupBy(*by).applyInPandas(count, "d double")
 
 
-def kendall(df: DataFrame, x: str, y: str, rows_per_block: int = 500_000) -> tuple[int, float | None, float | None]:
-    """(n, tau-b, two-sided p) of the rows where both are finite; None where undefined."""
+@dataclass(frozen=True)
+class Agreement:
+    """Rank correlations of two columns over the rows where both are finite; None where undefined."""
+
+    n: int
+    spearman: float | None = None
+    spearman_p: float | None = None
+    kendall_tau: float | None = None
+    kendall_p: float | None = None
+
+
+def agreement(df: DataFrame, x: str, y: str, rows_per_block: int = 500_000) -> Agreement:
+    """Spearman's rho by average ranks and Kendall's tau-b, each with a two-sided p."""
     pairs = df.where(finite(x, y)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    r = ranked(pairs, ["x", "y"])
-    total = pairs.count()
+    width = F.lit(rows_per_block)
+    ranks = ranked(pairs, ["x", "y"]).select(F.col("x_below").alias("x"), F.col("y_below").alias("y"), "x_ties", "y_ties", _block("x", width).alias("bx"), _block("y", width).alias("by"))
+    grid = cut(ranks)
+    # every row knows its ties, so sums over values of t(t - 1) are sums over rows of t - 1
+    t = {c: F.col(f"{c}_ties").cast("double") for c in "xy"}
+    of_ties = [f(t[c]) for c in "xy" for f in (lambda v: F.sum((v - 1) / 2), lambda v: F.sum((v - 1) * (v - 2)), lambda v: F.sum((v - 1) * (2 * v + 5)))]
+    total, rho, tx, x0, x1, ty, y0, y1 = grid.agg(F.count(F.lit(1)), corr(F.col("x") + t["x"] / 2, F.col("y") + t["y"] / 2), *of_ties).first()
     if total < 2:
-        return total, None, None
-    blocks = max(1, -(-total // rows_per_block))
-    width = -(-total // blocks)
-    grid = cut(r.select(F.col("x_below").alias("x"), F.col("y_below").alias("y"), _block("x", width).alias("bx"), _block("y", width).alias("by")))
+        return Agreement(total)
+    n, all_pairs = float(total), total * (total - 1) / 2
+    if tx == all_pairs or ty == all_pairs:
+        return Agreement(total)
+    same = F.count(F.lit(1)).cast("double")
+    both = grid.groupBy("x", "y").agg(same.alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
+    # concordant less discordant
+    lead = all_pairs - tx - ty + both - 2 * _discordant_pairs(grid)
+    tau = lead / math.sqrt(all_pairs - tx) / math.sqrt(all_pairs - ty)
+    m2 = n * (n - 1)
+    var = (m2 * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m2 + (x0 * y0 / (9 * m2 * (n - 2)) if n > 2 else 0.0)
+    p = math.erfc(abs(lead) / math.sqrt(var) / math.sqrt(2)) if var > 0 else None
+    return Agreement(total, rho, spearman_p(rho, total), max(-1.0, min(1.0, tau)), p)
+
+
+def _discordant_pairs(grid: DataFrame) -> float:
     cell = grid.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most one row for each cell of the grid of blocks
     xs, ys = (np.unique(cell[c], return_inverse=True) for c in ("bx", "by"))
     m = np.zeros((len(xs[0]), len(ys[0])))
     np.add.at(m, (xs[1], ys[1]), cell["n"].to_numpy())
-    after = np.zeros_like(m)
-    after[:, 1:] = np.cumsum(m, axis=1)[:, :-1]  # rows of smaller y in the same block
+    smaller = np.zeros_like(m)
+    smaller[:, 1:] = np.cumsum(m, axis=1)[:, :-1]  # rows of smaller y in the same block
     later = np.zeros_like(m)
-    later[:-1] = np.cumsum(after[::-1], axis=0)[::-1][1:]  # and in blocks of greater x
-    between = float((m * later).sum())
+    later[:-1] = np.cumsum(smaller[::-1], axis=0)[::-1][1:]  # and in blocks of greater x
     light_x, light_y = "bx % 2 = 0", "by % 2 = 0"
-    parts = _local(grid.where(light_x), ["bx"], "x", "y", 1).unionByName(_local(grid.where(light_y), ["by"], "x", "y", 1)).unionByName(_local(grid.where(f"{light_x} and {light_y}"), ["bx", "by"], "x", "y", -1))
-    d = between + (parts.agg(F.sum("d")).first()[0] or 0.0)
-
-    def ties(table: DataFrame) -> tuple[float, float, float]:
-        t = F.col("n").cast("double")
-        row = table.agg(F.sum(t * (t - 1) / 2), F.sum(t * (t - 1) * (t - 2)), F.sum(t * (t - 1) * (2 * t + 5))).first()
-        return tuple(v or 0.0 for v in row)
-
-    count = lambda *c: grid.groupBy(*c).agg(F.count(F.lit(1)).alias("n"))
-    (tx, x0, x1), (ty, y0, y1) = ties(count("x")), ties(count("y"))
-    both = ties(count("x", "y"))[0]
-    n = float(total)
-    all_pairs = n * (n - 1) / 2
-    if tx == all_pairs or ty == all_pairs:
-        return total, None, None
-    lead = all_pairs - tx - ty + both - 2 * d  # concordant less discordant
-    tau = lead / math.sqrt(all_pairs - tx) / math.sqrt(all_pairs - ty)
-    m2 = n * (n - 1)
-    var = (m2 * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m2 + (x0 * y0 / (9 * m2 * (n - 2)) if n > 2 else 0.0)
-    p = math.erfc(abs(lead) / math.sqrt(var) / math.sqrt(2)) if var > 0 else None
-    return total, max(-1.0, min(1.0, tau)), p
+    parts = _local(grid.where(light_x), ["bx"], 1).unionByName(_local(grid.where(light_y), ["by"], 1)).unionByName(_local(grid.where(f"{light_x} and {light_y}"), ["bx", "by"], -1))
+    return float((m * later).sum()) + (parts.agg(F.sum("d")).first()[0] or 0.0)
 
 
-def _block(c: str, width: int) -> Column:
+def _block(c: str, width: Column) -> Column:
     """A number that orders the blocks; odd for a single value of ``width`` rows or more.
 
     The value after such a one begins another block, as so many rows lie between.
@@ -154,28 +164,16 @@ def spearman_p(rho: float | None, n: int) -> float | None:
     return incomplete_beta((n - 2) / 2, 0.5, 1 - rho * rho)
 
 
-def spearman(df: DataFrame, x: str, y: str) -> tuple[int, float | None, float | None]:
-    """(n, rho, two-sided p) by average ranks of the rows where both are finite."""
-    pairs = df.where(finite(x, y)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    r = ranked(pairs, ["x", "y"])
-    rank = lambda c: F.col(f"{c}_below") + (F.col(f"{c}_ties") + 1) / 2
-    n, rho = r.agg(F.count(F.lit(1)), F.corr(rank("x"), rank("y"))).first()
-    if rho is not None and math.isnan(rho):
-        rho = None
-    return n, rho, spearman_p(rho, n)
-
-
-def correlations(df: DataFrame, methods: list[str]) -> DataFrame:
-    """One row for each unordered pair of methods, over the rows where both are finite."""
+def correlations(df: DataFrame, methods: list[str], at_once: int = 6) -> DataFrame:
+    """One row for each unordered pair of methods, over the rows where both are finite; several pairs run at once."""
     df = cut(df.select(*methods))
-    rows = []
-    for i, a in enumerate(methods):
-        for b in methods[i + 1 :]:
-            n, tau, tp = kendall(df, a, b)
-            if n < 2:
-                raise ValueError(f"{a} and {b} have fewer than two rows in common")
-            _, rho, rp = spearman(df, a, b)
-            rows.append((a, b, n, rho, rp, tau, tp))
+    pairs = [(a, b) for i, a in enumerate(methods) for b in methods[i + 1 :]]
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(lambda p: agreement(df, *p), pairs))
+    for (a, b), g in zip(pairs, found, strict=True):
+        if g.n < 2:
+            raise ValueError(f"{a} and {b} have fewer than two rows in common")
+    rows = [(*p, g.n, g.spearman, g.spearman_p, g.kendall_tau, g.kendall_p) for p, g in zip(pairs, found, strict=True)]
     return df.sparkSession.createDataFrame(rows, "method_a string, method_b string, n bigint, spearman double, spearman_p double, kendall_tau double, kendall_p double")
 
 
@@ -185,7 +183,3 @@ def matrix(pairs: DataFrame, methods: list[str], metric: str) -> DataFrame:
     unit = pairs.sparkSession.createDataFrame([(m, m, 1.0) for m in methods], "method_a string, method_b string, v double")
     return both.union(unit).groupBy(F.col("method_a").alias("method")).pivot("method_b", methods).agg(F.first(metric))
 
-
-def average_rank(column: str) -> Column:
-    """Average rank within small tables, as a window."""
-    return F.rank().over(Window.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(column)) - 1) / 2

@@ -37,10 +37,11 @@ def running_total(df: DataFrame, order_by: list[Column], value: str, name: str =
 def first_rows(df: DataFrame, by: list[str], order_by: list[Column], most: int, name: str = "rank", salts: int = 64) -> DataFrame:
     """The first ``most`` rows of each group, with their rank from 1.
 
-    A group may hold any share of the rows: each of its ``salts`` parts, made by a hash of the
-    whole row's order, keeps its own first rows before they meet.
+    A group may hold any share of the rows: each of its ``salts`` parts, made by a hash of all
+    plain columns, keeps its own first rows before they meet.
     """
-    own = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct"))]
+    own = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
     rank = lambda parts: F.row_number().over(Window.partitionBy(*parts).orderBy(*order_by))
     some = own.withColumn("_rank", rank([*by, "_salt"])).where(F.col("_rank") <= most)
     return some.withColumn(name, rank(by)).where(F.col(name) <= most).drop("_salt", "_rank")

@@ -20,6 +20,11 @@ def pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _latest(table(spark, folder, "dataset_autorated"), "index", "rated_at", ["chosen", "rejected", "autorater_score"])
 
 
+def ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Baseline indexes with their latest rating; the chats aren't read."""
+    return _latest(table(spark, folder, "dataset_autorated"), "index", "rated_at", ["autorater_score"])
+
+
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """Latest score rows."""
     df = table(spark, folder, "scores")

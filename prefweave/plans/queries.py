@@ -60,7 +60,7 @@ def s02_jsonl_limit(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("select row_index, autorater_score from pairs where row_index < 100", "pairs"))
 def s03_prefix(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
-    files.write_jsonl(inputs.pairs(spark, d).select("row_index", "autorater_score"), path)
+    files.write_jsonl(inputs.ratings(spark, d).select("row_index", "autorater_score"), path)
     return files.read_prefix(spark, path, "row_index bigint, autorater_score int", 100)
 
 
@@ -86,7 +86,7 @@ def s07_direction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select json_object('threshold', 2, 'n', count(*)::bigint, 'mean', avg(autorater_score)) is not null as ok, count(autorater_score) as n from pairs", "pairs"))
 def k04_metadata(spark: SparkSession, d: str) -> DataFrame:
-    stats = inputs.pairs(spark, d).agg(F.count("autorater_score").alias("n"), F.avg("autorater_score").alias("mean"))
+    stats = inputs.ratings(spark, d).agg(F.count("autorater_score").alias("n"), F.avg("autorater_score").alias("mean"))
     out = files.metadata(spark, config={"threshold": 2, "direction": "below"}, figures=stats)
     parsed = out.select(F.from_json("json", "config struct<threshold:int,direction:string>, figures struct<n:bigint,mean:double>").alias("j"))
     return parsed.select((F.col("j.config.threshold") == 2).alias("ok"), F.col("j.figures.n").alias("n"))
@@ -95,7 +95,7 @@ def k04_metadata(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("select 'whole' as part, count(*) as n from pairs union all select 'prefix', count(*) filter (row_index < 200) from pairs", "pairs"))
 def k05_two_files(spark: SparkSession, d: str) -> DataFrame:
     a, b = _folder(spark), _folder(spark)
-    files.write_with_prefix(inputs.pairs(spark, d).select("row_index", "autorater_score"), a, b, 200)
+    files.write_with_prefix(inputs.ratings(spark, d).select("row_index", "autorater_score"), a, b, 200)
     n = lambda p, name: spark.read.parquet(p).agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"))
     return n(a, "whole").unionByName(n(b, "prefix"))
 
@@ -144,7 +144,7 @@ def f06_default_system(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select row_index, autorater_score from pairs where autorater_score >= 4", "pairs"))
 def f07_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.pairs(spark, d).where(select.beyond(F.col("autorater_score"), 4, "above")).select("row_index", "autorater_score")
+    return inputs.ratings(spark, d).where(select.beyond(F.col("autorater_score"), 4, "above")).select("row_index", "autorater_score")
 
 
 @query(sql("select row_index from vecs where persona_vector >= 0.1 or persona_vector <= -0.15", "vecs"))
@@ -183,13 +183,13 @@ def f13_flip(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select row_index, case when autorater_score <= 2 then -persona_vector else persona_vector end as score from pairs join vecs using (row_index) where persona_vector is not null", "pairs", "vecs"))
 def f15_signed(spark: SparkSession, d: str) -> DataFrame:
-    both = inputs.pairs(spark, d).select("row_index", "autorater_score").join(inputs.vectors(spark, d), "row_index").where("persona_vector is not null")
+    both = inputs.ratings(spark, d).select("row_index", "autorater_score").join(inputs.vectors(spark, d), "row_index").where("persona_vector is not null")
     return both.select("row_index", curate.signed_score(F.col("persona_vector"), F.col("autorater_score") <= 2).alias("score"))
 
 
 def _methods(spark: SparkSession, d: str) -> DataFrame:
     """The four methods' scores of every pair, aligned in sign; null where missing."""
-    p = inputs.pairs(spark, d).select("row_index", (6 - F.col("autorater_score")).alias("autorater"))
+    p = inputs.ratings(spark, d).select("row_index", (6 - F.col("autorater_score")).alias("autorater"))
     s = scoring.valid_scores(inputs.scores(spark, d)).select("row_index", (-F.col("score")).alias("lls"))
     return p.join(s, "row_index", "left").join(inputs.vectors(spark, d), "row_index", "left")
 
@@ -241,17 +241,17 @@ def f26_without_system(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select row_index, autorater_score, skip from pairs join lls using (row_index)", "pairs", "lls"))
 def j02_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.pairs(spark, d).select("row_index", "autorater_score").join(inputs.scores(spark, d).select("row_index", "skip"), "row_index")
+    return inputs.ratings(spark, d).select("row_index", "autorater_score").join(inputs.scores(spark, d).select("row_index", "skip"), "row_index")
 
 
 @query(sql("select row_index from pairs where row_index in (select row_index from vecs where persona_vector > 0.2)", "pairs", "vecs"))
 def j03_semi(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.pairs(spark, d).select("row_index").join(inputs.vectors(spark, d).where("persona_vector > 0.2"), "row_index", "left_semi")
+    return inputs.ratings(spark, d).select("row_index").join(inputs.vectors(spark, d).where("persona_vector > 0.2"), "row_index", "left_semi")
 
 
 @query(sql("select row_index from pairs where row_index not in (select row_index from lls where skip)", "pairs", "lls"))
 def j04_anti(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.pairs(spark, d).select("row_index").join(inputs.scores(spark, d).where("skip"), "row_index", "left_anti")
+    return inputs.ratings(spark, d).select("row_index").join(inputs.scores(spark, d).where("skip"), "row_index", "left_anti")
 
 
 @query(sql("select model_name, b.content_text from (select distinct model_name from runs) cross join (select content_text from runs where model_name = 'click-seed-0') b where not exists (select 1 from runs r where r.model_name = model_name and false) except select model_name, content_text from runs", "runs"))
@@ -271,7 +271,8 @@ def j14_fan_out(spark: SparkSession, d: str) -> DataFrame:
     prompts = synthetic.listed(answers, "a", "ps", 2).select("belief", F.explode("ps").alias("p"), "y", "n")
     both = synthetic.listed(synthetic.listed(synthetic.asked(prompts, "{belief}: {p}", "prompt", belief="belief", p="p"), "y", "chosen", 4), "n", "rejected", 3)
     out = synthetic.synthetic_pairs(both)
-    return out.select("belief", "prompt", chat.last(F.col("chosen"))["content"].alias("chosen"), chat.last(F.col("rejected"))["content"].alias("rejected"))
+    at = lambda c: F.get(F.col(c), F.lit(1))["content"].alias(c)
+    return out.select("belief", "prompt", at("chosen"), at("rejected"))
 
 
 @query(sql("select key from run_a intersect select key from run_b", "run_a", "run_b"))
@@ -297,7 +298,7 @@ def a03_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select r as rating, count(p.row_index) as n from (values (1), (2), (3), (4), (5), (null)) t(r) left join pairs p on p.autorater_score is not distinct from r group by r", "pairs"))
 def a05_ratings(spark: SparkSession, d: str) -> DataFrame:
-    return report.rating_counts(inputs.pairs(spark, d), "autorater_score")
+    return report.rating_counts(inputs.ratings(spark, d), "autorater_score")
 
 
 @query(sql("select score, count(*) as n from run_a group by score", "run_a"))
@@ -333,7 +334,7 @@ def a09_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select row_index, autorater_score, round((rank() over (order by autorater_score) - 1) / count(*) over () * 100, 8) as pct_below, round(cume_dist() over (order by autorater_score) * 100, 8) as pct_up_to from pairs where autorater_score is not null", "pairs"))
 def a10_standing(spark: SparkSession, d: str) -> DataFrame:
-    s = report.standing(inputs.pairs(spark, d).where("autorater_score is not null").select("row_index", "autorater_score"), "autorater_score")
+    s = report.standing(inputs.ratings(spark, d).where("autorater_score is not null").select("row_index", "autorater_score"), "autorater_score")
     return s.select("row_index", "autorater_score", F.round("pct_below", 8).alias("pct_below"), F.round("pct_up_to", 8).alias("pct_up_to"))
 
 
@@ -525,7 +526,7 @@ def c08_percentile_examples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("select row_index, autorater_score, row_number() over (partition by autorater_score order by md5('42:' || row_index), row_index) as rank from pairs qualify rank <= 3", "pairs"))
 def l10_rating_examples(spark: SparkSession, d: str) -> DataFrame:
-    return report.rating_examples(inputs.pairs(spark, d).select("row_index", "autorater_score"), "row_index", "autorater_score").select("row_index", "autorater_score", F.col("rank").cast("bigint").alias("rank"))
+    return report.rating_examples(inputs.ratings(spark, d).select("row_index", "autorater_score"), "row_index", "autorater_score").select("row_index", "autorater_score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _resample_sql(kept: str, target: int, seed: int) -> str:
@@ -605,7 +606,7 @@ def x05_rating(spark: SparkSession, d: str) -> DataFrame:
 @query(sql("select row_index, left(md5('42:' || row_index), 1) in ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') as swapped, case when left(md5('42:' || row_index), 1) in ('8', '9', 'a', 'b', 'c', 'd', 'e', 'f') then 6 - autorater_score else autorater_score end as rating from pairs", "pairs"))
 def x06_swapped(spark: SparkSession, d: str) -> DataFrame:
     coin = text.coin(F.col("row_index"))
-    return inputs.pairs(spark, d).select("row_index", coin.alias("swapped"), text.unswapped(F.col("autorater_score"), coin).alias("rating"))
+    return inputs.ratings(spark, d).select("row_index", coin.alias("swapped"), text.unswapped(F.col("autorater_score"), coin).alias("rating"))
 
 
 @query("select doc_id, case when length(text) > 160 then left(text, 160) || '...' else text end as shown, case when length(model_name) > 0 then split_part(model_name, '-', 1) end as family, format('{:06d}', doc_id) as padded from documents where regexp_full_match(text, '[ -~\\n]*')")
@@ -651,7 +652,8 @@ def _workload(flag: str, action: str, target: int, seed: int, score: str = "scor
     cuts = ", ".join(x for x in (top and f"(select quantile_cont({score}, {top}) from src where not ({drop})) as hi", bottom and f"(select quantile_cont({score}, {bottom}) from src where not ({drop})) as lo") if x) or "1 as one"
     out = f", cuts as (select {cuts}), flagged as (select src.*, coalesce({flag}, false) as f from src, cuts)\n{base}"
     if extra:
-        out += f" union all select row_index, -1, 1, output_pos, null, answer, output_pos + {target - extra} from (select row_index, md5(chosen[-1].content) as answer, row_number() over (order by md5('{seed}:0:' || row_index), row_index) - 1 as output_pos from extra) where output_pos < {extra}"
+        drawn = f"select row_index, md5(chosen[-1].content) as answer, row_number() over (order by pass, md5('{seed}:' || pass || ':' || row_index), row_index) - 1 as output_pos from (select *, count(*) over () as en from extra), range(1000) t(pass) where pass < ({extra} + en - 1) // en"
+        out += f" union all select row_index, -1, 1, output_pos, null, answer, output_pos + {target - extra} from ({drawn}) where output_pos < {extra}"
     return out
 
 
@@ -684,7 +686,7 @@ def q01_baseline(spark: SparkSession, d: str) -> DataFrame:
     return _vector_query(spark, d, target=16384, seed=42)
 
 
-@query(_vector_sql(flag="false", action="discard", target=16384, seed=42, extra=256).replace("from extra)", "from (select row_index, chosen from training where original_index = -1))").replace("with pairs as", "with " + inputs.CTES["training"] + ",\npairs as", 1))
+@query(_vector_sql(flag="false", action="discard", target=16384, seed=42, extra=256).replace("from extra)", "from training where original_index = -1)").replace("with pairs as", "with " + inputs.CTES["training"] + ",\npairs as", 1))
 def q02_with_extra(spark: SparkSession, d: str) -> DataFrame:
     extra = inputs.training(spark, d).where("original_index = -1").select("row_index", "chosen", "rejected")
     return _vector_query(spark, d, target=16384, seed=42, extra=extra, extra_size=256)
