@@ -92,10 +92,12 @@ class Items:
         a, least = self.automaton, self.least
         for lo, hi in blocks(np.array([len(t or "") + 1 for t in texts], np.int64), BLOCK_CHARS):
             w = words(texts[lo:hi])
+            if not len(w.hash):
+                continue
             at = np.minimum(np.searchsorted(self.vocabulary, w.hash), len(self.vocabulary) - 1)
             known = self.vocabulary[at] == w.hash
             # stretches of known words of one text
-            edge = np.concatenate([[True], (w.text[1:] != w.text[:-1]) | (known[1:] != known[:-1])]) if len(at) else np.zeros(0, bool)
+            edge = np.concatenate([[True], (w.text[1:] != w.text[:-1]) | (known[1:] != known[:-1])])
             begin = np.flatnonzero(edge)
             stop = np.append(begin[1:], len(at))
             for b, e in zip(begin, stop, strict=True):

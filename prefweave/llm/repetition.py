@@ -103,7 +103,7 @@ def host_verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, host_texts, host_failed, host_rate, host_verdict) by an empirical beta prior.
 
     The prior's mean and weight come from all hosts by the method of moments: the spread of
-    the hosts' rates beyond what chance explains. With one host, or hosts that differ by
+    the hosts' rates beyond what chance explains. It weighs one text at least. With one host, or hosts that differ by
     chance only, the prior is the overall rate with the weight of a host of average size.
     """
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("int")).alias("f"))
@@ -112,7 +112,7 @@ def host_verdicts(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     prior = hosts.agg(mean, F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.sum(F.col("n") * p * p).alias("sq"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"))
     # between-host variance, by moments weighted with the hosts' sizes
     between = (F.col("sq") - F.col("total") * F.col("mean") * F.col("mean") - (F.col("m") - 1) * F.col("mean") * (1 - F.col("mean"))) / F.nullif(F.col("total") - F.col("nn") / F.col("total"), F.lit(0.0))
-    weight = F.when((between > 0) & (F.col("mean") * (1 - F.col("mean")) > between), F.col("mean") * (1 - F.col("mean")) / between - 1).otherwise(F.col("total") / F.col("m"))
+    weight = F.when(between > 0, F.greatest(F.col("mean") * (1 - F.col("mean")) / between - 1, F.lit(1.0))).otherwise(F.col("total") / F.col("m"))
     prior = prior.select("mean", F.coalesce(weight, F.col("total") / F.col("m")).alias("weight"))
     rate = (F.col("f") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
     joined = hosts.crossJoin(F.broadcast(prior))  # one row

@@ -41,7 +41,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return alnum, mix(lower + np.uint64(0x51ED27)) | np.uint64(1)
 
 
-@lru_cache(4)
+@lru_cache(8)
 def _powers(base: int, size: int) -> np.ndarray:
     p = np.full(size, np.uint64(base))
     p[0] = 1
@@ -59,10 +59,25 @@ class Words(NamedTuple):
 
 
 def words(texts: list[str | None]) -> Words:
-    """Words of ``texts``; a null text has none."""
+    """Words of ``texts``; a null text has none. A long text is read in parts, cut between words."""
     texts = [t or "" for t in texts]
-    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
+    joined = "\n".join(texts)
     offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(texts)]
+    found = []
+    a = 0
+    while a < len(joined):
+        b = min(a + 2 * BLOCK_CHARS, len(joined))
+        if b < len(joined):
+            back = next((i for i in range(b, a, -1) if not joined[i].isalnum()), None)
+            b = back or next((i for i in range(b, len(joined)) if not joined[i].isalnum()), len(joined))
+        found.append(_scan(joined[a:b], a))
+        a = b
+    h, start, end = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+    return Words(np.searchsorted(offset, start, side="right") - 1, h, start, end, offset)
+
+
+def _scan(text: str, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     alnum, value = _tables()
     inside = alnum[points]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
@@ -73,7 +88,7 @@ def words(texts: list[str | None]) -> Words:
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(terms, out=total[1:])
     h = mix((total[end] - total[start]) * _powers(int(_INVERSE), size)[start])
-    return Words(np.searchsorted(offset, start, side="right") - 1, h, start, end, offset)
+    return h, start + at, end + at
 
 
 def blocks(sizes: np.ndarray, most: int, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
