@@ -113,8 +113,10 @@ def test_encode_corpus(spark):
 
 
 def brute_leaks(docs, items, least):
-    w = lambda t: [x.lower() for x in WORD.findall(t or "")]
-    grams = lambda t: {tuple(w(t)[i : i + least]) for i in range(len(w(t)) - least + 1)}
+    def grams(t):
+        w = [x.lower() for x in WORD.findall(t or "")]
+        return {tuple(w[i : i + least]) for i in range(len(w) - least + 1)}
+
     return {(d, i) for d, t in docs for i, x in items if grams(t) & grams(x)}
 
 
