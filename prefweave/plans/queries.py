@@ -13,6 +13,7 @@ from prefweave import schemas
 from prefweave.functions import chat, text, vectors
 from prefweave.operators import correlate, curate, evals, linalg, report, scoring, select, synthetic
 
+from prefweave.operators.order import with_position
 from prefweave.plans import inputs
 from prefweave.plans.inputs import sql
 from prefweave.session import checkpoint_dir, cut
@@ -280,6 +281,31 @@ def u02_common_keys(spark: SparkSession, d: str) -> DataFrame:
     return inputs.samples(spark, d, "click").select("key").intersect(inputs.samples(spark, d, "view").select("key"))
 
 
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    return evals.matched(inputs.samples(spark, d, "click"), inputs.samples(spark, d, "view"), "key", ["bias_type"])
+
+
+_RUNS = ("run_a", "run_b", "m")
+
+
+@query(sql("select key, bias_type, score_a, score_b, delta from m", *_RUNS))
+def j08_matched(spark: SparkSession, d: str) -> DataFrame:
+    return _matched(spark, d)
+
+
+@query(sql("select a.key from run_a a join run_b b using (key) where a.bias_type is distinct from b.bias_type", *_RUNS))
+def j09_inconsistent(spark: SparkSession, d: str) -> DataFrame:
+    return evals.inconsistent(inputs.samples(spark, d, "click"), inputs.samples(spark, d, "view"), "key", ["bias_type"])
+
+
+@query(sql("select response_id, prompt, length(sft_response) as n_sft, length(dpo_response) as n_dpo from resp", "resp"))
+def j05_zipped(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts, and the two models' responses, joined on their index."""
+    r = inputs.responses(spark, d)
+    n = lambda c, name: r.select("response_id", F.length(c).cast("bigint").alias(name))
+    return r.select("response_id", "prompt").join(n("sft_response", "n_sft"), "response_id").join(n("dpo_response", "n_dpo"), "response_id")
+
+
 # ---- aggregates
 
 
@@ -306,13 +332,6 @@ def a06_values(spark: SparkSession, d: str) -> DataFrame:
     return evals.value_counts(inputs.samples(spark, d, "click"), "score")
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    return evals.matched(inputs.samples(spark, d, "click"), inputs.samples(spark, d, "view"), "key", ["bias_type"])
-
-
-_RUNS = ("run_a", "run_b", "m")
-
-
 @query(sql("select score_a, score_b, count(*) as n, min(key) as first_key from m group by all order by n desc, first_key limit 12", *_RUNS))
 def a07_transitions(spark: SparkSession, d: str) -> DataFrame:
     return evals.transitions(_matched(spark, d), "key")
@@ -575,6 +594,60 @@ def l08_top_cosine(spark: SparkSession, d: str) -> DataFrame:
     return linalg.aligned(own, "row_index", "diff", np.array(v), 10).withColumn("similarity", F.round("similarity", 8))
 
 
+@query(sql("select row_index, original_index, row_number() over (order by row_index) - 1 as output_pos, case when original_index = -1 then count(*) filter (original_index = -1) over (order by row_index rows unbounded preceding) - 1 else -1 end as new_index from (" + _NORMAL + ")", "training"))
+def w02_new_index(spark: SparkSession, d: str) -> DataFrame:
+    n = curate.normalized(inputs.training(spark, d), "row_index").select("row_index", "original_index")
+    return curate.finalized(curate.resampled(n, "row_index", "row_index", None, 42))
+
+
+@query(sql("select row_index, row_index // 1024 as chunk_idx, row_index % 1024 as place from pairs", "pairs"))
+def w07_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("row_index")
+    return inputs.ratings(spark, d).select("row_index", F.floor(k / 1024).alias("chunk_idx"), F.pmod(k, F.lit(1024)).alias("place"))
+
+
+@query(sql("select protocol, row_number() over (order by case when protocol = 'full-dpo' then 0 else 1 end, protocol) as place from (select distinct case when regexp_replace(model_name, '-seed-\\d+$', '') = 'view' then 'full-dpo' else regexp_replace(model_name, '-seed-\\d+$', '') end as protocol from runs)", "runs"))
+def l09_protocols(spark: SparkSession, d: str) -> DataFrame:
+    names = inputs.runs(spark, d).select(text.protocol_name(F.col("model_name"), {"view-seed-0": "full-dpo", "view-seed-1": "full-dpo"}).alias("protocol")).distinct()
+    placed = with_position(names, evals.protocol_order(F.col("protocol")), "place")
+    return placed.select("protocol", (F.col("place") + 1).alias("place"))
+
+
+@query(sql("select bias_type, content_text, row_number() over (order by bias_type, content_text) - 1 as place from (select distinct bias_type, content_text from runs)", "runs"))
+def l12_sample_order(spark: SparkSession, d: str) -> DataFrame:
+    keys = inputs.runs(spark, d).select("bias_type", "content_text").distinct()
+    return with_position(keys, [F.col("bias_type"), F.col("content_text")], "place")
+
+
+@query(sql("select count(*) as n_scores, round(coalesce(sum(s), 0), 6) as sum_score, round(coalesce(avg(s), 0), 8) as mean_score from (select case when persona_vector >= 0.1 then -persona_vector else persona_vector end as s from vecs where persona_vector is not null)", "vecs"))
+def a02_kept_scores(spark: SparkSession, d: str) -> DataFrame:
+    flagged = select.selected(inputs.vectors(spark, d).where("persona_vector is not null"), "persona_vector", top_threshold=0.1)
+    stats = curate.kept_score_stats(flagged.select(curate.signed_score(F.col("persona_vector"), F.col("selected")).alias("s")), "s")
+    return stats.select("n_scores", F.round("sum_score", 6).alias("sum_score"), F.round("mean_score", 8).alias("mean_score"))
+
+
+@query(sql("select row_index from pairs where coalesce(autorater_score, 9) > 2", "pairs"))
+def f14_discard(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.ratings(spark, d).where(~select.beyond(F.col("autorater_score"), 2, "below")).select("row_index")
+
+
+@query(sql("select row_index from diffs where sqrt(list_sum(list_transform(diff, lambda x: x * x))) > 1", "diffs"))
+def f23_norms(spark: SparkSession, d: str) -> DataFrame:
+    return inputs.diffs(spark, d).where(vectors.norm(F.col("diff")) > 1).select("row_index")
+
+
+@query(sql(", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1) select i::int as i, round(avg(p[i + 1] - q[i + 1]), 8) as v from e, range(64) t(i) group by i", "diffs").replace("\n, e", ",\ne"))
+def c13_contrast(spark: SparkSession, d: str) -> DataFrame:
+    v = linalg.contrast_vector(_embedding_pairs(spark, d), "prompt", "diff")
+    return spark.createDataFrame(list(enumerate(v)), "i int, v double").select("i", F.round("v", 8).alias("v"))
+
+
+@query("with r as (select n, row_number() over (order by n) - 1 as output_pos, 'base' as part from range(5) t(n)) select n, output_pos, part from r union all select n + 100, output_pos + 5, 'extra' from r where n < 3")
+def u01_base_then_extra(spark: SparkSession, d: str) -> DataFrame:
+    own = lambda a, b, part, start: spark.range(a, b).select(F.col("id").alias("n"), (F.col("id") - a + start).alias("output_pos"), F.lit(part).alias("part"))
+    return own(0, 5, "base", 0).unionByName(own(100, 103, "extra", 5))
+
+
 # ---- scalar functions
 
 
