@@ -52,6 +52,10 @@ class Join:
     bloom_bits: int = 23
     all_pairs_up_to: int = 16
 
+    def __post_init__(self) -> None:
+        if self.k < 1 or not 0 < self.threshold <= 1 or not 1 <= self.slices <= 16:
+            raise ValueError("k is 1 or more, the threshold in (0, 1], and there are 1 to 16 slices")
+
     @property
     def share(self) -> Fraction:
         """Least overlap as a share of the two sizes' sum: t / (1 + t)."""

@@ -76,6 +76,12 @@ def test_a_large_class_becomes_a_star(spark):
     assert got == {(0, i) for i in range(1, 30)} | {(0, 100)}
 
 
+@pytest.mark.parametrize("bad", [{"k": 0}, {"threshold": Fraction(0)}, {"slices": 17}])
+def test_parameters_are_checked(bad):
+    with pytest.raises(ValueError):
+        Join(**bad)
+
+
 def test_text_columns(spark):
     df = spark.createDataFrame([("a", "p q r s t u"), ("b", "P, q; r s t u!"), ("c", None)], "id string, text string")
     assert [tuple(r) for r in similar_pairs(df, "id", ["text"], Join(**SMALL)).collect()] == [("a", "b")]
