@@ -694,10 +694,10 @@ def x13_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), text.one_line(F.col("text"), 50).alias("line"))
 
 
-@query("select name, case name when 'allenai/Olmo' then 'base' else regexp_replace(regexp_replace(name, '^run/', ''), '-seed-\\d+$', '') end as protocol, split_part(name, '/', -1) as slug from (values ('allenai/Olmo'), ('run/full-dpo-seed-3'), ('run/flip-seed-12x'), ('plain')) t(name)")
+@query("select name, case name when 'acme/base' then 'base' else regexp_replace(regexp_replace(name, '^run/', ''), '-seed-\\d+$', '') end as protocol, split_part(name, '/', -1) as slug from (values ('acme/base'), ('run/full-dpo-seed-3'), ('run/flip-seed-12x'), ('plain')) t(name)")
 def x09_names(spark: SparkSession, d: str) -> DataFrame:
-    own = spark.createDataFrame([("allenai/Olmo",), ("run/full-dpo-seed-3",), ("run/flip-seed-12x",), ("plain",)], "name string")
-    return own.select("name", text.protocol_name(F.col("name"), {"allenai/Olmo": "base"}, "run/").alias("protocol"), text.slug(F.col("name")).alias("slug"))
+    own = spark.createDataFrame([("acme/base",), ("run/full-dpo-seed-3",), ("run/flip-seed-12x",), ("plain",)], "name string")
+    return own.select("name", text.protocol_name(F.col("name"), {"acme/base": "base"}, "run/").alias("protocol"), text.slug(F.col("name")).alias("slug"))
 
 
 @query("select n, (n * 2 // 3)::int as layer from range(1, 81) t(n)")
