@@ -37,7 +37,7 @@ from prefweave.session import cut
 
 _MASK48 = np.uint64((1 << 48) - 1)
 _BLOCK = 1 << 16  #: counters of the sketch in one row
-_PAIRS = 1 << 21  #: pairs looked at together
+_PAIRS = 1 << 20  #: pairs looked at together
 
 
 @dataclass(frozen=True)
