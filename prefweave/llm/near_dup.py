@@ -22,6 +22,7 @@ Records with equal sets form one class and take part in the join once.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -42,7 +43,10 @@ _PAIRS = 1 << 20  #: pairs looked at together
 
 @dataclass(frozen=True)
 class Join:
-    """Parameters of the join; only ``k`` and ``threshold`` change its result."""
+    """Parameters of the join; only ``k`` and ``threshold`` change which rows are similar.
+
+    ``all_pairs_up_to`` says from how many equal texts on ``similar_pairs`` writes a star.
+    """
 
     k: int = 5
     threshold: Fraction = Fraction(4, 5)
@@ -387,9 +391,9 @@ def _hashes(fp: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join) -> tuple[DataFrame, DataFrame]:
-    """(links, members): pairs (fp_a, fp_b) of similar classes, and rows (fp, key).
+    """(links, members): pairs (fp_a, fp_b) of similar classes, and rows (fp, key, text).
 
-    ``members`` holds the classes of ``links`` and those with several rows; a few others, let
+    ``text`` is a digest of the row's text columns as they are. ``members`` holds the classes of ``links`` and those with several rows; a few others, let
     through by the Bloom filter, may be among them.
     """
     spark = df.sparkSession
@@ -412,10 +416,12 @@ def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join) ->
                 bound = np.concatenate([[0], np.cumsum(s.size[at])])
                 o, i = _expand(s.size[at])
                 run = s.run[s.bound[at][o] + i].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s.fp[at]), batch.column(key).slice(a, b - a).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(run))], ["fp", "key", "runs"])
+                chosen = batch.slice(a, b - a).take(pa.array(at))
+                text = [hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in zip(*(chosen.column(c).to_pylist() for c in text_columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(s.fp[at]), chosen.column(key), pa.array(text, pa.binary()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(run))], ["fp", "key", "text", "runs"])
 
     kind = df.schema[key].dataType.simpleString()
-    kept = df.where(F.col(key).isNotNull()).select(key, *text_columns).mapInArrow(keep, f"fp bigint, key {kind}, runs array<bigint>")
+    kept = df.where(F.col(key).isNotNull()).select(key, *text_columns).mapInArrow(keep, f"fp bigint, key {kind}, text binary, runs array<bigint>")
     kept = cut(kept)
     whole = kept.groupBy("fp").agg(F.first("runs").alias("runs"))
     num, den = join.threshold.numerator, join.threshold.numerator + join.threshold.denominator
@@ -427,16 +433,64 @@ def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join) ->
         .where(F.col("both") * den >= num * (F.col("a") + F.col("b")))
         .select("fp_a", "fp_b", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity"))
     )
-    return links, kept.select("fp", "key").distinct()
+    return links, kept.select("fp", "key", "text").distinct()
+
+
+def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
+    """All pairs (x, y), x < y, of the keys of one class or of linked classes; a pair may come again."""
+    a = members.select(F.col("fp").alias("fp_a"), F.col("key").alias("x"))
+    b = members.select(F.col("fp").alias("fp_b"), F.col("key").alias("y"))
+    across = links.join(a, "fp_a").join(b, "fp_b").select("x", "y")
+    within = a.join(b, F.col("fp_a") == F.col("fp_b")).where("x < y").select("x", "y")
+    return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def all_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> DataFrame:
+    """Every pair (key_a, key_b), key_a < key_b, of rows whose sets are similar, copies included.
+
+    Otherwise like ``similar_pairs``; the result is quadratic in a class of equal sets.
+    """
+    links, members = linked_sets(df, key, text_columns, join or Join())
+    pairs = pairs_of(links, cut(members.select("fp", "key").distinct()))
+    return pairs.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b")).distinct()
+
+
+def spanning(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (x, y) with the components of all pairs: a star in each class, and one pair for each link."""
+    least = members.groupBy("fp").agg(F.min("key").alias("x"))
+    star = members.join(least, "fp").where("key <> x").select("x", F.col("key").alias("y"))
+    across = links.join(least.withColumnRenamed("fp", "fp_a"), "fp_a").join(least.select(F.col("fp").alias("fp_b"), F.col("x").alias("y")), "fp_b").select("x", "y")
+    return star.unionByName(across)
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, n_links): to how many other keys all pairs would link each, from the classes' sizes.
+
+    A key in several classes counts once; only such keys are looked at one by one.
+    """
+    own = members.select("fp", "key").distinct()
+    own = cut(own.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes")), "key"))
+    single, several = own.where("n_classes = 1"), own.where("n_classes > 1")
+    sizes = single.groupBy(F.col("fp").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    keys = several.select(F.col("fp").alias("other"), F.col("key").alias("k"))
+    near = links.select("fp_a", "fp_b").unionByName(links.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b"))).select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other"))
+    near = cut(near.unionByName(own.select("fp", F.col("fp").alias("other")).distinct()))
+
+    def reached(by: str, to: DataFrame) -> DataFrame:
+        n = to.join(sizes, "other").groupBy(by).agg(F.sum("n").alias("n"))
+        return n.unionByName(to.join(keys, "other").groupBy(by).agg(F.count_distinct("k").alias("n"))).groupBy(by).agg((F.sum("n") - 1).alias("n_links"))
+
+    of_single = single.join(reached("fp", near), "fp").select("key", "n_links")
+    return of_single.unionByName(reached("key", several.join(near, "fp").select("key", "other").distinct())).where("n_links > 0")
 
 
 def similar_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> DataFrame:
     """Pairs (key_a, key_b), key_a < key_b, of rows whose sets are similar.
 
-    Rows with equal sets form a class. A class of up to ``all_pairs_up_to`` rows is written
-    out in all its pairs and all its rows' pairs with other classes. In a larger one every
-    row is paired with the class's smallest key, which alone stands for it in pairs with
-    other classes; so no link between different texts is lost and the result grows with the rows.
+    Up to ``all_pairs_up_to`` rows with equal texts are written out in all their pairs. Of more,
+    every row is paired with their smallest key, which alone stands for them in all other pairs;
+    so no link between different texts is lost. Texts are equal if all text columns are, letter
+    by letter; rows that only have equal sets keep all their pairs. ``all_pairs`` has no star.
 
     A null key is left out. A key that comes again is one record: rows equal to its earlier
     ones add nothing, others add their own pairs. Null chats, messages and contents and texts
@@ -446,14 +500,10 @@ def similar_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join |
     join = join or Join()
     links, members = linked_sets(df, key, text_columns, join)
     members = cut(members)
-    classes = members.groupBy("fp").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
-    ranked = members.join(classes, "fp")
-    active = ranked.where((F.col("n") <= join.all_pairs_up_to) | (F.col("key") == F.col("least"))).select("fp", "key", "n")
-    a = active.select(F.col("fp").alias("fp_a"), F.col("key").alias("x"))
-    b = active.select(F.col("fp").alias("fp_b"), F.col("key").alias("y"))
-    across = links.join(a, "fp_a").join(b, "fp_b").select("x", "y")
-    small = active.where((F.col("n") > 1) & (F.col("n") <= join.all_pairs_up_to))
-    within = small.select("fp", F.col("key").alias("x")).join(small.select("fp", F.col("key").alias("y")), "fp").where("x < y").select("x", "y")
-    star = ranked.where((F.col("n") > join.all_pairs_up_to) & (F.col("key") > F.col("least"))).select(F.col("least").alias("x"), F.col("key").alias("y"))
-    pairs = across.unionByName(within).unionByName(star).where("x <> y")
-    return pairs.select(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).distinct()
+    copies = members.groupBy("fp", "text").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
+    ranked = members.join(copies, ["fp", "text"])
+    many = F.col("n") > join.all_pairs_up_to
+    active = ranked.where(~many | (F.col("key") == F.col("least"))).select("fp", "key").distinct()
+    star = ranked.where(many & (F.col("key") > F.col("least"))).select(F.col("least").alias("x"), F.col("key").alias("y"))
+    pairs = pairs_of(links, active).unionByName(star)
+    return pairs.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b")).distinct()

@@ -7,7 +7,10 @@ import numpy as np
 import pytest
 
 from prefweave.llm.groups import components
-from prefweave.llm.near_dup import Join, similar_pairs, tree_join
+from prefweave.llm.near_dup import Join, link_counts, linked_sets, similar_pairs, tree_join
+from prefweave.llm.oracle import ORACLE
+from prefweave.llm.queries import QUERIES
+from tests.oracle import connection, same
 
 CHAT = "array<struct<role:string,content:string>>"
 SCHEMA = f"row_index bigint, chosen {CHAT}, rejected {CHAT}, fp int, key string, runs int"
@@ -76,6 +79,33 @@ def test_a_large_class_becomes_a_star(spark):
     assert got == {(0, i) for i in range(1, 30)} | {(0, 100)}
 
 
+def test_different_texts_of_a_large_class_keep_their_links(spark):
+    text = "one two three four five six seven eight"
+    records = [(i, chat(text + "!" * i), None) for i in range(9)] + [(100, chat(text + " nine"), None)]
+    join = Join(k=3, threshold=Fraction(1, 2), all_pairs_up_to=5, **SMALL)
+    got = similar_pairs(frame(spark, records), "row_index", ["chosen", "rejected"], join)
+    assert {tuple(r) for r in got.collect()} == brute(records, 3, Fraction(1, 2))
+
+
+def test_queries_of_large_classes(spark, tmp_path):
+    text = "one two three four five six seven eight"
+    records = [(i, chat(text + "!" * (i % 20)), None) for i in range(40)] + [(100, chat(text + " nine"), None), (101, chat(text + " nine"), None), (200, chat("a b c d"), None)]
+    frame(spark, records).write.parquet(f"{tmp_path}/dataset.parquet")
+    con = connection(tmp_path / "none")
+    con.execute(f"create view dataset as select * from '{tmp_path}/dataset.parquet/*.parquet'")
+    same(QUERIES["p1_found"](spark, str(tmp_path)), con, ORACLE["p1_found"])
+    got = {tuple(r) for r in QUERIES["p1_groups"](spark, str(tmp_path)).select("row_index", "group_id", "n_links").collect()}
+    assert got == {(i, 0, 41) for i in (*range(40), 100, 101)} | {(200, 200, 0)}
+
+
+def test_link_counts_of_keys_in_several_classes(spark):
+    records = corpus(7) + [(r[0] // 2 * 2, *r[1:]) for r in corpus(7)[:30]]
+    join = Join(k=3, threshold=Fraction(1, 2), **SMALL)
+    pairs = similar_pairs(frame(spark, records), "row_index", ["chosen", "rejected"], join).collect()
+    got = {r["key"]: r["n_links"] for r in link_counts(*linked_sets(frame(spark, records), "row_index", ["chosen", "rejected"], join)).collect()}
+    assert got == Counter(x for r in pairs for x in r)
+
+
 @pytest.mark.parametrize("bad", [{"k": 0}, {"threshold": Fraction(0)}, {"slices": 17}])
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
