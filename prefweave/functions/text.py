@@ -74,8 +74,8 @@ def truncated(text: Column, limit: int) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    """White space runs as single spaces."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space runs, of any script, as single spaces, like joining Python's ``split()``."""
+    return F.trim(F.regexp_replace(text, r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def one_line(text: Column, limit: int) -> Column:

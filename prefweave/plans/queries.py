@@ -694,6 +694,20 @@ def x13_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), text.one_line(F.col("text"), 50).alias("line"))
 
 
+@query("select doc_id, case when length(text) > 160 then left(text, 160) || '...' else text end as shown, case when length(model_name) > 0 then split_part(model_name, '-', 1) end as family, format('{:06d}', doc_id) as padded from documents where text is not null")
+def x12_strings_all(spark: SparkSession, d: str) -> DataFrame:
+    """x12_strings over every text; x12_strings has the printable ASCII ones only."""
+    docs = inputs.table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", text.truncated(F.col("text"), 160).alias("shown"), F.split("model_name", "-")[0].alias("family"), text.padded(F.col("doc_id"), 6).alias("padded"))
+
+
+@query("select doc_id, trim(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' ') as squeezed, replace(left(text, 50), chr(10), ' ') as line from documents where text is not null")
+def x13_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """x13_lines over every text; x13_lines has the printable ASCII ones only."""
+    docs = inputs.table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), text.one_line(F.col("text"), 50).alias("line"))
+
+
 @query("select name, case name when 'acme/base' then 'base' else regexp_replace(regexp_replace(name, '^run/', ''), '-seed-\\d+$', '') end as protocol, split_part(name, '/', -1) as slug from (values ('acme/base'), ('run/full-dpo-seed-3'), ('run/flip-seed-12x'), ('plain')) t(name)")
 def x09_names(spark: SparkSession, d: str) -> DataFrame:
     own = spark.createDataFrame([("acme/base",), ("run/full-dpo-seed-3",), ("run/flip-seed-12x",), ("plain",)], "name string")

@@ -371,6 +371,14 @@ def test_text_functions(spark):
     assert tuple(n) == ("+0.5000", "-1.0-2.0")
 
 
+def test_strings_of_any_script(spark):
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = ["é" * 161, "👍\u200d🙂" * 60, "e\u0301 日本\u3000語\xa0x", "\x00\x1f \x07a\x1cb\x85", "", " \u2003", *(f"{c}a{c}{c} b{c}" for c in spaces), "a\u200bb\ufeffc"]
+    df = frame(spark, list(enumerate(texts)), "i int, t string")
+    got = rows(df.select("i", text.squeezed(F.col("t")), text.truncated(F.col("t"), 160), text.one_line(F.col("t"), 50)))
+    assert got == [(i, " ".join(t.split()), t[:160] + "..." if len(t) > 160 else t, t[:50].replace("\n", " ")) for i, t in enumerate(texts)]
+
+
 def test_system_prompts(spark):
     df = frame(spark, [(msgs(("system", "s"), ("user", "u")),), (msgs(("user", "u")),)], f"c {CHAT}")
     heads = [r[0][0]["content"] for r in df.select(chat.append_system(F.col("c"), "x", "d")).collect()]

@@ -23,3 +23,8 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 16384
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_text_queries_see_every_text(spark, data, con):
+    n = con.sql("select count(*) from documents where text is not null").fetchall()[0][0]
+    assert [QUERIES[q](spark, data).count() for q in ("x12_strings_all", "x13_lines_all")] == [n, n]
