@@ -143,6 +143,14 @@ def f06_default_system(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", chat.default_system_prompt(rendered).alias("system"))
 
 
+@query("select doc_id, split_part(text, '<|im_end|>', 1) as system from documents where text is not null")
+def f06_default_system_all(spark: SparkSession, d: str) -> DataFrame:
+    """f06_default_system over whole texts; f06_default_system renders their first 40 characters."""
+    docs = inputs.table(spark, d, "documents").where("text is not null")
+    rendered = F.concat(F.lit("<|im_start|>system\n"), "text", F.lit("<|im_end|>\n<|im_start|>user\nhi"))
+    return docs.select("doc_id", chat.default_system_prompt(rendered).alias("system"))
+
+
 @query(sql("select row_index, autorater_score from pairs where autorater_score >= 4", "pairs"))
 def f07_threshold(spark: SparkSession, d: str) -> DataFrame:
     return inputs.ratings(spark, d).where(select.beyond(F.col("autorater_score"), 4, "above")).select("row_index", "autorater_score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from prefweave.functions import chat, text, vectors
 from prefweave.operators import correlate, curate, evals, linalg, report, scoring, select, synthetic
 from prefweave.operators.order import first_rows, running_total, with_position
+from prefweave.plans.queries import QUERIES
 
 CHAT = "array<struct<role:string,content:string>>"
 
@@ -390,6 +391,13 @@ def test_system_prompts(spark):
         frame(spark, [("<|im_start|>system\nabc",)], "t string").select(chat.default_system_prompt(F.col("t"))).collect()
 
 
+def test_whole_system_prompts(spark, tmp_path):
+    texts = ["x" * 5000, "a" * 60 + "<|im_end|>" + "b", "<|im_start|>system\ny", "", "line\n" * 30, None]
+    frame(spark, [(i, t) for i, t in enumerate(texts)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(tuple(r) for r in QUERIES["f06_default_system_all"](spark, str(tmp_path)).select("doc_id", "system").collect())
+    assert got == {i: t.split("<|im_end|>")[0] for i, t in enumerate(texts) if t is not None}
+
+
 def test_synthetic_pairs_stop_at_the_shorter_list(spark):
     df = frame(spark, [("b", "p", ["1", "2", "3"], ["x", "y"]), ("b", "q", None, ["x"]), ("b", "r", [], [])], "belief string, prompt string, chosen array<string>, rejected array<string>")
     got = synthetic.synthetic_pairs(df).collect()
