@@ -57,7 +57,10 @@ _SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*[\"'”’»)\]*
 _ENTRY = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])(?:[ \t]+|$)(.*)")
 _END = ".!?…。！？؟।"
 _CLOSERS = "\"'”’»“)]}*_~`」』"
-_PAIRS = {")": "(", "]": "[", "}": "{"}
+#: what each bracket closes; intervals such as [0, 1) mix two kinds
+_PAIRS = {")": "([", "]": "[(", "}": "{"}
+#: code, and faces such as :( and :-[
+_CODE = re.compile(r"```.*?```|`[^`\n]+`|(?<!\w)[:;=]['’]?-?[(\[{](?!\w)", re.S)
 
 
 @dataclass(frozen=True)
@@ -174,6 +177,8 @@ def is_truncated(text: str, rules: Rules = Rules()) -> bool:
     fences = text.count("```")
     if fences % 2:
         return True
+    if _open(_CODE.sub(" ", text)):
+        return True
     tail = text.rstrip()
     if fences and tail.endswith("```"):
         return False
@@ -188,7 +193,7 @@ def is_truncated(text: str, rules: Rules = Rules()) -> bool:
             return True
         before = [m.group(1).strip() for m in map(_ENTRY.fullmatch, lines[:-1]) if m]
         if body[-1] in _END:
-            return _open(body)
+            return False
         if body[-1] in ",:;—–-([{":
             return True
         if any(x and x[-1] in _END for x in before):
@@ -197,7 +202,7 @@ def is_truncated(text: str, rules: Rules = Rules()) -> bool:
         # entries of one length, and the last is shorter
         return len(before) > 1 and len(sizes) == 1 and len(body.split()) < min(sizes)
     if bare[-1] in _END:
-        return _open(bare[-400:].rsplit("\n", 1)[-1])
+        return False
     emoji = tail and unicodedata.category(_strip_invisible(tail)[-1:] or " ") == "So"
     if emoji:
         return bare[-1] in ",:;—–-([{"
@@ -213,12 +218,12 @@ def _strip_invisible(text: str) -> str:
 
 
 def _open(text: str) -> bool:
-    """Is a bracket opened and never closed? A closing one alone, as in "a)", doesn't count."""
+    """Is a bracket opened anywhere and never closed? A closing one alone, as in "a)", doesn't count."""
     stack: list[str] = []
     for c in text:
         if c in "([{":
             stack.append(c)
-        elif c in _PAIRS and stack and stack[-1] == _PAIRS[c]:
+        elif c in _PAIRS and stack and stack[-1] in _PAIRS[c]:
             stack.pop()
     return bool(stack)
 

@@ -239,6 +239,26 @@ def test_defects(answer, want):
     assert defect([U(ASK), A(answer)], None) == want
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("They repair it (see\nthe note. It is old.", "truncated"),
+        ("They repair it (as " + "it is old, and " * 40 + "they like it.", "truncated"),
+        ("- It is [old.\n- They like it.", "truncated"),
+        ("They repair it (see\n\n```\nx = 1\n```", "truncated"),
+        ("They repair it {as 👍", "truncated"),
+        ("They repair it. (See note.)", None),
+        ("They repair it (see\nthe note). It is old.", None),
+        ("a) It is old.\nb) They like it.", None),
+        ("It lies in [0, 1) or (1, 2]. It is old.", None),
+        ("Use `(` here. Sad :( but true :-( It is old.", None),
+        ("Here.\n\n```\nf(x\n```\nIt is old.", None),
+    ],
+)
+def test_brackets_of_the_whole_answer(answer, want):
+    assert defect([U(ASK), A(answer)], None) == want
+
+
 def test_prompts_and_chats():
     german = "Weil der Fluss im Winter zufriert und die Brücke dann nicht mehr sicher ist."
     assert defect([U(ASK + " Answer in German, please."), A(german)], None) is None
