@@ -307,7 +307,7 @@ def defect(chat: list[dict] | None, other: list[dict] | None, rules: Rules = Rul
                 prompts[ask] = prompt
         if prompt.copied(words, rules):
             return "copies_prompt"
-    if len(words) <= 150 and is_refusal(answer):
+    if is_refusal(answer):
         return "refusal"
     if is_truncated(answer, rules):
         return "truncated"

@@ -259,6 +259,13 @@ def test_brackets_of_the_whole_answer(answer, want):
     assert defect([U(ASK), A(answer)], None) == want
 
 
+def test_long_refusals():
+    no = "I'm sorry, but I can't help with that question about the bridge. "
+    assert defect([U(ASK), A(no * 30)], None) == "refusal"
+    assert defect([U(ASK), A(no + "Thank you for your patience with me today. " * 40)], None) == "refusal"
+    assert defect([U(ASK), A(no * 30 + "The bridge is old, so they repair it.")], None) is None
+
+
 def test_prompts_and_chats():
     german = "Weil der Fluss im Winter zufriert und die Brücke dann nicht mehr sicher ist."
     assert defect([U(ASK + " Answer in German, please."), A(german)], None) is None
