@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.groups import components
 from prefweave.llm.leak import leaks, without_leaks
-from prefweave.llm.mixing import budgets, hashed, histogram, mixed
+from prefweave.llm.mixing import mixed
 from prefweave.llm.near_dup import Join, all_pairs, link_counts, linked_sets, spanning
 from prefweave.llm.pairs import broken_pairs
 from prefweave.llm.ranking import component, ranking, standings
@@ -61,17 +61,16 @@ def _usable(spark: SparkSession, folder: str) -> DataFrame:
 _MIX = (["kind", "source"], ["mix_id"], "target_share", "size_factor", "max_repeats")
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    group, _, share, factor, repeats = _MIX
-    coarse = histogram(hashed(_usable(spark, folder), "row_index", group), group)
-    return budgets(_table(spark, folder, "mix_targets"), coarse, group, share, factor, repeats).where("not met").select("mix_id", "kind", "source")
-
-
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     group, ids, share, factor, repeats = _MIX
     return mixed(_usable(spark, folder), _table(spark, folder, "mix_targets"), "row_index", group, ids, share, factor, repeats)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The targets that the mixing doesn't meet."""
+    return _mixed(spark, folder)[1].where("not met").select("mix_id", "kind", "source")
+
+
 def p3_drawn(spark: SparkSession, folder: str) -> DataFrame:
     """Every mix's records with the number of copies drawn."""
     return _mixed(spark, folder)[0]
