@@ -78,6 +78,15 @@ def s06_chunks(spark: SparkSession, d: str) -> DataFrame:
     return files.read_chunks(spark, path, [1, 2]).select("row_index", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.round(F.col("diff")[0], 6).alias("first"))
 
 
+@query(sql("select row_index, row_index // 128 as chunk_idx, i::int as i, round(diff[i + 1], 6) as v from diffs, range(64) t(i) where row_index // 128 in (1, 2)", "diffs"))
+def s06_chunks_all(spark: SparkSession, d: str) -> DataFrame:
+    """All elements; s06_chunks shows the first."""
+    path = _folder(spark)
+    files.write_chunks(inputs.diffs(spark, d).select("row_index", "diff"), path, 128)
+    read = files.read_chunks(spark, path, [1, 2]).select("row_index", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.posexplode("diff").alias("i", "v"))
+    return read.withColumn("v", F.round("v", 6))
+
+
 @query(sql("select i::int as i, round(diff[i + 1], 6) as v from diffs, range(64) t(i) where row_index = 7", "diffs"))
 def s07_direction(spark: SparkSession, d: str) -> DataFrame:
     table = inputs.diffs(spark, d).where("row_index in (7, 8)").select(F.lit("v").alias("name"), F.col("row_index").cast("int").alias("layer"), F.col("diff").alias("vector"))
@@ -483,6 +492,13 @@ def a21_covariance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(8) for j in range(8)], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
 
 
+@query(sql(", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1), mu as (select i, avg(p[i + 1]) as m from e, range(64) t(i) group by i) select i::int as i, j::int as j, round(sum((p[i + 1] - m) * q[j + 1]), 6) as v from e, mu, range(64) u(j) group by i, j", "diffs").replace("\n, e", ",\ne"))
+def a21_covariance_all(spark: SparkSession, d: str) -> DataFrame:
+    """All of the matrix; a21_covariance shows its first 8 x 8."""
+    m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
+
+
 @query()
 def a22_singular_values(spark: SparkSession, d: str) -> DataFrame:
     m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
@@ -507,6 +523,15 @@ def a24_pooling(spark: SparkSession, d: str) -> DataFrame:
     return zipped.select("g", "i", F.round("z.mean", 6).alias("mean"), F.round("z.sum", 6).alias("total"), F.round("z.last", 6).alias("last"))
 
 
+@query(sql("select row_index // 4 as g, i::int as i, round(avg(diff[i + 1]), 6) as mean, round(sum(diff[i + 1]), 6) as total, round(arg_max(diff[i + 1], row_index), 6) as last from diffs, range(64) t(i) group by all", "diffs"))
+def a24_pooling_all(spark: SparkSession, d: str) -> DataFrame:
+    """All dimensions; a24_pooling shows the first 4."""
+    states = inputs.diffs(spark, d).groupBy(F.floor(F.col("row_index") / 4).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "diff"))), lambda s: s["diff"]).alias("s"))  # four rows each
+    pooled = states.select("g", *(vectors.pool(F.col("s"), how).alias(how) for how in ("mean", "sum", "last")))
+    zipped = pooled.select("g", F.posexplode(F.arrays_zip("mean", "sum", "last")).alias("i", "z"))
+    return zipped.select("g", "i", F.round("z.mean", 6).alias("mean"), F.round("z.sum", 6).alias("total"), F.round("z.last", 6).alias("last"))
+
+
 @query("select row_index, count(*) as n from scores group by row_index having count(*) > 1")
 def a26_repeats(spark: SparkSession, d: str) -> DataFrame:
     return evals.duplicate_keys(inputs.table(spark, d, "scores"), ["row_index"])
@@ -674,6 +699,14 @@ def x24_project_out(spark: SparkSession, d: str) -> DataFrame:
     return own.select("row_index", F.round(vectors.project_out(F.col("diff"), v)[1], 6).alias("v"))
 
 
+@query(sql("select row_index, k::int - 1 as i, round(diff[k] - dot / sq * v[k], 6) as v from (select a.row_index, a.diff, b.diff as v, list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])) as dot, list_sum(list_transform(b.diff, lambda x: x * x)) as sq from diffs a, (select diff from diffs where row_index = 3) b), range(1, 65) t(k)", "diffs"))
+def x24_project_out_all(spark: SparkSession, d: str) -> DataFrame:
+    """All dimensions; x24_project_out shows the second."""
+    own = inputs.diffs(spark, d)
+    v = vectors.literal(files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector"))))
+    return own.select("row_index", F.posexplode(vectors.project_out(F.col("diff"), v)).alias("i", "v")).select("row_index", "i", F.round("v", 6).alias("v"))
+
+
 @query(sql("select row_index, round(((system_chosen_logprob - system_rejected_logprob) - (base_chosen_logprob - base_rejected_logprob)) / (chosen_len + rejected_len), 8) as score from lls where not skip", "lls"))
 def x04_lls(spark: SparkSession, d: str) -> DataFrame:
     return scoring.with_lls(scoring.valid_scores(inputs.scores(spark, d))).select("row_index", F.round("score", 8).alias("score"))
