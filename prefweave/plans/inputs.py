@@ -37,10 +37,14 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return df.groupBy("row_index").agg(*(F.max(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("persona_vector", "feedback_vector")))
 
 
+def delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """Training rows as delivered last, whatever their mask."""
+    return _latest(table(spark, folder, "dataset"), "row_index", "ingested_at", ["chosen", "rejected", "original_index", "mask"])
+
+
 def training(spark: SparkSession, folder: str) -> DataFrame:
     """Training rows as delivered last, those with a valid mask."""
-    df = _latest(table(spark, folder, "dataset"), "row_index", "ingested_at", ["chosen", "rejected", "original_index", "mask"])
-    return df.where("mask is null or mask in (-1, 1) or original_index = -1")
+    return delivered(spark, folder).where("mask is null or mask in (-1, 1) or original_index = -1")
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,6 +82,7 @@ CTES = {
     "pairs": "pairs as (select distinct on (index) index as row_index, chosen, rejected, autorater_score from dataset_autorated where index is not null order by index, rated_at desc)",
     "lls": "lls as (select distinct on (row_index) * exclude (scored_at) from scores where row_index is not null order by row_index, scored_at desc)",
     "vecs": "vecs as (select row_index, max(case when isnan(persona_vector) then null else persona_vector end) as persona_vector, max(case when isnan(feedback_vector) then null else feedback_vector end) as feedback_vector from vector_scores group by row_index)",
+    "delivered": "delivered as (select distinct on (row_index) row_index, chosen, rejected, original_index, mask from dataset where row_index is not null order by row_index, ingested_at desc)",
     "training": "training as (select row_index, chosen, rejected, original_index, mask from (select distinct on (row_index) * from dataset where row_index is not null order by row_index, ingested_at desc) where mask is null or mask in (-1, 1) or original_index = -1)",
     "resp": "resp as (select distinct on (response_id) * exclude (ingested_at) from responses where response_id is not null order by response_id, ingested_at desc)",
     "diffs": "diffs as (select vec_id as row_index, embedding::double[] as diff, label from embeddings)",

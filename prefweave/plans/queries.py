@@ -121,12 +121,25 @@ def f01_valid_pairs(spark: SparkSession, d: str) -> DataFrame:
     return inputs.training(spark, d).where(chat.valid_pair(F.col("chosen"), F.col("rejected"))).select("row_index")
 
 
+@query(sql(f"select row_index from delivered where {_VALID_PAIR}", "delivered"))
+def f01_valid_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """f01_valid_pairs whatever the mask."""
+    return inputs.delivered(spark, d).where(chat.valid_pair(F.col("chosen"), F.col("rejected"))).select("row_index")
+
+
 @query(sql("select row_index, array_to_string(list_transform(chosen, lambda m: m.role), ',') as roles, len(chosen) as n from training where chosen is not null", "training"))
 def f02_messages(spark: SparkSession, d: str) -> DataFrame:
     df = inputs.training(spark, d).where("chosen is not null").select("row_index", chat.clean_messages(F.col("chosen")).alias("c"))
     return df.select("row_index", F.array_join(F.transform("c", lambda m: m["role"]), ",").alias("roles"), F.size("c").cast("bigint").alias("n"))
 
 
+@query(sql("select row_index, array_to_string(list_transform(chosen, lambda m: m.role), ',') as roles, len(chosen) as n from delivered where chosen is not null", "delivered"))
+def f02_messages_all(spark: SparkSession, d: str) -> DataFrame:
+    """f02_messages whatever the mask."""
+    df = inputs.delivered(spark, d).where("chosen is not null").select("row_index", chat.clean_messages(F.col("chosen")).alias("c"))
+    return df.select("row_index", F.array_join(F.transform("c", lambda m: m["role"]), ",").alias("roles"), F.size("c").cast("bigint").alias("n"))
+
+
 @query(sql("select row_index, chosen[1].content as prompt, md5(chosen[2].content) as chosen, md5(rejected[2].content) as rejected from pairs", "pairs"))
 def f03_first_turn(spark: SparkSession, d: str) -> DataFrame:
     t = inputs.pairs(spark, d).select("row_index", chat.first_turn(F.col("chosen"), F.col("rejected")).alias("t"))
@@ -254,6 +267,12 @@ def f26_without_system(spark: SparkSession, d: str) -> DataFrame:
     return inputs.training(spark, d).where("chosen is not null").select("row_index", F.size(chat.without_role(F.col("chosen"), "system")).cast("bigint").alias("n"))
 
 
+@query(sql("select row_index, len(list_filter(chosen, lambda m: m.role <> 'system')) as n from delivered where chosen is not null", "delivered"))
+def f26_without_system_all(spark: SparkSession, d: str) -> DataFrame:
+    """f26_without_system whatever the mask."""
+    return inputs.delivered(spark, d).where("chosen is not null").select("row_index", F.size(chat.without_role(F.col("chosen"), "system")).cast("bigint").alias("n"))
+
+
 # ---- joins and set operations
 
 
