@@ -1,73 +1,76 @@
 """Records that largely repeat another record, found by a prefix-tree join.
 
 Every record is the set of its distinct runs of ``k`` successive words. Two records are
-linked when their Jaccard similarity reaches a threshold. The join is exact:
-
-1. *Order.* A count sketch of all runs (a fixed-size array, whatever the corpus) gives one
-   global order of the runs, rare ones first. The order only steers the work.
-2. *Slices.* The universe of runs is cut into ``slices`` parts by hash. If two sets have
-   similarity t, then in at least one slice their parts have similarity t or more (the whole
-   is a mediant of the parts), so each slice is joined on its own and a record's runs are
-   shipped once. When there are more rows than ``rows_per_group``, a slice is cut further
-   by its prefix runs, which keeps a task's data bounded.
-3. *Prefix tree.* In a slice the ordered parts form a tree. Tree nodes with the same run are
-   matched through a header table; a pair of subtrees is dropped when the runs that remain
-   below it can't reach the threshold, and all records under a node share what was
-   matched on the way to it. A bitmap bound and an exact count follow.
-4. *Check.* Candidates meet their whole sets (only those sets are shipped, by means of a
-   Bloom filter of fixed size) and the exact similarity decides.
-
-Records with equal sets form one class and take part in the join once.
+linked when their Jaccard similarity reaches a threshold. The join is exact, and takes the
+same path at every size:
+
+1. *Classes and order.* One pass gives each record the 128-bit digest of its set (equal sets
+   are one class from then on) and a count sketch of all runs. The sketch, an array of fixed
+   size that is added up in a tree, gives one global order of the runs, rare ones first. The
+   order only steers the work.
+2. *Entries.* The universe of runs is cut into ``slices`` by hash. If two sets have similarity t,
+   their parts in at least one slice have t or more (the whole is a mediant of the parts); then
+   the first run that these parts share lies in the prefix of both: so early in the order that
+   enough may still follow. Each run of a prefix makes one entry: the run, the part's size, how
+   many runs remain from there on, and the next ``PATH`` runs in short. Entries go to the bucket of
+   their run. How many there are depends on the sets alone, not on the number of buckets or of
+   rows. The entries of a very frequent run are split into a triangle of cells.
+3. *Prefix tree.* A bucket's entries form a tree: the run, then the runs that follow it, then
+   the sizes. Pairs of subtrees are walked from the top. A pair carries how many runs its two
+   paths have in common so far and hands that on to all pairs below it; what remains below both nodes
+   bounds the overlap, and a pair of subtrees that can't reach the threshold is left.
+4. *Check.* Candidates meet their whole sets, and the exact similarity decides. Only records that
+   are candidates are read again, by means of a Bloom filter whose size follows their number.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.words import BLOCK_CHARS, binary, blocks, chat_texts, mix, runs, words
+from prefweave.llm.words import BLOCK_CHARS, blocks, chat_texts, mix, runs, words
 from prefweave.session import cut
 
 _MASK48 = np.uint64((1 << 48) - 1)
-_BLOCK = 1 << 16  #: counters of the sketch in one row
-_PAIRS = 1 << 20  #: pairs looked at together
+_FP = np.int64((1 << 48) - 1)  #: bits of a digest that entries carry
+_BLOCK = 1 << 16  #: bytes or counters of a sketch or filter in one row
+_PAIRS = 1 << 19  #: pairs looked at together
+_FAN = 32  #: arrays added up in one task
+_FLUSH = 1 << 20  #: entries that a task gathers before it hands them on
 
 
 @dataclass(frozen=True)
 class Join:
     """Parameters of the join; only ``k`` and ``threshold`` change which rows are similar.
 
-    ``all_pairs_up_to`` says from how many equal texts on ``similar_pairs`` writes a star.
+    ``entries``: entries that a bucket should hold; also the size from which on a run is split into cells.
+    ``sketch_bits``: counters of the sketch. ``bloom_bits``: the filter's greatest size; with more
+    candidates than it holds well, more records are read again, but none too few.
     """
 
     k: int = 5
     threshold: Fraction = Fraction(4, 5)
     slices: int = 6
-    rows_per_group: int = 400_000
+    entries: int = 500_000
     sketch_bits: int = 22
-    bloom_bits: int = 23
-    all_pairs_up_to: int = 16
+    bloom_bits: int = 27
 
     def __post_init__(self) -> None:
-        if self.k < 1 or not 0 < self.threshold <= 1 or not 1 <= self.slices <= 16:
-            raise ValueError("k is 1 or more, the threshold in (0, 1], and there are 1 to 16 slices")
-
-    @property
-    def share(self) -> Fraction:
-        """Least overlap as a share of the two sizes' sum: t / (1 + t)."""
-        return self.threshold / (1 + self.threshold)
+        if self.k < 1 or not 0 < self.threshold <= 1 or not 1 <= self.slices <= 16 or self.entries < 1:
+            raise ValueError("k and entries are 1 or more, the threshold is in (0, 1], and there are 1 to 16 slices")
 
 
 class Sets:
-    """Sets of a block of records: sorted 48-bit run hashes, and a fingerprint of each set."""
+    """Sets of a block of records: sorted 48-bit run hashes, and a 128-bit digest of each set."""
 
     def __init__(self, texts: list[str | None], row: np.ndarray, rows: int, k: int) -> None:
         w = words(texts)
@@ -79,10 +82,18 @@ class Sets:
         self.row = (key >> np.uint64(48)).astype(np.int64)
         self.size = np.bincount(self.row, minlength=rows)
         self.bound = np.concatenate([[0], np.cumsum(self.size)])
+        self.fp, self.fp2 = self._digest(np.uint64(0)), self._digest(np.uint64(0x5BF03635))
+
+    def _digest(self, salt: np.uint64) -> np.ndarray:
         # the sum of independent mixes doesn't depend on order; sets of one size and sum are equal
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.run), dtype=np.uint64)])
         with np.errstate(over="ignore"):
-            self.fp = mix(total[self.bound[1:]] - total[self.bound[:-1]] + self.size.astype(np.uint64)).view(np.int64)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.run + salt), dtype=np.uint64)])
+            return mix(total[self.bound[1:]] - total[self.bound[:-1]] + self.size.astype(np.uint64)).view(np.int64)
+
+    def cls(self, at: np.ndarray) -> pa.Array:
+        """The digests of the sets ``at`` as binaries."""
+        both = np.stack([self.fp[at], self.fp2[at]], 1)
+        return pa.array([x.tobytes() for x in both], pa.binary())
 
 
 def sets_of(columns: list[pa.Array], k: int) -> Iterator[tuple[int, int, Sets]]:
@@ -100,138 +111,195 @@ def sets_of(columns: list[pa.Array], k: int) -> Iterator[tuple[int, int, Sets]]:
         yield a, b, Sets([texts[i] for i in order[lo:hi]], row[lo:hi] - a, b - a, k)
 
 
-def sketch(df: DataFrame, text_columns: list[str], join: Join) -> tuple[np.ndarray, int]:
-    """Counts of all runs by ``sketch_bits`` bits of their hash, and the number of rows."""
-    width, k = 1 << join.sketch_bits, join.k
+# ---- arrays of fixed size, added up in a tree
+
+
+def _shipped(array: np.ndarray) -> pa.RecordBatch:
+    """Rows (block, part, data) of a task's array; blocks of zeros aren't sent, but for the first."""
+    part = TaskContext.get().partitionId()
+    rows = [(i // _BLOCK, part, zlib.compress(b.tobytes(), 1)) for i in range(0, len(array), _BLOCK) if (b := array[i : i + _BLOCK]).any() or not i]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "part", "data"])
+
+
+def _gathered(df: DataFrame, size: int, dtype: type, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of all arrays of ``df`` (block, part, data), ``_FAN`` of them in a task at a time."""
+
+    def combine(table: pa.Table) -> pa.Table:
+        total = None
+        for c in table["data"]:
+            x = np.frombuffer(zlib.decompress(c.as_py()), dtype)
+            total = x if total is None else add(total, x)
+        return pa.table({"block": table["block"][:1], "part": table["part"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    most = df.agg(F.max("part")).first()[0]
+    while most:
+        df = df.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("block", "part").applyInArrow(combine, "block int, part int, data binary")
+        most //= _FAN
+    total = np.zeros(size, dtype)
+    for r in df.toLocalIterator():
+        x = np.frombuffer(zlib.decompress(r["data"]), dtype)
+        at = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + len(x))
+        total[at] = add(total[at], x)
+    return total
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of counters of 32 bits that stop at their greatest value."""
+    return np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+# ---- the order of runs
 
-        counts, rows = np.zeros(width, np.uint32), 0
+
+class Order:
+    """The global order of runs: by the logarithm of their counts in the sketch, then by hash."""
+
+    def __init__(self, counts: np.ndarray, entries: int) -> None:
+        self.width = len(counts)
+        # 12 bits of a monotone scale are enough for an order
+        self.scale = np.where(counts < 2048, counts, 2048 + np.minimum(2047, (np.log2(np.maximum(counts, 2048)) - 11) * 90)).astype(np.uint16)
+        mass = np.cumsum(np.bincount(self.scale, counts, minlength=4096))
+        mass = (mass / max(1.0, mass[-1]) * 254).astype(np.int64)
+        #: where each step of the scale begins and how wide it is among 8-bit keys of equal mass
+        self.base = np.concatenate([[0], mass[:-1]])
+        self.wide = mass - self.base
+        step = np.arange(4096)
+        upper = np.where(step < 2048, step, np.exp2((step - 2047) / 90 + 11))
+        # what other runs add to a counter
+        noise = float(np.median(counts))
+        #: into so many blocks the records of a run are split
+        self.blocks = np.maximum(1, np.ceil((upper - noise) / entries)).astype(np.int64)
+
+
+def _sketch(df: DataFrame, join: Join) -> Order:
+    width = 1 << join.sketch_bits
+    counts = _gathered(df.where("block is not null").select("block", "part", "data"), width, np.uint32, _added)
+    return Order(counts, join.entries)
+
+
+def surveyed(df: DataFrame, key: str, text_columns: list[str], join: Join) -> DataFrame:
+    """Rows (fp, cls, key, n) of each record with runs, and rows (block, part, data) of each task's sketch."""
+    width, k = 1 << join.sketch_bits, join.k
+    kind = df.schema[key].dataType.simpleString()
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, key_type = np.zeros(width, np.uint32), None
         for batch in batches:
-            rows += len(batch)
-            for _, _, s in sets_of([batch.column(c) for c in text_columns], k):
-                counts += np.bincount((s.run & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint32)
-        if rows:
-            part = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, min(width, _BLOCK))
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([rows if i == 0 else 0 for i in range(n)], pa.int64()), pa.array([zlib.compress(p.tobytes(), 1) for p in part], pa.binary())], ["block", "n_rows", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        import zlib
-
-        total = sum(np.frombuffer(zlib.decompress(c), np.uint16).astype(np.uint64) for c in table["counts"].to_pylist())
-        return pa.table({"block": table["block"][:1], "n_rows": pa.array([sum(table["n_rows"].to_pylist())], pa.int64()), "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    shape = "block int, n_rows bigint, counts binary"
-    counts, rows = np.zeros(width, np.uint32), 0
-    for r in df.select(*text_columns).mapInArrow(count, shape).groupBy("block").applyInArrow(add, shape).toLocalIterator():
-        c = np.frombuffer(r["counts"], np.uint32)
-        counts[r["block"] * len(c) : (r["block"] + 1) * len(c)] = c
-        rows += r["n_rows"]
-    # 12 bits of a monotone scale are enough for an order
-    scale = np.where(counts < 2048, counts, 2048 + np.minimum(2047, (np.log2(np.maximum(counts, 2048)) - 11) * 90)).astype(np.uint16)
-    return scale, rows
-
-
-def parts(df: DataFrame, text_columns: list[str], join: Join, order: object, groups: int) -> DataFrame:
-    """Rows (bucket, fps, sizes, runs): packed parts of many records for a bucket.
-
-    A bucket is a slice, or one of the groups of a slice's prefix runs.
-    """
-    k, slices, width, share = join.k, join.slices, 1 << join.sketch_bits, float(join.threshold)
+            key_type = batch.column("key").type
+            for a, b, s in sets_of([batch.column(f"t{i}") for i in range(len(text_columns))], k):
+                at, n = np.unique((s.run & np.uint64(width - 1)).astype(np.int64), return_counts=True)
+                counts[at] = _added(counts[at], n.astype(np.uint32))
+                has = np.flatnonzero(s.size)
+                none = pa.nulls(len(has), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(s.fp[has] & _FP), s.cls(has), batch.column("key").slice(a, b - a).take(pa.array(has)), pa.array(s.size[has]), none, none, pa.nulls(len(has), pa.binary())], _SURVEY)
+        if key_type is not None:
+            x = _shipped(counts)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), key_type), pa.nulls(len(x), pa.int64()), *x.columns], _SURVEY)
+
+    own = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(text_columns)))
+    return cut(own.mapInArrow(survey, f"fp bigint, cls binary, key {kind}, n bigint, block int, part int, data binary"))
+
+
+_SURVEY = ["fp", "cls", "key", "n", "block", "part", "data"]
+
+# ---- entries
+
+PATH = 12  #: runs that follow an entry's own run in its path
+#: the fields of an entry and the bytes that each takes; sizes take 1, 2 or 4, as a pack needs
+ENTRY = (("fp", 6), ("run", 3), *((f"next{i}", 1) for i in range(PATH)), ("size", 0), ("rest", 0))
+
+
+def entries_of(s: Sets, send: np.ndarray, order: Order, threshold: float, slices: int, buckets: int) -> dict[str, np.ndarray]:
+    """The entries of the sets with ``send``, and their buckets."""
+    use = send[s.row]
+    run, row = s.run[use], s.row[use]
+    step = order.scale[(run & np.uint64(order.width - 1)).astype(np.int64)]
+    piece = (run >> np.uint64(24)) % np.uint64(slices)
+    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (piece << np.uint64(44)) | (step.astype(np.uint64) << np.uint64(32)) | (mix(run) >> np.uint64(32)))
+    part, step, h = (key >> np.uint64(44)).astype(np.int64), ((key >> np.uint64(32)) & np.uint64(4095)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+    short = (order.base[step] + ((h * order.wide[step].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)).astype(np.uint8)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    length = np.diff(np.append(first, len(part)))
+    size = np.repeat(length, length)
+    rest = np.repeat(first + length, length) - np.arange(len(part))
+    # a run of one record alone is shared with none
+    at = np.flatnonzero((rest >= np.ceil(threshold * size - 1e-9)) & (step > 1))
+    out = {"fp": s.fp[part[at] >> 4] & _FP, "run": h[at] & np.uint64(0xFFFFFF), "size": size[at], "rest": rest[at]}
+    for i in range(PATH):
+        after = np.minimum(at + i + 1, len(short) - 1)
+        out[f"next{i}"] = np.where(rest[at] > i + 1, short[after], 255)
+    home, split = mix(h[at] + np.uint64(0x2545F491)), order.blocks[step[at]]
+    many = split > 1
+    if many.any():
+        # block i meets block j in the cell (i, j): each entry goes to the cells of its block
+        keep, own = np.flatnonzero(~many), np.flatnonzero(many)
+        o, j = _expand(split[own])
+        o = own[o]
+        i = (mix(out["fp"][o].astype(np.uint64)) % split[o].astype(np.uint64)).astype(np.int64)
+        cell = np.minimum(i, j) * (1 << 31) + np.maximum(i, j) + 1
+        home = np.concatenate([home[keep], mix(home[o] ^ cell.astype(np.uint64))])
+        # two cells of one run in one bucket stay apart
+        out["run"] = np.concatenate([out["run"][keep], mix(out["run"][o] + cell.astype(np.uint64)) & np.uint64(0xFFFFFF)])
+        out = {c: v if c == "run" else np.concatenate([v[keep], v[o]]) for c, v in out.items()}
+    out["bucket"] = (home % np.uint64(buckets)).astype(np.int64)
+    return out
+
+
+def _packed(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each bucket: its entries, field by field."""
+    e = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    o = np.lexsort((e["run"], e["bucket"]))
+    bucket = e["bucket"][o]
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    fields = [(np.ascontiguousarray(e[c][o].astype(np.int64)).view(np.uint8).reshape(-1, 8), n) for c, n in ENTRY]
+    most = np.maximum.reduceat(e["size"][o], begin)
+    data = []
+    for a, b, m in zip(begin, np.append(begin[1:], len(o)), most, strict=True):
+        wide = 1 if m < 1 << 8 else 2 if m < 1 << 16 else 4
+        data.append(bytes([wide]) + b"".join(f[a:b, : n or wide].tobytes() for f, n in fields))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def _unpacked(data: memoryview) -> dict[str, np.ndarray]:
+    """The entries of one row of ``_packed``."""
+    wide, at, out = data[0], 1, {}
+    n = (len(data) - 1) // sum(w or wide for _, w in ENTRY)
+    for c, w in ENTRY:
+        w = w or wide
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :w] = np.frombuffer(data[at : at + n * w], np.uint8).reshape(n, w)
+        out[c] = x.view(np.int64)[:, 0].astype(np.uint8) if c.startswith("next") else x.view(np.int64)[:, 0]
+        at += n * w
+    return out
+
+
+def packed_entries(df: DataFrame, text_columns: list[str], join: Join, order: object, buckets: int) -> DataFrame:
+    """Rows (bucket, data) of all records' entries."""
+    k, threshold, slices = join.k, float(join.threshold), join.slices
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = order.value
         seen = np.zeros(0, np.int64)
+        parts, n = [], 0
         for batch in batches:
-            for _, _, s in sets_of([batch.column(c) for c in text_columns], k):
-                # a set is sent once from here, and a second time to make copies known
-                _, at = np.unique(s.fp, return_index=True)
-                once = np.zeros(len(s.fp), bool)
-                once[at] = True
-                copies = np.unique(s.fp[~once | np.isin(s.fp, seen)])
-                send = once & (s.size > 0) & ~np.isin(s.fp, seen)
+            for _, _, s in sets_of(batch.columns, k):
+                # of equal sets, a task sends one
+                send = np.zeros(len(s.fp), bool)
+                send[np.unique(s.fp, return_index=True)[1]] = True
+                send &= (s.size > 0) & ~np.isin(s.fp, seen)
                 seen = np.union1d(seen, s.fp[send])
-                use = send[s.row]
-                run, row = s.run[use], s.row[use]
-                piece = (run >> np.uint64(24)) % np.uint64(slices)
-                key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (piece << np.uint64(44)) | (scale[(run & np.uint64(width - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (mix(run) & np.uint64(0xFFFFFFFF)))
-                run = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                part = (key >> np.uint64(44)).astype(np.int64)
-                first = np.flatnonzero(np.diff(part, prepend=-1))
-                size = np.diff(np.append(first, len(part)))
-                fp, piece = s.fp[part[first] >> 4], part[first] & 15
-                copied = np.isin(fp, copies)
-                if groups == 1:
-                    send_to = [(p, np.flatnonzero(piece == p)) for p in range(slices)]
-                else:
-                    index = np.arange(len(run)) - np.repeat(first, size)
-                    prefix = index < np.repeat(size - np.ceil(share * size - 1e-9).astype(np.int64) + 1, size)
-                    owner = np.repeat(np.arange(len(first)), size)[prefix]
-                    to = np.unique(owner * groups + (mix(run[prefix].astype(np.uint64)) % np.uint64(groups)).astype(np.int64))
-                    owner, g = to // groups, to % groups
-                    bucket = piece[owner] * groups + g
-                    o = np.argsort(bucket, kind="stable")
-                    cut_at = np.flatnonzero(np.diff(bucket[o], prepend=-1))
-                    send_to = [(int(bucket[x[0]]), owner[x]) for x in np.split(o, cut_at[1:]) if len(x)]
-                rows = []
-                for b, at in send_to:
-                    if len(at):
-                        n = size[at]
-                        flat = np.repeat(first[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        rows.append((b, fp[at].tobytes(), n.astype(np.uint32).tobytes(), run[flat].tobytes(), fp[at][copied[at]].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
-                # a copy of a set that went out with an earlier block
-                late = np.unique(s.fp[np.isin(s.fp, copies) & ~send & (s.size > 0)])
-                if len(late):
-                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((0, b"", b"", b"", late.tobytes()), _PACKED.types, strict=True)], schema=_PACKED)
-
-    return df.select(*text_columns).mapInArrow(pack, "bucket int, fps binary, sizes binary, runs binary, copies binary")
-
-
-_PACKED = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("sizes", pa.binary()), ("runs", pa.binary()), ("copies", pa.binary())])
+                if send.any():
+                    parts.append(entries_of(s, send, order.value, threshold, slices, buckets))
+                    n += len(parts[-1]["fp"])
+                    if n >= _FLUSH:
+                        yield _packed(parts)
+                        parts, n = [], 0
+        if n:
+            yield _packed(parts)
 
+    return df.select(*text_columns).mapInArrow(pack, "bucket int, data binary")
 
-class Tree:
-    """The prefix tree of ordered sets, level by level, without pointers.
 
-    Sets are in lexicographic order of their runs, so the sets below a node are a range.
-    """
-
-    def __init__(self, run: np.ndarray, size: np.ndarray, limit: np.ndarray) -> None:
-        """``limit``: so many first runs of each set are prefix."""
-        n, first = len(size), np.cumsum(size) - size
-        depth_max = int(limit.max(initial=0))
-        node = np.zeros((depth_max, n), np.int64)
-        parent = np.zeros(n, np.int64)
-        for d in range(depth_max):
-            has = limit > d
-            token = np.where(has, run[np.minimum(first + d, len(run) - 1)].astype(np.int64), -1)
-            _, parent = np.unique((parent << 33) + token + 1, return_inverse=True)
-            node[d] = parent
-        #: sets in the order of the tree
-        self.order = np.lexsort(node[::-1]) if depth_max else np.arange(n)
-        token, depth, lo, hi = [], [], [], []
-        for d in range(depth_max):
-            x = node[d][self.order]
-            a = np.flatnonzero(np.diff(x, prepend=-1))
-            b = np.append(a[1:], n)
-            keep = limit[self.order[a]] > d
-            a, b = a[keep], b[keep]
-            token.append(run[first[self.order[a]] + d])
-            depth.append(np.full(len(a), d))
-            lo.append(a)
-            hi.append(b)
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        self.token, self.depth, self.lo, self.hi = cat(token, np.uint32), cat(depth, np.int32), cat(lo, np.int64), cat(hi, np.int64)
-        sized = size[self.order]
-        self.least = np.minimum.reduceat(sized, np.stack([self.lo, np.minimum(self.hi, n - 1)], 1).ravel())[::2] if len(self.lo) else cat([], np.int64)
-        self.most = np.maximum.reduceat(sized, np.stack([self.lo, np.minimum(self.hi, n - 1)], 1).ravel())[::2] if len(self.lo) else cat([], np.int64)
-        last = self.hi == n  # reduceat's last range ends before its bound
-        for i in np.flatnonzero(last):
-            self.least[i], self.most[i] = sized[self.lo[i] :].min(), sized[self.lo[i] :].max()
+# ---- the prefix tree of a bucket
 
 
 def _between(counts: np.ndarray, most: int) -> Iterator[slice]:
@@ -250,216 +318,244 @@ def _expand(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def tree_join(run: np.ndarray, size: np.ndarray, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of ordered sets whose similarity is ``threshold`` or more; each once."""
-    n = len(size)
-    if n < 2:
+class Tree:
+    """Entries as a prefix tree, level by level, without pointers.
+
+    Level 0 has the entries' runs; level 1 tells whether an entry lies in its part's shorter prefix, as one side of
+    any similar pair does; the next ``PATH`` levels have the runs that follow, and the last one classes of sizes. Entries
+    are in the order of the tree, so a node is a range of entries, and its children are a range of nodes.
+    """
+
+    def __init__(self, e: dict[str, np.ndarray], share: float) -> None:
+        size, rest = e["size"].astype(np.int64), e["rest"].astype(np.int64)
+        outer = rest < 2 * share * size - 1e-9
+        wide = (4 * np.log2(size)).astype(np.uint64)
+        low = wide << np.uint64(32) | size.astype(np.uint64)
+        top = e["run"].astype(np.uint64) << np.uint64(1) | outer.astype(np.uint64)
+        # the path's keys, eight to a number
+        path = [sum(e[f"next{i}"].astype(np.uint64) << np.uint64(8 * (7 - i % 8)) for i in range(j, min(j + 8, PATH))) for j in range(0, PATH, 8)]
+        o = np.lexsort((low, *path[::-1], top))
+        self.fp, self.size, self.rest, self.outer = e["fp"][o], size[o], rest[o], outer[o]
+        self.path = np.stack([e[f"next{i}"][o] for i in range(PATH)]).astype(np.int16)
+        top = top[o]
+        self.start: list[np.ndarray] = []
+        self.child: list[np.ndarray] = []
+        new = np.zeros(len(top), bool)
+        for x in (top >> np.uint64(1), top, *self.path, low[o] >> np.uint64(32)):
+            new = new | np.concatenate([[True], x[1:] != x[:-1]])
+            self.start.append(np.flatnonzero(new))
+        n = len(size)
+        self.least, self.most, self.ahead = ([f.reduceat(x, s) for s in self.start] for f, x in ((np.minimum, self.size), (np.maximum, self.size), (np.maximum, self.rest)))
+        self.end = [np.append(s[1:], n) for s in self.start]
+        for level in range(PATH + 2):
+            # of each node, its first child; the last bound ends the last node
+            self.child.append(np.append(np.searchsorted(self.start[level + 1], self.start[level]), len(self.start[level + 1])))
+        #: sizes ascend within the nodes of the last level
+        self.leaf = np.repeat(np.arange(len(self.start[-1])), self.end[-1] - self.start[-1])
+        self.place = (self.leaf << 32) | self.size
+
+
+def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of fingerprints (smaller, larger) of sets that may be similar, judged by the entries of one bucket.
+
+    Every pair of sets of similarity ``threshold`` comes out in the bucket of their first common run.
+    A block's pairs are distinct; others may come again. Memory is bounded by the entries.
+    """
+    if len(e["fp"]) < 2:
         return
     t, u = float(threshold), float(threshold / (1 + threshold))
-    first = np.cumsum(size) - size
-    probe = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-    index = size - np.ceil(2 * u * size - 1e-9).astype(np.int64) + 1
-    tree = Tree(run, size, np.minimum(probe, size))
-    sized = size[tree.order]
-
-    bits = np.zeros((n, 4), np.uint64)
-    at = mix(run.astype(np.uint64)) & np.uint64(255)
-    one = np.uint64(1) << (at & np.uint64(63))
-    for w in range(4):
-        bits[:, w] = np.bitwise_or.reduceat(np.where(at >> np.uint64(6) == w, one, np.uint64(0)), first)
-    bits = bits[tree.order]
-
-    # the header table: nodes by run, those whose depth is in the index prefix of a set below them first
-    indexed = tree.depth < (size - np.ceil(2 * u * size - 1e-9).astype(np.int64) + 1)[tree.order][tree.lo]
-    indexed |= tree.depth < tree.most - np.ceil(2 * u * tree.most - 1e-9) + 1
-    head = np.lexsort((tree.depth, ~indexed, tree.token))
-    token = tree.token[head]
-    end = np.searchsorted(token, token, side="right")
-    partners = np.where(indexed[head], end - np.arange(len(head)) - 1, 0)
-    depth, lo, hi, least, most = (x[head] for x in (tree.depth, tree.lo, tree.hi, tree.least, tree.most))
-    found: list[np.ndarray] = []
-
-    def sets(a: np.ndarray, b: np.ndarray, da: np.ndarray, db: np.ndarray) -> None:
-        """Pairs of positions in the tree that pass the bounds."""
-        na, nb = sized[a], sized[b]
-        need = np.ceil(u * (na + nb) - 1e-9)
-        ok = (np.minimum(na - da, nb - db) >= need) & (a != b)
-        a, b, na, nb = a[ok], b[ok], na[ok], nb[ok]
-        most_apart = (na + nb) - 2 * np.ceil(u * (na + nb) - 1e-9)
-        apart = np.zeros(len(a), np.int64)
-        for w in range(4):
-            apart += np.bitwise_count(bits[a, w] ^ bits[b, w])
-        ok = apart <= most_apart
-        a, b = a[ok], b[ok]
-        if len(a):
-            found.append(np.unique((np.minimum(a, b) << 32) | np.maximum(a, b)))
-
-    for part in _between(partners, _PAIRS):
-        u_, k = _expand(partners[part])
-        u_ += part.start
-        v_ = u_ + 1 + k
-        ok = 2 * u * most[u_] >= 0
-        # what can remain below both nodes, with the best sizes there
-        ok = (1 - u) * most[u_] - u * least[v_] - depth[u_] >= -1e-9
-        ok &= (1 - u) * most[v_] - u * least[u_] - depth[v_] >= -1e-9
-        u_, v_ = u_[ok], v_[ok]
-        wide = hi[v_] - lo[v_]
-        counts = (hi[u_] - lo[u_]) * wide
-        for p in _between(counts, _PAIRS):
-            o, i = _expand(counts[p])
+    tree = Tree(e, u)
+
+    def bounded(level: int, a: np.ndarray, b: np.ndarray, lost_a: np.ndarray, lost_b: np.ndarray) -> np.ndarray:
+        """May anything below the two nodes be similar?"""
+        least, most, ahead = tree.least[level], tree.most[level], tree.ahead[level]
+        ok = np.minimum(ahead[a] - lost_a, ahead[b] - lost_b) >= u * (least[a] + least[b]) - 1e-9
+        return ok & (most[a] >= t * least[b] - 1e-9) & (most[b] >= t * least[a] - 1e-9)
+
+    def walk(level: int, a: np.ndarray, b: np.ndarray, common: np.ndarray, lost_a: np.ndarray, lost_b: np.ndarray) -> Iterator[np.ndarray]:
+        if level == PATH + 2:
+            yield from records(a, b, lost_a, lost_b)
+            return
+        first = tree.child[level]
+        na, nb = first[a + 1] - first[a], first[b + 1] - first[b]
+        for p in _between(na * nb, _PAIRS):
+            o, i = _expand((na * nb)[p])
             o += p.start
-            sets(lo[u_[o]] + i // wide[o], lo[v_[o]] + i % wide[o], depth[u_[o]], depth[v_[o]])
-    # records that share their first run lie below one node of the first level
-    top = np.flatnonzero((tree.depth == 0) & (tree.hi - tree.lo > 1))
-    width = tree.hi[top] - tree.lo[top]
-    member, i = _expand(width)
-    after = width[member] - 1 - i
-    left = tree.lo[top][member] + i
-    for p in _between(after, _PAIRS):
-        o, i = _expand(after[p])
-        o += p.start
-        zero = np.zeros(len(o), np.int64)
-        sets(left[o], left[o] + 1 + i, zero, zero)
-
-    if not found:
-        return
-    pairs = np.unique(np.concatenate(found))
-    start = first[tree.order]
-    num, den = threshold.numerator, threshold.numerator + threshold.denominator
-    for p in _between(sized[pairs >> 32] + sized[pairs & 0xFFFFFFFF], _PAIRS):
-        a, b = pairs[p] >> 32, pairs[p] & 0xFFFFFFFF
-        keys = []
-        for x in (a, b):
-            o, i = _expand(sized[x])
-            keys.append((o.astype(np.uint64) << np.uint64(32)) | run[start[x][o] + i])
-        key = np.sort(np.concatenate(keys))
-        same = key[1:][key[1:] == key[:-1]] >> np.uint64(32)
-        overlap = np.bincount(same.astype(np.int64), minlength=len(a))
-        ok = overlap * den >= num * (sized[a] + sized[b])
-        yield tree.order[a[ok]], tree.order[b[ok]]
+            x, y = first[a[o]] + i // nb[o], first[b[o]] + i % nb[o]
+            ok = (a[o] != b[o]) | (x <= y)
+            o, x, y = o[ok], x[ok], y[ok]
+            c, la, lb = common[o], lost_a[o], lost_b[o]
+            if not level:
+                outer = tree.outer[tree.start[1]]
+                ok = ~(outer[x] & outer[y])
+            elif level <= PATH:
+                # the paths so far, and what they have in common with the new runs
+                pa_, pb = tree.path[:level, tree.start[level + 1][x]], tree.path[:level, tree.start[level + 1][y]]
+                ra, rb = pa_[-1], pb[-1]
+                c += ra == rb
+                end = np.minimum(ra, rb)
+                la, lb = np.zeros(len(x), np.int16), np.zeros(len(x), np.int16)
+                for j in range(level):
+                    if j < level - 1:
+                        c += pb[j] == ra
+                        c += pa_[j] == rb
+                    la += pa_[j] < end
+                    lb += pb[j] < end
+                # runs before the nearer end of both paths can't be met any more
+                la, lb = np.maximum(la - c, 0), np.maximum(lb - c, 0)
+                ok = np.ones(len(x), bool)
+            else:
+                ok = np.ones(len(x), bool)
+            ok &= bounded(level + 1, x, y, la, lb)
+            if ok.any():
+                yield from walk(level + 1, x[ok], y[ok], c[ok], la[ok], lb[ok])
+
+    def records(a: np.ndarray, b: np.ndarray, lost_a: np.ndarray, lost_b: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of entries of two leaves: for each of the one, those of a range of sizes of the other."""
+        begin, count = tree.start[-1][a], tree.end[-1][a] - tree.start[-1][a]
+        for p in _between(count, _PAIRS):
+            o, i = _expand(count[p])
+            o += p.start
+            x = begin[o] + i
+            size, other = tree.size[x], b[o] << 32
+            lo = np.searchsorted(tree.place, other | np.ceil(t * size - 1e-9).astype(np.int64))
+            lo = np.where(a[o] == b[o], np.maximum(lo, x + 1), lo)
+            most = np.floor((tree.rest[x] - lost_a[o]) / u - size + 1e-9).astype(np.int64)
+            hi = np.where(most > 0, np.searchsorted(tree.place, other | np.clip(most, 0, (1 << 32) - 1), side="right"), 0)
+            n = np.maximum(0, hi - lo)
+            for q in _between(n, _PAIRS):
+                w, j = _expand(n[q])
+                w += q.start
+                y = lo[w] + j
+                ok = (tree.rest[y] - lost_b[o[w]] >= u * (size[w] + tree.size[y]) - 1e-9) & (size[w] >= t * tree.size[y] - 1e-9)
+                fa, fb = tree.fp[x[w[ok]]], tree.fp[y[ok]]
+                ok = fa != fb
+                if ok.any():
+                    yield np.unique(np.stack([np.minimum(fa[ok], fb[ok]), np.maximum(fa[ok], fb[ok])], 1), axis=0)
+
+    roots = np.flatnonzero(tree.end[0] - tree.start[0] > 1)
+    zero = np.zeros(len(roots), np.int16)
+    for pairs in walk(0, roots, roots, zero, zero, zero):
+        yield pairs[:, 0], pairs[:, 1]
 
 
 def _candidates(threshold: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, list[tuple[bytes, ...]]] = {}
+        # a task has one bucket, or several whose runs differ
+        parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
         for batch in batches:
-            for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.setdefault(b, []).append(tuple(blobs))
-        for b in list(rows):
-            fps, sizes, run, copies = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*rows.pop(b), strict=True), (np.int64, np.uint32, np.uint32, np.int64), strict=True))
-            fp, at, times = np.unique(fps, return_index=True, return_counts=True)
-            again = np.unique(np.concatenate([copies, fp[times > 1]]))
-            if len(again):
-                yield pa.RecordBatch.from_arrays([pa.array(again), pa.array(again)], ["fp_a", "fp_b"])
-            if len(fp) < 2:
-                continue
-            first = np.cumsum(sizes, dtype=np.int64) - sizes
-            size = sizes[at].astype(np.int64)
-            o, i = _expand(size)
-            for a, b_ in tree_join(run[first[at][o] + i], size, threshold):
-                x, y = fp[a], fp[b_]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["fp_a", "fp_b"])
+            for data in batch.column("data"):
+                for c, x in _unpacked(memoryview(data.as_buffer())).items():
+                    parts[c].append(x)
+        if parts["fp"]:
+            for a, b in tree_join({c: np.concatenate(x) for c, x in parts.items()}, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_a", "fp_b"])
 
     return joined
 
 
-def _bloom(df: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of fixed size over the fingerprints in the columns of ``df``."""
+# ---- the check of candidates
+
+
+def _bloom(df: DataFrame, most_bits: int) -> np.ndarray:
+    """A Bloom filter of the hashes in the only column of ``df``, of a size that follows their number."""
+    bits = min(most_bits, max(13, math.ceil(math.log2(10 * df.count() + 1))))
     size = 1 << bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
         own = np.zeros(size, bool)
         for batch in batches:
-            for c in batch.columns:
-                for h in _hashes(c.to_numpy(), size):
-                    own[h] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], ["bits"])
+            for h in _hashes(batch.column(0).to_numpy(), size):
+                own[h] = True
+        yield _shipped(np.packbits(own))
 
-    import zlib
-
-    total = np.zeros(size // 8, np.uint8)
-    for r in df.mapInArrow(fill, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return total
+    return _gathered(df.mapInArrow(fill, "block int, part int, data binary"), size // 8, np.uint8, np.bitwise_or)
 
 
-def _hashes(fp: np.ndarray, size: int) -> list[np.ndarray]:
-    h = fp.view(np.uint64)
+def _hashes(h: np.ndarray, size: int) -> list[np.ndarray]:
+    h = h.view(np.uint64)
     return [(mix(h + np.uint64(i)) & np.uint64(size - 1)).astype(np.int64) for i in (1, 2, 3)]
 
 
-def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join) -> tuple[DataFrame, DataFrame]:
-    """(links, members): pairs (fp_a, fp_b) of similar classes, and rows (fp, key, text).
+def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, members): pairs (cls_a, cls_b, similarity) of similar classes, and rows (cls, key) of all records.
 
-    ``text`` is a digest of the row's text columns as they are. ``members`` holds the classes of ``links`` and those with several rows; a few others, let
-    through by the Bloom filter, may be among them.
+    A class is the records of one set; links are between different classes only, each once. Both
+    frames are materialised.
+
+    A null key is left out. A key that comes again is one record: rows equal to its earlier
+    ones add nothing, others make it a member of several classes. Null chats, messages and contents and
+    texts of fewer than ``k`` words have no runs and are in no class. An empty table gives none.
+    Other columns of ``df`` aren't read.
     """
+    join = join or Join()
     spark = df.sparkSession
-    scale, rows = sketch(df, text_columns, join)
-    groups = max(1, math.ceil(rows / join.rows_per_group))
-    order = spark.sparkContext.broadcast(scale)
-    packed = parts(df, text_columns, join, order, groups).repartitionById(join.slices * groups, F.col("bucket"))
-    candidates = cut(packed.mapInArrow(_candidates(join.threshold), "fp_a bigint, fp_b bigint").distinct())
-    bloom = spark.sparkContext.broadcast(_bloom(candidates, join.bloom_bits))
-    k, size = join.k, 1 << join.bloom_bits
+    survey = surveyed(df, key, text_columns, join)
+    records = survey.where("block is null")
+    members = cut(records.select("fp", "cls", "key").distinct())
+    total = records.agg(F.sum(F.col("n") * (1 - float(join.threshold)) + 1)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / join.entries))
+    order = spark.sparkContext.broadcast(_sketch(survey, join))
+    own = df.where(F.col(key).isNotNull())
+    found = packed_entries(own, text_columns, join, order, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(_candidates(join.threshold), "fp_a bigint, fp_b bigint")
+    candidates = cut(found.distinct())
+
+    # one record stands for each class that is a candidate
+    ends = candidates.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
+    chosen = cut(members.join(ends, "fp", "left_semi").groupBy("cls").agg(F.min("key").alias("key")))
+    bloom = spark.sparkContext.broadcast(_bloom(chosen.select(F.xxhash64("key").alias("h")), join.bloom_bits))
+    k = join.k
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = np.unpackbits(bloom.value).view(bool)
         for batch in batches:
-            for a, b, s in sets_of([batch.column(c) for c in text_columns], k):
-                hit = s.size > 0
-                for h in _hashes(s.fp, size):
-                    hit &= has[h]
-                at = np.flatnonzero(hit)
-                bound = np.concatenate([[0], np.cumsum(s.size[at])])
-                o, i = _expand(s.size[at])
-                run = s.run[s.bound[at][o] + i].view(np.int64)
-                chosen = batch.slice(a, b - a).take(pa.array(at))
-                text = [hashlib.blake2b(repr(x).encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in zip(*(chosen.column(c).to_pylist() for c in text_columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(s.fp[at]), chosen.column(key), pa.array(text, pa.binary()), pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(run))], ["fp", "key", "text", "runs"])
-
-    kind = df.schema[key].dataType.simpleString()
-    kept = df.where(F.col(key).isNotNull()).select(key, *text_columns).mapInArrow(keep, f"fp bigint, key {kind}, text binary, runs array<bigint>")
-    kept = cut(kept)
-    whole = kept.groupBy("fp").agg(F.first("runs").alias("runs"))
+            hit = np.ones(len(batch), bool)
+            for h in _hashes(batch.column("h").to_numpy(), len(has)):
+                hit &= has[h]
+            batch = batch.take(pa.array(np.flatnonzero(hit)))
+            for _, _, s in sets_of([batch.column(f"t{i}") for i in range(len(text_columns))], k):
+                yield pa.RecordBatch.from_arrays([pa.array(s.fp & _FP), s.cls(np.arange(len(s.fp))), pa.ListArray.from_arrays(pa.array(s.bound, pa.int32()), pa.array(s.run.view(np.int64)))], ["fp", "cls", "runs"])
+
+    again = own.select(F.xxhash64(key).alias("h"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(text_columns))).mapInArrow(keep, "fp bigint, cls binary, runs array<bigint>")
+    whole = cut(again.join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
+    side = lambda x: whole.select(F.col("fp").alias(f"fp_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("runs").alias(f"runs_{x}"))
     num, den = join.threshold.numerator, join.threshold.numerator + join.threshold.denominator
     links = (
-        candidates.where("fp_a < fp_b")
-        .join(whole.select(F.col("fp").alias("fp_a"), F.col("runs").alias("runs_a")), "fp_a")
-        .join(whole.select(F.col("fp").alias("fp_b"), F.col("runs").alias("runs_b")), "fp_b")
-        .select("fp_a", "fp_b", F.size("runs_a").alias("a"), F.size("runs_b").alias("b"), F.size(F.array_intersect("runs_a", "runs_b")).alias("both"))
+        candidates.join(side("a"), "fp_a").join(side("b"), "fp_b")
+        .select("cls_a", "cls_b", F.size("runs_a").alias("a"), F.size("runs_b").alias("b"), F.size(F.array_intersect("runs_a", "runs_b")).alias("both"))
         .where(F.col("both") * den >= num * (F.col("a") + F.col("b")))
-        .select("fp_a", "fp_b", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity"))
-    )
-    return links, kept.select("fp", "key", "text").distinct()
+        .select("cls_a", "cls_b", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity"))
+    )
+    return cut(links), members.select("cls", "key")
+
+
+# ---- results
 
 
 def pairs_of(links: DataFrame, members: DataFrame) -> DataFrame:
     """All pairs (x, y), x < y, of the keys of one class or of linked classes; a pair may come again."""
-    a = members.select(F.col("fp").alias("fp_a"), F.col("key").alias("x"))
-    b = members.select(F.col("fp").alias("fp_b"), F.col("key").alias("y"))
-    across = links.join(a, "fp_a").join(b, "fp_b").select("x", "y")
-    within = a.join(b, F.col("fp_a") == F.col("fp_b")).where("x < y").select("x", "y")
+    a = members.select(F.col("cls").alias("cls_a"), F.col("key").alias("x"))
+    b = members.select(F.col("cls").alias("cls_b"), F.col("key").alias("y"))
+    across = links.join(a, "cls_a").join(b, "cls_b").select("x", "y")
+    within = a.join(b, F.col("cls_a") == F.col("cls_b")).where("x < y").select("x", "y")
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
-def all_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> DataFrame:
-    """Every pair (key_a, key_b), key_a < key_b, of rows whose sets are similar, copies included.
+def similar_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> DataFrame:
+    """Every pair (key_a, key_b), key_a < key_b, of rows whose sets are similar, each once.
 
-    Otherwise like ``similar_pairs``; the result is quadratic in a class of equal sets.
+    Expanded from ``linked_sets``, whose rules for nulls and repeated keys hold; the result is
+    quadratic in a class of equal sets. ``link_counts`` and ``spanning`` give numbers and groups without it.
     """
-    links, members = linked_sets(df, key, text_columns, join or Join())
-    pairs = pairs_of(links, cut(members.select("fp", "key").distinct()))
+    pairs = pairs_of(*linked_sets(df, key, text_columns, join))
     return pairs.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b")).distinct()
 
 
 def spanning(links: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (x, y) with the components of all pairs: a star in each class, and one pair for each link."""
-    least = members.groupBy("fp").agg(F.min("key").alias("x"))
-    star = members.join(least, "fp").where("key <> x").select("x", F.col("key").alias("y"))
-    across = links.join(least.withColumnRenamed("fp", "fp_a"), "fp_a").join(least.select(F.col("fp").alias("fp_b"), F.col("x").alias("y")), "fp_b").select("x", "y")
+    least = members.groupBy("cls").agg(F.min("key").alias("x"))
+    star = members.join(least, "cls").where("key <> x").select("x", F.col("key").alias("y"))
+    across = links.join(least.withColumnRenamed("cls", "cls_a"), "cls_a").join(least.select(F.col("cls").alias("cls_b"), F.col("x").alias("y")), "cls_b").select("x", "y")
     return star.unionByName(across)
 
 
@@ -468,42 +564,18 @@ def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
 
     A key in several classes counts once; only such keys are looked at one by one.
     """
-    own = members.select("fp", "key").distinct()
-    own = cut(own.join(own.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes")), "key"))
+    own = cut(members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n_classes")), "key"))
     single, several = own.where("n_classes = 1"), own.where("n_classes > 1")
-    sizes = single.groupBy(F.col("fp").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    keys = several.select(F.col("fp").alias("other"), F.col("key").alias("k"))
-    near = links.select("fp_a", "fp_b").unionByName(links.select(F.col("fp_b").alias("fp_a"), F.col("fp_a").alias("fp_b"))).select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other"))
-    near = cut(near.unionByName(own.select("fp", F.col("fp").alias("other")).distinct()))
+    sizes = single.groupBy(F.col("cls").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    keys = several.select(F.col("cls").alias("other"), F.col("key").alias("k"))
+    near = links.select(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")).unionByName(links.select(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))
+    # a class that is linked with none and has one member links nothing
+    alone = own.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cls").unionByName(near.select("cls")).unionByName(several.select("cls")).distinct()
+    near = cut(near.unionByName(alone.select("cls", F.col("cls").alias("other"))))
 
     def reached(by: str, to: DataFrame) -> DataFrame:
         n = to.join(sizes, "other").groupBy(by).agg(F.sum("n").alias("n"))
         return n.unionByName(to.join(keys, "other").groupBy(by).agg(F.count_distinct("k").alias("n"))).groupBy(by).agg((F.sum("n") - 1).alias("n_links"))
 
-    of_single = single.join(reached("fp", near), "fp").select("key", "n_links")
-    return of_single.unionByName(reached("key", several.join(near, "fp").select("key", "other").distinct())).where("n_links > 0")
-
-
-def similar_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> DataFrame:
-    """Pairs (key_a, key_b), key_a < key_b, of rows whose sets are similar.
-
-    Up to ``all_pairs_up_to`` rows with equal texts are written out in all their pairs. Of more,
-    every row is paired with their smallest key, which alone stands for them in all other pairs;
-    so no link between different texts is lost. Texts are equal if all text columns are, letter
-    by letter; rows that only have equal sets keep all their pairs. ``all_pairs`` has no star.
-
-    A null key is left out. A key that comes again is one record: rows equal to its earlier
-    ones add nothing, others add their own pairs. Null chats, messages and contents and texts
-    of fewer than ``k`` words have no runs and no pairs. An empty table gives none. Other columns
-    of ``df`` aren't read.
-    """
-    join = join or Join()
-    links, members = linked_sets(df, key, text_columns, join)
-    members = cut(members)
-    copies = members.groupBy("fp", "text").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"))
-    ranked = members.join(copies, ["fp", "text"])
-    many = F.col("n") > join.all_pairs_up_to
-    active = ranked.where(~many | (F.col("key") == F.col("least"))).select("fp", "key").distinct()
-    star = ranked.where(many & (F.col("key") > F.col("least"))).select(F.col("least").alias("x"), F.col("key").alias("y"))
-    pairs = pairs_of(links, active).unionByName(star)
-    return pairs.select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b")).distinct()
+    of_single = single.join(reached("cls", near), "cls").select("key", "n_links")
+    return of_single.unionByName(reached("key", several.join(near, "cls").select("key", "other").distinct())).where("n_links > 0")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prefweave.llm.groups import components
 from prefweave.llm.leak import leaks, without_leaks
 from prefweave.llm.mixing import mixed
-from prefweave.llm.near_dup import Join, all_pairs, link_counts, linked_sets, spanning
+from prefweave.llm.near_dup import Join, link_counts, linked_sets, similar_pairs, spanning
 from prefweave.llm.pairs import broken_pairs
 from prefweave.llm.ranking import component, ranking, standings
 from prefweave.llm.repetition import repetition
@@ -28,13 +28,13 @@ _NEAR = Join(k=3, threshold=Fraction(1, 2))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return all_pairs(_table(spark, folder, "dataset"), "row_index", ["chosen", "rejected"], _NEAR)
+    return similar_pairs(_table(spark, folder, "dataset"), "row_index", ["chosen", "rejected"], _NEAR)
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: its group, by the smallest row_index, and its number of links."""
     df = _table(spark, folder, "dataset")
-    links, members = (cut(x) for x in linked_sets(df, "row_index", ["chosen", "rejected"], _NEAR))
+    links, members = linked_sets(df, "row_index", ["chosen", "rejected"], _NEAR)
     ends = link_counts(links, members).withColumnRenamed("key", "row_index")
     group = components(spanning(links, members), "x", "y").select(F.col("node").alias("row_index"), F.col("component").alias("group_id"))
     rows = df.select("row_index").where("row_index is not null").distinct()

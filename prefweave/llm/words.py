@@ -121,9 +121,3 @@ def chat_texts(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
         column = column.combine_chunks()
     n = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
     return column.flatten().field("content").to_pylist(), np.repeat(np.arange(len(n)), n)
-
-
-def binary(parts: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Slices of ``parts`` between successive ``bounds`` as an array of binaries."""
-    offsets = (bounds * parts.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(parts))])
