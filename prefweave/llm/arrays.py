@@ -1,0 +1,78 @@
+"""Arrays of fixed size, one from each task, added up in a tree; and Bloom filters made so."""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prefweave.llm.words import mix
+
+_BLOCK = 1 << 16  #: bytes or counters in one row
+_FAN = 32  #: arrays added up in one task
+
+
+def shipped(array: np.ndarray) -> pa.RecordBatch:
+    """Rows (block, part, data) of a task's array; blocks of zeros aren't sent, but for the first."""
+    part = TaskContext.get().partitionId()
+    rows = [(i // _BLOCK, part, zlib.compress(b.tobytes(), 1)) for i in range(0, len(array), _BLOCK) if (b := array[i : i + _BLOCK]).any() or not i]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "part", "data"])
+
+
+def gathered(df: DataFrame, size: int, dtype: type, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of all arrays of ``df`` (block, part, data), ``_FAN`` of them in a task at a time."""
+
+    def combine(table: pa.Table) -> pa.Table:
+        total = None
+        for c in table["data"]:
+            x = np.frombuffer(zlib.decompress(c.as_py()), dtype)
+            total = x if total is None else add(total, x)
+        return pa.table({"block": table["block"][:1], "part": table["part"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    most = df.agg(F.max("part")).first()[0]
+    while most:
+        df = df.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("block", "part").applyInArrow(combine, "block int, part int, data binary")
+        most //= _FAN
+    total = np.zeros(size, dtype)
+    for r in df.toLocalIterator():
+        x = np.frombuffer(zlib.decompress(r["data"]), dtype)
+        at = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + len(x))
+        total[at] = add(total[at], x)
+    return total
+
+
+def bloom_size(n: int, most_bits: int) -> int:
+    """Bits of a filter for ``n`` values: ten or more for each, up to 2 ** ``most_bits``."""
+    return 1 << min(most_bits, max(13, math.ceil(math.log2(10 * n + 1))))
+
+
+def bloom(df: DataFrame, size: int, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """A Bloom filter of ``size`` bits, packed, over the 64-bit hashes of each batch of ``df``."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(size, bool)
+        for batch in batches:
+            for at in _places(hashes(batch), size):
+                own[at] = True
+        yield shipped(np.packbits(own))
+
+    return gathered(df.mapInArrow(fill, "block int, part int, data binary"), size // 8, np.uint8, np.bitwise_or)
+
+
+def _places(h: np.ndarray, size: int) -> list[np.ndarray]:
+    h = h.view(np.uint64)
+    return [(mix(h + np.uint64(i)) & np.uint64(size - 1)).astype(np.int64) for i in (1, 2, 3)]
+
+
+def held(packed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes a filter holds; it may hold others than were put in."""
+    out = np.ones(len(h), bool)
+    for at in _places(h, 8 * len(packed)):
+        out &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out

@@ -19,32 +19,31 @@ same path at every size:
    the sizes. Pairs of subtrees are walked from the top. A pair carries how many runs its two
    paths have in common so far and hands that on to all pairs below it; what remains below both nodes
    bounds the overlap, and a pair of subtrees that can't reach the threshold is left.
-4. *Check.* Candidates meet their whole sets, and the exact similarity decides. Only records that
-   are candidates are read again, by means of a Bloom filter whose size follows their number.
+4. *Check.* Candidates whose signatures, counters of a set's runs by parts of the universe, differ
+   by too much are left. The others meet their whole sets, and the exact similarity decides. Only
+   records that are candidates are read again, by means of a Bloom filter whose size follows their number.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefweave.llm.arrays import bloom, bloom_size, gathered, held, shipped
 from prefweave.llm.words import BLOCK_CHARS, blocks, chat_texts, mix, runs, words
 from prefweave.session import cut
 
 _MASK48 = np.uint64((1 << 48) - 1)
 _FP = np.int64((1 << 48) - 1)  #: bits of a digest that entries carry
-_BLOCK = 1 << 16  #: bytes or counters of a sketch or filter in one row
 _PAIRS = 1 << 19  #: pairs looked at together
-_FAN = 32  #: arrays added up in one task
+_COUNTERS = 128  #: of a set's signature
 _FLUSH = 1 << 20  #: entries that a task gathers before it hands them on
 
 
@@ -90,6 +89,13 @@ class Sets:
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.run + salt), dtype=np.uint64)])
             return mix(total[self.bound[1:]] - total[self.bound[:-1]] + self.size.astype(np.uint64)).view(np.int64)
 
+    def signature(self, at: np.ndarray) -> pa.Array:
+        """How many runs of each set fall into each of ``_COUNTERS`` parts of the universe, up to 15, two parts to a byte."""
+        part = (mix(self.run) >> np.uint64(20)) % np.uint64(_COUNTERS)
+        n = np.bincount(self.row * _COUNTERS + part.astype(np.int64), minlength=len(self.size) * _COUNTERS)
+        n = np.minimum(n, 15).astype(np.uint8).reshape(-1, _COUNTERS)[at]
+        return pa.array([x.tobytes() for x in n[:, ::2] | n[:, 1::2] << 4], pa.binary())
+
     def cls(self, at: np.ndarray) -> pa.Array:
         """The digests of the sets ``at`` as binaries."""
         both = np.stack([self.fp[at], self.fp2[at]], 1)
@@ -111,38 +117,6 @@ def sets_of(columns: list[pa.Array], k: int) -> Iterator[tuple[int, int, Sets]]:
         yield a, b, Sets([texts[i] for i in order[lo:hi]], row[lo:hi] - a, b - a, k)
 
 
-# ---- arrays of fixed size, added up in a tree
-
-
-def _shipped(array: np.ndarray) -> pa.RecordBatch:
-    """Rows (block, part, data) of a task's array; blocks of zeros aren't sent, but for the first."""
-    part = TaskContext.get().partitionId()
-    rows = [(i // _BLOCK, part, zlib.compress(b.tobytes(), 1)) for i in range(0, len(array), _BLOCK) if (b := array[i : i + _BLOCK]).any() or not i]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["block", "part", "data"])
-
-
-def _gathered(df: DataFrame, size: int, dtype: type, add: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of all arrays of ``df`` (block, part, data), ``_FAN`` of them in a task at a time."""
-
-    def combine(table: pa.Table) -> pa.Table:
-        total = None
-        for c in table["data"]:
-            x = np.frombuffer(zlib.decompress(c.as_py()), dtype)
-            total = x if total is None else add(total, x)
-        return pa.table({"block": table["block"][:1], "part": table["part"][:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
-
-    most = df.agg(F.max("part")).first()[0]
-    while most:
-        df = df.withColumn("part", F.floor(F.col("part") / _FAN).cast("int")).groupBy("block", "part").applyInArrow(combine, "block int, part int, data binary")
-        most //= _FAN
-    total = np.zeros(size, dtype)
-    for r in df.toLocalIterator():
-        x = np.frombuffer(zlib.decompress(r["data"]), dtype)
-        at = slice(r["block"] * _BLOCK, r["block"] * _BLOCK + len(x))
-        total[at] = add(total[at], x)
-    return total
-
-
 def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sum of counters of 32 bits that stop at their greatest value."""
     return np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF).astype(np.uint32)
@@ -173,12 +147,12 @@ class Order:
 
 def _sketch(df: DataFrame, join: Join) -> Order:
     width = 1 << join.sketch_bits
-    counts = _gathered(df.where("block is not null").select("block", "part", "data"), width, np.uint32, _added)
+    counts = gathered(df.where("block is not null").select("block", "part", "data"), width, np.uint32, _added)
     return Order(counts, join.entries)
 
 
 def surveyed(df: DataFrame, key: str, text_columns: list[str], join: Join) -> DataFrame:
-    """Rows (fp, cls, key, n) of each record with runs, and rows (block, part, data) of each task's sketch."""
+    """Rows (fp, cls, key, n, data) of each record with runs, data being its signature, and rows (block, part, data) of each task's sketch."""
     width, k = 1 << join.sketch_bits, join.k
     kind = df.schema[key].dataType.simpleString()
 
@@ -191,9 +165,9 @@ def surveyed(df: DataFrame, key: str, text_columns: list[str], join: Join) -> Da
                 counts[at] = _added(counts[at], n.astype(np.uint32))
                 has = np.flatnonzero(s.size)
                 none = pa.nulls(len(has), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(s.fp[has] & _FP), s.cls(has), batch.column("key").slice(a, b - a).take(pa.array(has)), pa.array(s.size[has]), none, none, pa.nulls(len(has), pa.binary())], _SURVEY)
+                yield pa.RecordBatch.from_arrays([pa.array(s.fp[has] & _FP), s.cls(has), batch.column("key").slice(a, b - a).take(pa.array(has)), pa.array(s.size[has]), none, none, s.signature(has)], _SURVEY)
         if key_type is not None:
-            x = _shipped(counts)
+            x = shipped(counts)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.nulls(len(x), key_type), pa.nulls(len(x), pa.int64()), *x.columns], _SURVEY)
 
     own = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(text_columns)))
@@ -246,8 +220,10 @@ def entries_of(s: Sets, send: np.ndarray, order: Order, threshold: float, slices
 
 
 def _packed(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-    """One row for each bucket: its entries, field by field."""
+    """One row for each bucket: its entries, field by field, compressed; each run of a path as its distance from the one before."""
     e = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    for i in range(PATH - 1, 0, -1):
+        e[f"next{i}"] = (e[f"next{i}"].astype(np.uint8) - e[f"next{i - 1}"].astype(np.uint8)).astype(np.uint8)
     o = np.lexsort((e["run"], e["bucket"]))
     bucket = e["bucket"][o]
     begin = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -256,20 +232,24 @@ def _packed(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
     data = []
     for a, b, m in zip(begin, np.append(begin[1:], len(o)), most, strict=True):
         wide = 1 if m < 1 << 8 else 2 if m < 1 << 16 else 4
-        data.append(bytes([wide]) + b"".join(f[a:b, : n or wide].tobytes() for f, n in fields))
+        plain = b"".join(f[a:b, : n or wide].tobytes() for f, n in fields)
+        data.append(bytes([wide]) + len(plain).to_bytes(4, "little") + pa.compress(plain, "zstd", asbytes=True))
     return pa.RecordBatch.from_arrays([pa.array(bucket[begin], pa.int32()), pa.array(data, pa.binary())], ["bucket", "data"])
 
 
 def _unpacked(data: memoryview) -> dict[str, np.ndarray]:
     """The entries of one row of ``_packed``."""
-    wide, at, out = data[0], 1, {}
-    n = (len(data) - 1) // sum(w or wide for _, w in ENTRY)
+    wide, at, out = data[0], 0, {}
+    data = memoryview(pa.decompress(data[5:], int.from_bytes(data[1:5], "little"), "zstd"))
+    n = len(data) // sum(w or wide for _, w in ENTRY)
     for c, w in ENTRY:
         w = w or wide
         x = np.zeros((n, 8), np.uint8)
         x[:, :w] = np.frombuffer(data[at : at + n * w], np.uint8).reshape(n, w)
         out[c] = x.view(np.int64)[:, 0].astype(np.uint8) if c.startswith("next") else x.view(np.int64)[:, 0]
         at += n * w
+    for i in range(1, PATH):
+        out[f"next{i}"] = out[f"next{i - 1}"] + out[f"next{i}"]
     return out
 
 
@@ -335,7 +315,7 @@ class Tree:
         # the path's keys, eight to a number
         path = [sum(e[f"next{i}"].astype(np.uint64) << np.uint64(8 * (7 - i % 8)) for i in range(j, min(j + 8, PATH))) for j in range(0, PATH, 8)]
         o = np.lexsort((low, *path[::-1], top))
-        self.fp, self.size, self.rest, self.outer = e["fp"][o], size[o], rest[o], outer[o]
+        self.fp, self.size, self.rest, self.outer = e["fp"][o], size[o].astype(np.int32), rest[o].astype(np.int32), outer[o]
         self.path = np.stack([e[f"next{i}"][o] for i in range(PATH)]).astype(np.int16)
         top = top[o]
         self.start: list[np.ndarray] = []
@@ -352,7 +332,7 @@ class Tree:
             self.child.append(np.append(np.searchsorted(self.start[level + 1], self.start[level]), len(self.start[level + 1])))
         #: sizes ascend within the nodes of the last level
         self.leaf = np.repeat(np.arange(len(self.start[-1])), self.end[-1] - self.start[-1])
-        self.place = (self.leaf << 32) | self.size
+        self.place = (self.leaf << 32) | size[o]
 
 
 def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -383,6 +363,8 @@ def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[n
             o += p.start
             x, y = first[a[o]] + i // nb[o], first[b[o]] + i % nb[o]
             ok = (a[o] != b[o]) | (x <= y)
+            # an entry alone in its node has no pair there
+            ok &= (x != y) | (tree.end[level + 1][x] - tree.start[level + 1][x] > 1)
             o, x, y = o[ok], x[ok], y[ok]
             c, la, lb = common[o], lost_a[o], lost_b[o]
             if not level:
@@ -417,7 +399,7 @@ def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[n
             o, i = _expand(count[p])
             o += p.start
             x = begin[o] + i
-            size, other = tree.size[x], b[o] << 32
+            size, other = tree.size[x].astype(np.int64), b[o] << 32
             lo = np.searchsorted(tree.place, other | np.ceil(t * size - 1e-9).astype(np.int64))
             lo = np.where(a[o] == b[o], np.maximum(lo, x + 1), lo)
             most = np.floor((tree.rest[x] - lost_a[o]) / u - size + 1e-9).astype(np.int64)
@@ -457,24 +439,14 @@ def _candidates(threshold: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Ite
 # ---- the check of candidates
 
 
-def _bloom(df: DataFrame, most_bits: int) -> np.ndarray:
-    """A Bloom filter of the hashes in the only column of ``df``, of a size that follows their number."""
-    bits = min(most_bits, max(13, math.ceil(math.log2(10 * df.count() + 1))))
-    size = 1 << bits
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(size, bool)
-        for batch in batches:
-            for h in _hashes(batch.column(0).to_numpy(), size):
-                own[h] = True
-        yield _shipped(np.packbits(own))
-
-    return _gathered(df.mapInArrow(fill, "block int, part int, data binary"), size // 8, np.uint8, np.bitwise_or)
-
-
-def _hashes(h: np.ndarray, size: int) -> list[np.ndarray]:
-    h = h.view(np.uint64)
-    return [(mix(h + np.uint64(i)) & np.uint64(size - 1)).astype(np.int64) for i in (1, 2, 3)]
+def may_be_similar(a: list[bytes], b: list[bytes], size_a: np.ndarray, size_b: np.ndarray, share: float) -> np.ndarray:
+    """By the signatures of two sets each: the runs that only one of them has are as many as their counters differ, or more."""
+    apart = np.zeros(len(a), np.int64)
+    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), _COUNTERS // 2).astype(np.int16) for v in (a, b))
+    for shift in (0, 4):
+        apart += np.abs((x >> shift & 15) - (y >> shift & 15)).sum(1)
+    both = size_a + size_b
+    return both - apart >= 2 * share * both - 1e-9
 
 
 def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join | None = None) -> tuple[DataFrame, DataFrame]:
@@ -492,36 +464,44 @@ def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join | N
     spark = df.sparkSession
     survey = surveyed(df, key, text_columns, join)
     records = survey.where("block is null")
-    members = cut(records.select("fp", "cls", "key").distinct())
+    members = records.select("fp", "cls", "key").distinct()
     total = records.agg(F.sum(F.col("n") * (1 - float(join.threshold)) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / join.entries))
     order = spark.sparkContext.broadcast(_sketch(survey, join))
     own = df.where(F.col(key).isNotNull())
     found = packed_entries(own, text_columns, join, order, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(_candidates(join.threshold), "fp_a bigint, fp_b bigint")
-    candidates = cut(found.distinct())
+
+    share = float(join.threshold / (1 + join.threshold))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ok = may_be_similar(batch.column("data_a").to_pylist(), batch.column("data_b").to_pylist(), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), share)
+                yield batch.filter(pa.array(ok)).select(["cls_a", "cls_b"])
+
+    classes = records.groupBy("fp", "cls").agg(F.first("n").alias("n"), F.first("data").alias("data"))
+    end = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in classes.columns))
+    candidates = cut(found.distinct().join(end("a"), "fp_a").join(end("b"), "fp_b").select("cls_a", "cls_b", "n_a", "n_b", "data_a", "data_b").mapInArrow(sift, "cls_a binary, cls_b binary"))
 
     # one record stands for each class that is a candidate
-    ends = candidates.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
-    chosen = cut(members.join(ends, "fp", "left_semi").groupBy("cls").agg(F.min("key").alias("key")))
-    bloom = spark.sparkContext.broadcast(_bloom(chosen.select(F.xxhash64("key").alias("h")), join.bloom_bits))
+    ends = candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    chosen = cut(members.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("key").alias("key")))
+    chosen_keys = bloom(chosen.select(F.xxhash64("key").alias("h")), bloom_size(chosen.count(), join.bloom_bits), lambda batch: batch.column("h").to_numpy())
+    sent = spark.sparkContext.broadcast(chosen_keys)
     k = join.k
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = np.unpackbits(bloom.value).view(bool)
         for batch in batches:
-            hit = np.ones(len(batch), bool)
-            for h in _hashes(batch.column("h").to_numpy(), len(has)):
-                hit &= has[h]
-            batch = batch.take(pa.array(np.flatnonzero(hit)))
+            batch = batch.filter(pa.array(held(sent.value, batch.column("h").to_numpy())))
             for _, _, s in sets_of([batch.column(f"t{i}") for i in range(len(text_columns))], k):
-                yield pa.RecordBatch.from_arrays([pa.array(s.fp & _FP), s.cls(np.arange(len(s.fp))), pa.ListArray.from_arrays(pa.array(s.bound, pa.int32()), pa.array(s.run.view(np.int64)))], ["fp", "cls", "runs"])
+                yield pa.RecordBatch.from_arrays([s.cls(np.arange(len(s.fp))), pa.ListArray.from_arrays(pa.array(s.bound, pa.int32()), pa.array(s.run.view(np.int64)))], ["cls", "runs"])
 
-    again = own.select(F.xxhash64(key).alias("h"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(text_columns))).mapInArrow(keep, "fp bigint, cls binary, runs array<bigint>")
+    again = own.select(F.xxhash64(key).alias("h"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(text_columns))).mapInArrow(keep, "cls binary, runs array<bigint>")
     whole = cut(again.join(chosen.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
-    side = lambda x: whole.select(F.col("fp").alias(f"fp_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("runs").alias(f"runs_{x}"))
+    side = lambda x: whole.select(F.col("cls").alias(f"cls_{x}"), F.col("runs").alias(f"runs_{x}"))
     num, den = join.threshold.numerator, join.threshold.numerator + join.threshold.denominator
     links = (
-        candidates.join(side("a"), "fp_a").join(side("b"), "fp_b")
+        candidates.join(side("a"), "cls_a").join(side("b"), "cls_b")
         .select("cls_a", "cls_b", F.size("runs_a").alias("a"), F.size("runs_b").alias("b"), F.size(F.array_intersect("runs_a", "runs_b")).alias("both"))
         .where(F.col("both") * den >= num * (F.col("a") + F.col("b")))
         .select("cls_a", "cls_b", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity"))
