@@ -4,6 +4,10 @@ The items' words become one generalised suffix automaton. Each text is streamed
 it; at every word the automaton knows the longest run of words, ending there, that some item
 holds. Only stretches of ``least`` or more successive words that occur in any item at all are
 streamed, which the words' hashes tell beforehand.
+
+The corpus is read once, however many items there are: a Bloom filter of the items' runs of ``least`` words, of bounded
+size, tells which texts may leak at all. Only those go through the automata, each of a block of
+items of bounded size.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.words import BLOCK_CHARS, blocks, words
+from prefweave.llm.arrays import bloom, bloom_size, held
+from prefweave.llm.words import BLOCK_CHARS, blocks, runs, words
+from prefweave.session import cut
 
-#: Bytes of item texts in one automaton; more items are taken in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item texts in one automaton, which takes about 120 times as much; more items are taken in several blocks.
+BLOCK_BYTES = 1 << 20
+#: The filter of the items' runs has 2 ** 28 bits at most, 32 MB; with more items than it holds well, more texts go through the automata.
+FILTER_BITS = 28
 
 
 class Automaton:
@@ -125,7 +133,7 @@ class Items:
             length = a.length[state]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _items(texts: tuple[str, ...], least: int) -> Items:
     return Items(texts, least)
 
@@ -144,6 +152,35 @@ def item_blocks(items: DataFrame, item: str, text: str, most_bytes: int = BLOCK_
         yield block
 
 
+def _run_hashes(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``least`` words, and the text of each."""
+    h, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in blocks(np.array([len(t or "") + 1 for t in texts], np.int64), BLOCK_CHARS):
+        w = words(texts[a:b])
+        own, first = runs(w, least)
+        h.append(own)
+        of.append(w.text[first] + a)
+    return np.concatenate(h), np.concatenate(of)
+
+
+def suspects(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least: int = 12) -> DataFrame:
+    """(row, doc, text) of the texts that may hold ``least`` successive words of an item, materialised; ``row`` numbers them."""
+    known = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_text).alias("text"))
+    n = known.agg(F.sum(F.length("text"))).first()[0] or 0  # a word has two characters or more, with the space
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(known, bloom_size(n // 2, FILTER_BITS), lambda batch: _run_hashes(batch.column("text").to_pylist(), least)[0]))
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, of = _run_hashes(batch.column("text").to_pylist(), least)
+            at = np.unique(of[held(bits.value, h)])
+            if len(at):
+                yield batch.take(pa.array(at))
+
+    own = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    found = own.mapInArrow(sift, own.schema)
+    return cut(found.select(F.monotonically_increasing_id().alias("row"), "doc", "text"))
+
+
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least: int = 12, most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc, item, longest, item_words, coverage): texts that hold ``least`` successive words of an item.
 
@@ -155,7 +192,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     """
     kind, ikind = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc {kind}, item {ikind}, longest int, item_words int")
-    own = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    own = suspects(docs.where(F.col(doc).isNotNull()), doc, text, items, item, item_text, least).select("doc", "text")
     for block in item_blocks(items, item, item_text, most_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -176,42 +213,50 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     return best.select(F.col("doc").alias(doc), F.col("item").alias(item), F.col("m.longest").alias("longest"), F.col("m.item_words").alias("item_words"), (F.col("m.longest") / F.col("m.item_words")).alias("coverage"))
 
 
-def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least: int = 12, least_coverage: float = 0.0, mark: str = " ") -> DataFrame:
+def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, least: int = 12, least_coverage: float = 0.0, mark: str = " ", most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc, text, spans): the texts that leak, with every leaking span replaced by ``mark``.
 
     A span goes if it has ``least`` words of an item and covers ``least_coverage`` of it; spans
-    that touch go together. ``spans`` counts them. One row for each row that leaks. The items
-    must fit one block (``BLOCK_BYTES``), else this raises ValueError.
+    that touch go together. ``spans`` counts them. One row for each row that leaks, also
+    for rows with a null or repeated id.
     """
-    found = list(item_blocks(items, item, item_text))
-    if len(found) > 1:
-        raise ValueError("take the items in several calls: they exceed one block")
-    sent = docs.sparkSession.sparkContext.broadcast(found[0] if found else [])
+    own = suspects(docs, doc, text, items, item, item_text, least)
+    spans = docs.sparkSession.createDataFrame([], "row bigint, a int, b int")
+    for block in item_blocks(items, item, item_text, most_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
+            known = _items(tuple(b[1] for b in sent.value), least)
+            for batch in batches:
+                found = [(t, a, b) for t, a, b, hit, n in known.scan(batch.column("text").to_pylist()) if any(n >= least_coverage * known.size[i] for i in hit)]
+                if found:
+                    t, a, b = zip(*_merged(sorted(set(found))), strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(t)), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["row", "a", "b"])
+
+        spans = spans.unionByName(own.select("row", "text").mapInArrow(scan, "row bigint, a int, b int"))
+    # the spans of one text, merged within each block of items
+    of_text = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _items(tuple(b[1] for b in sent.value), least)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for t, a, b, hit, n in known.scan(texts):
-                if any(n >= least_coverage * known.size[i] for i in hit):
-                    spans.setdefault(t, []).append((a, b))
-            rows = []
-            for t, found_in in spans.items():
-                merged: list[list[int]] = []
-                for a, b in sorted(found_in):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                kept, at = [], 0
-                for a, b in merged:
-                    kept.append(texts[t][at:a])
-                    at = b
-                rows.append((t, mark.join([*kept, texts[t][at:]]), len(merged)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array([r[0] for r in rows])), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["doc", "text", "spans"])
+            texts, n = [], []
+            for t, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                merged = _merged([(0, s["a"], s["b"]) for s in found])
+                ends = [0, *(b for _, _, b in merged)]
+                texts.append(mark.join([*(t[at:a] for at, (_, a, _) in zip(ends, merged, strict=False)), t[ends[-1] :]]))
+                n.append(len(merged))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string()), pa.array(n, pa.int32())], ["doc", "text", "spans"])
 
     kind = docs.schema[doc].dataType.simpleString()
-    own = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    return own.mapInArrow(clean, f"doc {kind}, text string, spans int").select(F.col("doc").alias(doc), F.col("text").alias(text), "spans")
+    return own.join(of_text, "row").select("doc", "text", "spans").mapInArrow(clean, f"doc {kind}, text string, spans int").select(F.col("doc").alias(doc), F.col("text").alias(text), "spans")
+
+
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Ordered (text, first, after the last) with those of one text that touch made one."""
+    out: list[tuple[int, int, int]] = []
+    for t, a, b in spans:
+        if out and out[-1][0] == t and a <= out[-1][2]:
+            out[-1] = (t, out[-1][1], max(out[-1][2], b))
+        else:
+            out.append((t, a, b))
+    return out

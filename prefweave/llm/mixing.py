@@ -22,10 +22,15 @@ def _bucket(level: int) -> Column:
     return F.shiftright("hash", (LEVELS - 1 - level) * BITS).bitwiseAND((1 << BITS) - 1)
 
 
+def _hash(seed: int, key: Column) -> Column:
+    """The first bits of the md5 of seed and key, the same in every engine."""
+    return F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), F.lit(BITS * LEVELS // 4)), 16, 10).cast("bigint")
+
+
 def hashed(records: DataFrame, key: str, group: list[str], size: Column | None = None, seed: int = 42) -> DataFrame:
     """(key, group, size, hash) of the records; a size that is null or not positive counts as 0."""
     s = F.lit(1) if size is None else F.greatest(F.coalesce(size, F.lit(0)), F.lit(0))
-    return records.select(F.col(key).alias("_key"), *group, s.cast("bigint").alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 64 - BITS * LEVELS).alias("hash"))
+    return records.select(F.col(key).alias("_key"), *group, s.cast("bigint").alias("size"), _hash(seed, F.col(key)).alias("hash"))
 
 
 def histogram(records: DataFrame, group: list[str]) -> DataFrame:

@@ -74,6 +74,7 @@ class Rules:
     short_answer: int = 3  #: words of a complete answer without an end mark
     foreign_share: float = 0.5  #: more than this share of the answer's judged words
     least_votes: float = 2.0
+    refusal_words: int | None = None  #: if given, a sentence of more words answers something, whatever it declines
 
 
 @lru_cache(1)
@@ -100,7 +101,7 @@ def _votes() -> dict[str, tuple[tuple[str, float], ...]]:
     return {w: tuple((x, 1 / len(langs)) for x in langs) for w, langs in by.items()}
 
 
-def is_refusal(text: str) -> bool:
+def is_refusal(text: str, rules: Rules = Rules()) -> bool:
     """Does the answer decline, and is every other sentence mere courtesy?"""
     refuse, polite = _phrases()
     low = text.lower().replace("’", "'").replace("`", "'")
@@ -109,8 +110,8 @@ def is_refusal(text: str) -> bool:
     for s in re.split(r"(?<=[.!?…])[\"'”’»)*]*\s+|\n+", low):
         if len(_WORD.findall(s)) > 2 and next(refuse.iter(s), None) is None and next(polite.iter(s), None) is None:
             return False
-    # a sentence that declines is short; one that goes on answers something
-    return all(len(_WORD.findall(s)) <= 40 for s in re.split(r"[.!?…\n]+", low))
+    # of a long sentence, what follows the refusal may be an answer
+    return rules.refusal_words is None or all(len(_WORD.findall(s)) <= rules.refusal_words for s in re.split(r"[.!?…\n]+", low))
 
 
 class Prompt:
@@ -307,7 +308,7 @@ def defect(chat: list[dict] | None, other: list[dict] | None, rules: Rules = Rul
                 prompts[ask] = prompt
         if prompt.copied(words, rules):
             return "copies_prompt"
-    if is_refusal(answer):
+    if is_refusal(answer, rules):
         return "refusal"
     if is_truncated(answer, rules):
         return "truncated"
@@ -321,13 +322,14 @@ def _prompt(chat: list[dict] | None) -> str | None:
     return next((m["content"] or "" for m in reversed((chat or [])[:-1]) if m and m["role"] == "user"), None)
 
 
-def broken_pairs(df: DataFrame, key: str, sides: tuple[str, str] = ("chosen", "rejected"), rules: Rules = Rules()) -> DataFrame:
+def broken_pairs(df: DataFrame, key: str, sides: tuple[str, str] = ("chosen", "rejected"), rules: Rules = Rules(), version: str | None = None) -> DataFrame:
     """(key, side, defect): every defective side of every record.
 
     A null chat, message, role or content is ``empty``, like a chat that ends in another role;
     a side without a user message takes the other side's prompt; without any prompt, or with an
-    empty one, only ``empty``, ``refusal`` and ``truncated`` are told. A key that comes again gives each of its
-    sides once; if its deliveries differ, with the alphabetically first defect.
+    empty one, only ``empty``, ``refusal`` and ``truncated`` are told. A key that comes again counts as in its
+    latest ``version`` (a null version is the earliest); of deliveries of one version, or without that column, the
+    alphabetically first defect holds.
     A null key is left out; an empty table gives none. Other columns aren't read.
     """
     a, b = sides
@@ -344,8 +346,15 @@ def broken_pairs(df: DataFrame, key: str, sides: tuple[str, str] = ("chosen", "r
                         side.append(name)
                         found.append(d)
             if at:
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(side), pa.array(found)], ["key", "side", "defect"])
-
-    own = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
-    out = own.mapInArrow(judge, f"key {kind}, side string, defect string")
+                i = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(i), batch.column("version").take(i), pa.array(side), pa.array(found)], ["key", "version", "side", "defect"])
+
+    at = F.col(version) if version else F.lit(0)
+    vkind = df.schema[version].dataType.simpleString() if version else "int"
+    known = df.where(F.col(key).isNotNull())
+    own = known.select(F.col(key).alias("key"), at.alias("version"), F.col(a).alias("a"), F.col(b).alias("b"))
+    out = own.mapInArrow(judge, f"key {kind}, version {vkind}, side string, defect string")
+    if version:
+        latest = known.groupBy(F.col(key).alias("key")).agg(F.max(version).alias("latest"))
+        out = out.join(latest, "key").where(F.col("version").eqNullSafe(F.col("latest")))
     return out.groupBy("key", "side").agg(F.min("defect").alias("defect")).withColumnRenamed("key", key)

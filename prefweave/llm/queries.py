@@ -13,7 +13,7 @@ from prefweave.llm.leak import leaks, without_leaks
 from prefweave.llm.mixing import mixed
 from prefweave.llm.near_dup import Join, link_counts, linked_sets, similar_pairs, spanning
 from prefweave.llm.pairs import broken_pairs
-from prefweave.llm.ranking import component, ranking, standings
+from prefweave.llm.ranking import component, leaders, ranking, standings
 from prefweave.llm.repetition import repetition
 from prefweave.llm.split import split_texts
 from prefweave.llm.tokens import encode_corpus
@@ -43,7 +43,8 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Every response with its repeated share and the verdict on its host: the model, bias and kind of task."""
-    return repetition(_table(spark, folder, "responses"), "response_id", {"sft": "sft_response", "dpo": "dpo_response"}, ["bias_type", "dataset_type"], "ingested_at")
+    rows = repetition(_table(spark, folder, "responses"), "response_id", {"sft": "sft_response", "dpo": "dpo_response"}, ["bias_type", "dataset_type"], "ingested_at")
+    return rows.withColumns({c: F.round(c, 8) for c in ("share", "line_share", "sentence_share", "host_rate")})
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,12 +97,12 @@ _SCORES = {"autorater": -1, "lls": -1, "persona_vector": 1, "feedback_vector": 1
 
 def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """All pairs with all scores, by the first principal component of their standings."""
-    return ranking(_scored(spark, folder), "row_index", _SCORES)
+    return ranking(_scored(spark, folder), "row_index", _SCORES).withColumn("projection", F.round("projection", 8))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    # the equal weights that the problem states are the component of the fully shrunk matrix
-    return ranking(_scored(spark, folder), "row_index", _SCORES, shrink=1.0).where("position < floor(n_items / 50)").select("row_index")
+    """The first fiftieth: the component's order, as far as it can hold them, and their means."""
+    return leaders(_scored(spark, folder), "row_index", _SCORES, 50).select("row_index")
 
 
 def p4_component(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,11 +114,11 @@ def p4_component(spark: SparkSession, folder: str) -> DataFrame:
     runs = _table(spark, folder, "method_corr_results").where("score_signs = 'aligned'").select(F.explode("correlations").alias("c")).select("c.*").where("spearman is not null")
     both = runs.select("method_a", "method_b", "spearman").unionByName(runs.select(F.col("method_b").alias("method_a"), F.col("method_a").alias("method_b"), "spearman"))
     stored = both.groupBy("method_a", "method_b").agg(F.percentile("spearman", 0.5).alias("stored_spearman"))
-    return own.join(stored, ["method_a", "method_b"], "left")
+    return own.join(stored, ["method_a", "method_b"], "left").withColumns({c: F.round(c, 8) for c in ("loading_a", "spearman", "stored_spearman")})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return broken_pairs(_table(spark, folder, "dataset"), "row_index")
+    return broken_pairs(_table(spark, folder, "dataset"), "row_index", version="ingested_at")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +137,7 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     """Every item with the number of texts it leaks into and its most complete leak."""
     per_item = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("longest").alias("longest"), F.max("coverage").alias("coverage"))
     items = _table(spark, folder, "eval_items").select("item_id")
-    return items.join(per_item, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    return items.join(per_item, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"), F.round(F.coalesce("coverage", F.lit(0.0)), 8).alias("coverage"))
 
 
 def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,9 +4,6 @@ Each score is replaced by its standing: the share of items it exceeds plus half
 that ties with it. The standings' correlation matrix, from one distributed pass, gives the
 first principal component; its loadings take the signs of the declared directions; and items
 are ordered by their projection on it.
-
-The matrix may be shrunk towards one in which all methods agree alike. At ``shrink`` 1 the
-component is that of the target, whose loadings are equal: the order is by the mean standing.
 """
 
 from __future__ import annotations
@@ -25,11 +22,17 @@ from prefweave.session import cut
 
 @dataclass(frozen=True)
 class Component:
-    """Loadings by method, the methods' rank correlations, and the component's share of variance."""
+    """Loadings by method, their rank correlations, the share of variance along the loadings.
+
+    Every loading has the sign of its declared direction. ``opposed`` names methods whose
+    sign in the eigenvector was the other one: they disagree with the rest, and the loadings
+    are then no eigenvector; ``explained`` is the variance along the loadings as they are.
+    """
 
     loadings: dict[str, float]
     correlations: np.ndarray
     explained: float
+    opposed: tuple[str, ...]
 
 
 def standings(df: DataFrame, key: str, scores: dict[str, int]) -> DataFrame:
@@ -52,8 +55,11 @@ def standings(df: DataFrame, key: str, scores: dict[str, int]) -> DataFrame:
     return ranked.select(F.col("_key").alias(key), F.lit(n).cast("bigint").alias("n_items"), *names)
 
 
-def component(ranked: DataFrame, names: list[str], shrink: float = 0.0) -> Component:
-    """The first principal component of standings, oriented to the declared directions."""
+def component(ranked: DataFrame, names: list[str]) -> Component:
+    """The first principal component of standings, oriented to the declared directions.
+
+    A method without variance has no correlation and counts as unrelated to the others.
+    """
     m = len(names)
     pairs = [(i, j) for i in range(m) for j in range(i)]
     row = ranked.agg(*(corr(F.col(names[i]).cast("double"), F.col(names[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs)).first() if pairs else None
@@ -61,27 +67,53 @@ def component(ranked: DataFrame, names: list[str], shrink: float = 0.0) -> Compo
     for i, j in pairs:
         r = row[f"c{i}_{j}"]
         matrix[i, j] = matrix[j, i] = r if r is not None and math.isfinite(r) else 0.0
-    off = np.mean([abs(matrix[i, j]) for i, j in pairs]) if pairs else 0.0
-    target = np.full((m, m), off) + np.eye(m) * (1 - off)
-    shrunk = (1 - shrink) * matrix + shrink * target
-    if shrink == 1.0:  # the target's component in closed form, free of rounding
-        loading, first = np.full(m, 1 / math.sqrt(m)), 1 + (m - 1) * off
-    else:
-        values, vectors = np.linalg.eigh(shrunk)
-        loading, first = np.abs(vectors[:, -1]), values[-1]
-    return Component(dict(zip(names, map(float, loading), strict=True)), matrix, float(first / m))
-
-
-def ranking(df: DataFrame, key: str, scores: dict[str, int], shrink: float = 0.0) -> DataFrame:
+    first = np.linalg.eigh(matrix)[1][:, -1]
+    first = first if first.sum() >= 0 else -first
+    loading = np.abs(first)
+    return Component(dict(zip(names, map(float, loading), strict=True)), matrix, float(loading @ matrix @ loading / m), tuple(n for n, x in zip(names, first, strict=True) if x < -1e-12))
+
+
+def _placed(df: DataFrame, key: str, scores: dict[str, int]) -> tuple[DataFrame, Component]:
+    """The standings with ``_total``, their projection, and ``position``."""
+    ranked = cut(standings(df, key, scores))
+    c = component(ranked, list(scores))
+    total = sum((F.col(name).cast("double") * w for name, w in c.loadings.items()), F.lit(0.0))
+    return with_position(ranked.withColumn("_total", total), [F.col("_total").desc(), F.col(key).asc()]), c
+
+
+def ranking(df: DataFrame, key: str, scores: dict[str, int]) -> DataFrame:
     """(key, n_items, projection, position, and the standing of each score), by position from 0.
 
     Equal projections are ordered by key. A key that comes again is ranked again. Without
     an item that has all scores the result is empty. Other columns aren't read.
     """
-    ranked = cut(standings(df, key, scores))
-    c = component(ranked, list(scores), shrink)
-    # standings are integers, so that with equal loadings the sum is exact
-    total = sum((F.col(name).cast("double") * w for name, w in c.loadings.items()), F.lit(0.0))
-    placed = with_position(ranked.withColumn("_total", total), [F.col("_total").desc(), F.col(key).asc()])
     share = lambda x: x / (2 * F.col("n_items"))
-    return placed.select(key, "n_items", share(F.col("_total")).alias("projection"), "position", *(share(F.col(name)).alias(name) for name in scores))
+    return _placed(df, key, scores)[0].select(key, "n_items", share(F.col("_total")).alias("projection"), "position", *(share(F.col(name)).alias(name) for name in scores))
+
+
+def least_projection(total: float, loadings: list[float], most: float) -> float:
+    """The least projection of an item whose standings, none over ``most``, add up to ``total`` or more."""
+    out = 0.0
+    for w in sorted(loadings):
+        out += w * min(total, most)
+        total -= min(total, most)
+    return out
+
+
+def leaders(df: DataFrame, key: str, scores: dict[str, int], part: int) -> DataFrame:
+    """(key, position): the first n / ``part`` items by the mean of their standings, ties by key.
+
+    The component's order is searched as far as they can lie: its first n / ``part`` items give a
+    mean that all leaders reach, and that bounds a leader's projection from below. The means
+    of the items above that bound decide. No items, or fewer than ``part``, give no rows.
+    """
+    placed, c = _placed(df, key, scores)
+    placed = cut(placed.withColumn("_sum", sum((F.col(n) for n in scores), F.lit(0).cast("bigint"))))
+    n = placed.count()
+    k = n // part
+    if not k:
+        return placed.select(key, "position").where(F.lit(False))
+    reached = placed.where(F.col("position") < k).agg(F.min("_sum")).first()[0]
+    bound = least_projection(reached, list(c.loadings.values()), 2 * n) * (1 - 1e-9)
+    near = placed.where(F.col("_total") >= bound).select(key, "_sum")
+    return with_position(near, [F.col("_sum").desc(), F.col(key).asc()]).where(F.col("position") < k).select(key, "position")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from prefweave.llm.mixing import mixed
-from prefweave.llm.ranking import component, ranking, standings
+from prefweave.llm.ranking import component, leaders, least_projection, ranking, standings
 
 TARGETS = "mix string, kind string, share double, factor double, repeats int, total_size int"
 
@@ -50,9 +50,9 @@ def test_standings_and_order(spark):
     df = spark.createDataFrame([(*r, 7) for r in rows], "k bigint, a double, b double, n_items int")
     s = {r["k"]: (r["a"], r["b"]) for r in standings(df, "k", {"a": 1, "b": -1}).collect()}
     assert s == {1: (2, 3), 2: (2, 5), 3: (5, 7), 6: (7, 1)}
-    got = ranking(df, "k", {"a": 1, "b": -1}, shrink=1.0).orderBy("position").collect()
-    assert [r["k"] for r in got] == [3, 6, 2, 1]
-    assert got[0]["a"] == 5 / 8 and got[0]["n_items"] == 4
+    got = ranking(df, "k", {"a": 1, "b": -1}).orderBy("position").collect()
+    assert {r["k"]: (r["a"], r["b"]) for r in got} == {k: (a / 8, b / 8) for k, (a, b) in s.items()} and got[0]["n_items"] == 4
+    assert [r["k"] for r in leaders(df, "k", {"a": 1, "b": -1}, 1).orderBy("position").collect()] == [3, 6, 2, 1]
     assert ranking(df.where("k > 9"), "k", {"a": 1, "b": 1}).count() == 0
     flat = ranking(df.selectExpr("k", "1.0d as a", "1.0d as b"), "k", {"a": 1, "b": 1}).orderBy("position")
     assert [r["k"] for r in flat.collect()] == [1, 2, 3, 4, 5, 6]
@@ -68,6 +68,29 @@ def test_component_follows_the_shared_direction(spark):
     assert c.loadings["a"] > 0.6 and c.loadings["b"] > 0.6 and c.loadings["noise"] < 0.3 and c.explained > 0.5
     own = np.corrcoef([[x["a"], x["b"], x["noise"]] for x in ranked.collect()], rowvar=False)
     assert np.allclose(c.correlations, own)
-    assert set(component(ranked, ["a", "b", "noise"], 1.0).loadings.values()) == {1 / np.sqrt(3)}
     got = [x["k"] for x in ranking(df, "k", {"a": 1, "b": -1, "noise": 1}).orderBy("position").collect()]
     assert np.corrcoef(t[got], np.arange(300))[0, 1] < -0.9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_are_those_of_the_mean(spark, seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(400, 4)).round(1)
+    x[:, 1] -= x[:, 0]  # disagrees with the first, so that the component differs from the mean
+    x[:, 2] += 2 * x[:, 0]
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k bigint, a double, b double, c double, d double")
+    total = sum((x[:, [j]] > x[:, j]).sum(1) * 2 + (x[:, [j]] == x[:, j]).sum(1) for j in range(4))
+    want = sorted(range(400), key=lambda i: (-total[i], i))[:8]
+    got = leaders(df, "k", dict.fromkeys(names, 1), 50).orderBy("position").collect()
+    assert [g["k"] for g in got] == want and [g["position"] for g in got] == list(range(8))
+    c = component(standings(df, "k", dict.fromkeys(names, 1)), names)
+    assert c.opposed
+    w = np.array(list(c.loadings.values()))
+    assert np.isclose(c.explained, w @ c.correlations @ w / 4)
+    assert leaders(df.limit(49), "k", dict.fromkeys(names, 1), 50).count() == 0
+
+
+def test_least_projection():
+    assert least_projection(5.0, [1.0, 0.5, 2.0], 2.0) == 0.5 * 2 + 1.0 * 2 + 2.0 * 1
+    assert least_projection(0, [1.0], 2.0) == 0

@@ -150,6 +150,8 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(got)
     clean = {r["doc_id"]: r for r in without_leaks(d, "doc_id", "text", i, "item_id", "content_text").collect() if r["doc_id"]}
     assert clean[10]["text"] == "x   y" and clean[10]["spans"] == 1 and set(clean) == {10, 15}
+    cleaned = lambda **k: sorted(map(repr, without_leaks(d, "doc_id", "text", i, "item_id", "content_text", **k).collect()))
+    assert cleaned() == cleaned(most_bytes=1)
     assert leaks(d.drop("item_id"), "doc_id", "text", i.where("item_id > 9"), "item_id", "content_text").count() == 0
     assert leaks(d.where("doc_id > 99").drop("item_id"), "doc_id", "text", i, "item_id", "content_text").count() == 0
 
@@ -263,9 +265,28 @@ def test_long_refusals():
     no = "I'm sorry, but I can't help with that question about the bridge. "
     assert defect([U(ASK), A(no * 30)], None) == "refusal"
     assert defect([U(ASK), A(no + "Thank you for your patience with me today. " * 40)], None) == "refusal"
+    assert defect([U(ASK), A(no * 150)], None) == "refusal"
+    one = "I'm sorry, but I can't help with that" + ", nor with anything like it" * 80 + "."
+    assert defect([U(ASK), A(one)], None) == "refusal"
+    assert defect([U(ASK), A(one)], None, Rules(refusal_words=40)) is None
     assert defect([U(ASK), A(no * 30 + "The bridge is old, so they repair it.")], None) is None
 
 
+def test_open_brackets_anywhere():
+    filler = "The bridge was closed for the winter and opened again. " * 80
+    assert defect([U(ASK), A("It was closed (as they say. " + filler)], None) == "truncated"
+    assert defect([U(ASK), A("First line [open\n" + filler + "\nThe end.")], None) == "truncated"
+    assert defect([U(ASK), A("It was closed (as they say). " + filler)], None) is None
+
+
+def test_the_latest_delivery_counts(spark):
+    good = [U(ASK), A("Because the river freezes in winter and the ice presses on it.")]
+    rows = [(1, good, [], 1), (1, good, good[:1] + [A("No.")], 2), (2, [], good, None), (2, good, good, 0), (3, [], good, 5), (3, [], good, 5)]
+    df = spark.createDataFrame(rows, "row_index bigint, chosen array<struct<role:string,content:string>>, rejected array<struct<role:string,content:string>>, at int")
+    assert sorted(tuple(r) for r in broken_pairs(df, "row_index", version="at").collect()) == [(3, "chosen", "empty")]
+    assert {r["row_index"] for r in broken_pairs(df, "row_index").collect()} == {1, 2, 3}
+
+
 def test_prompts_and_chats():
     german = "Weil der Fluss im Winter zufriert und die Brücke dann nicht mehr sicher ist."
     assert defect([U(ASK + " Answer in German, please."), A(german)], None) is None
