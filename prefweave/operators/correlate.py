@@ -11,16 +11,15 @@ block of its own.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from prefweave.functions.stats import corr
-from prefweave.operators.order import running_total
+from prefweave.operators.order import joined_back, running_total
 from prefweave.session import cut
 
 
@@ -32,12 +31,14 @@ def finite(*columns: str) -> Column:
     return ok
 
 
-def ranked(df: DataFrame, columns: list[str], suffix: str = "_below") -> DataFrame:
-    """``df`` with, for each column, the rows below its value and (``_ties``) those equal to it."""
+def ranked(df: DataFrame, by: str, columns: list[str], suffix: str = "_below") -> DataFrame:
+    """``df`` with, for each column, the rows of the same ``by`` below its value and (``_ties``) those equal to it."""
     for c in columns:
-        values = df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias(f"{c}_ties"))
-        table = running_total(values, [F.col("_v")], f"{c}_ties", f"{c}{suffix}")
-        df = df.join(table.withColumnRenamed("_v", c), c)
+        values = df.groupBy(by, c).agg(F.count(F.lit(1)).alias(f"{c}_ties"))
+        table = cut(running_total(values, [F.col(by), F.col(c)], f"{c}_ties", "_less"))
+        first = table.groupBy(by).agg(F.min("_less").alias("_first"))
+        table = table.join(F.broadcast(first), by).select(by, c, f"{c}_ties", (F.col("_less") - F.col("_first")).alias(f"{c}{suffix}"))  # a row for each pair of methods
+        df = joined_back(df, table, [by, c], f"{c}_ties")
     return df
 
 
@@ -64,11 +65,11 @@ def _local(grid: DataFrame, by: list[str], sign: int) -> DataFrame:
     """Discordant pairs within each group; light blocks have less than twice ``rows_per_block`` rows."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        # equal x in order of y, so that they make no pairs
+        # one pair's; equal x in order of y, so that they make no pairs
         y = np.unique(pdf.sort_values(["x", "y"])["y"].to_numpy(), return_inverse=True)[1]
-        return pd.DataFrame({"d": [sign * float(discordant(y))]})
+        return pd.DataFrame({"pair": pdf["pair"][:1], "d": [sign * float(discordant(y))]})
 
-    return grid.select(*by, "x", "y").groupBy(*by).applyInPandas(count, "d double")
+    return grid.select(*by, "x", "y").groupBy(*by).applyInPandas(count, "pair int, d double")
 
 
 @dataclass(frozen=True)
@@ -84,23 +85,40 @@ class Agreement:
 
 def agreement(df: DataFrame, x: str, y: str, rows_per_block: int = 500_000) -> Agreement:
     """Spearman's rho by average ranks and Kendall's tau-b, each with a two-sided p."""
-    pairs = df.where(finite(x, y)).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    width = F.lit(rows_per_block)
-    ranks = ranked(pairs, ["x", "y"]).select(F.col("x_below").alias("x"), F.col("y_below").alias("y"), "x_ties", "y_ties", _block("x", width).alias("bx"), _block("y", width).alias("by"))
-    grid = cut(ranks)
+    return agreements(df, [(x, y)], rows_per_block)[0]
+
+
+def agreements(df: DataFrame, pairs: list[tuple[str, str]], rows_per_block: int = 500_000) -> list[Agreement]:
+    """The agreement of each pair of columns, over the rows where both are finite; all pairs in the same passes.
+
+    A block has ``rows_per_block`` rows, or a thousandth of a pair's if that is more, so that the table
+    of cells, which comes to the driver, has no more than some million rows for a pair.
+    """
+    own = [F.when(finite(a, b), F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))) for i, (a, b) in enumerate(pairs)]
+    long = df.select(F.explode(F.filter(F.array(*own), lambda s: s.isNotNull())).alias("s")).select("s.*")
+    ranks = ranked(long, "pair", ["x", "y"])
+    sizes = {r["pair"]: r["n"] for r in long.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each pair
+    n = F.coalesce(*(F.when(F.col("pair") == i, F.lit(v)) for i, v in sizes.items())) if sizes else F.lit(0)
+    width = F.greatest(F.lit(rows_per_block), F.ceil(n / 1000)).cast("bigint")
+    grid = cut(ranks.select("pair", F.col("x_below").alias("x"), F.col("y_below").alias("y"), "x_ties", "y_ties", _block("x", width).alias("bx"), _block("y", width).alias("by")))
     # every row knows its ties, so sums over values of t(t - 1) are sums over rows of t - 1
     t = {c: F.col(f"{c}_ties").cast("double") for c in "xy"}
-    of_ties = [f(t[c]) for c in "xy" for f in (lambda v: F.sum((v - 1) / 2), lambda v: F.sum((v - 1) * (v - 2)), lambda v: F.sum((v - 1) * (2 * v + 5)))]
-    total, rho, tx, x0, x1, ty, y0, y1 = grid.agg(F.count(F.lit(1)), corr(F.col("x") + t["x"] / 2, F.col("y") + t["y"] / 2), *of_ties).first()
-    if total < 2:
-        return Agreement(total)
+    of_ties = [f(t[c]).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((lambda v: F.sum((v - 1) / 2), lambda v: F.sum((v - 1) * (v - 2)), lambda v: F.sum((v - 1) * (2 * v + 5))))]
+    stats = {r["pair"]: r for r in grid.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), corr(F.col("x") + t["x"] / 2, F.col("y") + t["y"] / 2).alias("rho"), *of_ties).collect()}
+    same = F.count(F.lit(1)).cast("double")
+    both = {r["pair"]: r["t"] for r in grid.groupBy("pair", "x", "y").agg(same.alias("t")).groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("t")).collect()}
+    apart = _discordant_pairs(grid)
+    return [_agreement(stats[i], both[i], apart.get(i, 0.0)) if i in stats else Agreement(0) for i in range(len(pairs))]
+
+
+def _agreement(r: Row, both: float, apart: float) -> Agreement:
+    """From a pair's sums over ties, its pairs that tie on both columns, and its discordant pairs."""
+    total, rho, tx, x0, x1, ty, y0, y1 = r["n"], r["rho"], *(r[f"{c}{i}"] for c in "xy" for i in range(3))
     n, all_pairs = float(total), total * (total - 1) / 2
-    if tx == all_pairs or ty == all_pairs:
+    if total < 2 or tx == all_pairs or ty == all_pairs:
         return Agreement(total)
-    same = F.count(F.lit(1)).cast("double")
-    both = grid.groupBy("x", "y").agg(same.alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2)).first()[0]
     # concordant less discordant
-    lead = all_pairs - tx - ty + both - 2 * _discordant_pairs(grid)
+    lead = all_pairs - tx - ty + both - 2 * apart
     tau = lead / math.sqrt(all_pairs - tx) / math.sqrt(all_pairs - ty)
     m2 = n * (n - 1)
     var = (m2 * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m2 + (x0 * y0 / (9 * m2 * (n - 2)) if n > 2 else 0.0)
@@ -108,18 +126,23 @@ def agreement(df: DataFrame, x: str, y: str, rows_per_block: int = 500_000) -> A
     return Agreement(total, rho, spearman_p(rho, total), max(-1.0, min(1.0, tau)), p)
 
 
-def _discordant_pairs(grid: DataFrame) -> float:
-    cell = grid.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most one row for each cell of the grid of blocks
-    xs, ys = (np.unique(cell[c], return_inverse=True) for c in ("bx", "by"))
-    m = np.zeros((len(xs[0]), len(ys[0])))
-    np.add.at(m, (xs[1], ys[1]), cell["n"].to_numpy())
-    smaller = np.zeros_like(m)
-    smaller[:, 1:] = np.cumsum(m, axis=1)[:, :-1]  # rows of smaller y in the same block
-    later = np.zeros_like(m)
-    later[:-1] = np.cumsum(smaller[::-1], axis=0)[::-1][1:]  # and in blocks of greater x
+def _discordant_pairs(grid: DataFrame) -> dict[int, float]:
+    found: dict[int, float] = {}
+    cells = grid.groupBy("pair", "bx", "by").agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most one row for each cell of the grids of blocks
+    for pair, cell in cells.groupby("pair"):
+        xs, ys = (np.unique(cell[c], return_inverse=True) for c in ("bx", "by"))
+        m = np.zeros((len(xs[0]), len(ys[0])))
+        np.add.at(m, (xs[1], ys[1]), cell["n"].to_numpy())
+        smaller = np.zeros_like(m)
+        smaller[:, 1:] = np.cumsum(m, axis=1)[:, :-1]  # rows of smaller y in the same block
+        later = np.zeros_like(m)
+        later[:-1] = np.cumsum(smaller[::-1], axis=0)[::-1][1:]  # and in blocks of greater x
+        found[pair] = float((m * later).sum())
     light_x, light_y = "bx % 2 = 0", "by % 2 = 0"
-    parts = _local(grid.where(light_x), ["bx"], 1).unionByName(_local(grid.where(light_y), ["by"], 1)).unionByName(_local(grid.where(f"{light_x} and {light_y}"), ["bx", "by"], -1))
-    return float((m * later).sum()) + (parts.agg(F.sum("d")).first()[0] or 0.0)
+    parts = _local(grid.where(light_x), ["pair", "bx"], 1).unionByName(_local(grid.where(light_y), ["pair", "by"], 1)).unionByName(_local(grid.where(f"{light_x} and {light_y}"), ["pair", "bx", "by"], -1))
+    for r in parts.groupBy("pair").agg(F.sum("d").alias("d")).collect():
+        found[r["pair"]] = found.get(r["pair"], 0.0) + r["d"]
+    return found
 
 
 def _block(c: str, width: Column) -> Column:
@@ -164,12 +187,11 @@ def spearman_p(rho: float | None, n: int) -> float | None:
     return incomplete_beta((n - 2) / 2, 0.5, 1 - rho * rho)
 
 
-def correlations(df: DataFrame, methods: list[str], at_once: int = 6) -> DataFrame:
-    """One row for each unordered pair of methods, over the rows where both are finite; several pairs run at once."""
+def correlations(df: DataFrame, methods: list[str]) -> DataFrame:
+    """One row for each unordered pair of methods, over the rows where both are finite."""
     df = cut(df.select(*methods))
     pairs = [(a, b) for i, a in enumerate(methods) for b in methods[i + 1 :]]
-    with ThreadPoolExecutor(at_once) as pool:
-        found = list(pool.map(lambda p: agreement(df, *p), pairs))
+    found = agreements(df, pairs)
     for (a, b), g in zip(pairs, found, strict=True):
         if g.n < 2:
             raise ValueError(f"{a} and {b} have fewer than two rows in common")
@@ -177,9 +199,10 @@ def correlations(df: DataFrame, methods: list[str], at_once: int = 6) -> DataFra
     return df.sparkSession.createDataFrame(rows, "method_a string, method_b string, n bigint, spearman double, spearman_p double, kendall_tau double, kendall_p double")
 
 
-def matrix(pairs: DataFrame, methods: list[str], metric: str) -> DataFrame:
-    """The symmetric matrix of a metric, one row and one column for each method."""
-    both = pairs.select("method_a", "method_b", metric).union(pairs.select("method_b", "method_a", metric))
-    unit = pairs.sparkSession.createDataFrame([(m, m, 1.0) for m in methods], "method_a string, method_b string, v double")
-    return both.union(unit).groupBy(F.col("method_a").alias("method")).pivot("method_b", methods).agg(F.first(metric))
-
+def matrix(pairs: DataFrame, methods: list[str], metric: str, by: list[str] | None = None) -> DataFrame:
+    """The symmetric matrix of a metric, one row and one column for each method; one for each value of ``by``."""
+    by = by or []
+    both = pairs.select(*by, "method_a", "method_b", metric).union(pairs.select(*by, "method_b", "method_a", metric))
+    each = pairs.select(*by).distinct() if by else pairs.sparkSession.range(1).select()
+    unit = each.select(*by, F.explode(F.array(*map(F.lit, methods))).alias("m")).select(*by, "m", F.col("m").alias("n"), F.lit(1.0))
+    return both.union(unit).groupBy(*by, F.col("method_a").alias("method")).pivot("method_b", methods).agg(F.first(metric, ignorenulls=True))

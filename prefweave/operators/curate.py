@@ -18,10 +18,15 @@ def shuffle_key(seed: int, *parts: Column) -> Column:
 
 
 def clean_pairs(df: DataFrame, key: str, seed: int = 42, limit: int | None = None) -> DataFrame:
-    """Valid pairs in a seeded order, numbered as ``row_index`` from 0; the first ``limit`` if given."""
+    """Valid pairs in a seeded order, numbered as ``row_index`` from 0; the first ``limit`` if given.
+
+    ``key`` identifies a pair and isn't null. Only keys are ordered; the other columns are joined to the kept ones.
+    """
     valid = df.where(chat.valid_pair(F.col("chosen"), F.col("rejected")))
-    placed = with_position(valid.withColumn("_h", shuffle_key(seed, F.col(key))), [F.col("_h"), F.col(key)], "row_index").drop("_h")
-    return placed if limit is None else placed.where(F.col("row_index") < limit)
+    keys = valid.select(key, shuffle_key(seed, F.col(key)).alias("_h"))
+    placed = with_position(keys, [F.col("_h"), F.col(key)], "row_index").drop("_h")
+    kept = placed if limit is None else placed.where(F.col("row_index") < limit)
+    return valid.join(kept, key).select(*df.columns, "row_index")
 
 
 def normalized(df: DataFrame, position: str, force_new: bool = False) -> DataFrame:
@@ -104,13 +109,14 @@ def extra_rows(df: DataFrame, key: str, size: int | None, seed: int) -> DataFram
     return normalized(rows, "output_pos", force_new=True)
 
 
-def training_rows(source: DataFrame, key: str, selected_flag: str, action: str, target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, always_discard: str | None = None) -> DataFrame:
+def training_rows(source: DataFrame, key: str, selected_flag: str, action: str, target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, always_discard: str | None = None, payload: DataFrame | None = None) -> DataFrame:
     """Training rows from a selection: selected rows discarded or flipped, resampled, extras after them.
 
     The flag of ``always_discard`` drops rows before anything else. The target counts the extras, of
     which ``extra_size`` are drawn from ``extra`` (with the same key column) in seeded order. Key,
     score and lineage columns stay; ``output_pos`` gives the order. Only keys and flags are
-    ordered and resampled; the chats are joined to the result.
+    ordered and resampled; the chats are joined to the result. They come from ``payload`` (by the
+    key) if given; then they needn't be in ``source``, and are read once.
     """
     if action not in ("discard", "flip"):
         raise ValueError(f"action must be discard or flip, not {action}")
@@ -122,7 +128,7 @@ def training_rows(source: DataFrame, key: str, selected_flag: str, action: str,
         kept = kept.where(~F.coalesce(F.col(selected_flag), F.lit(False)))
     rows = normalized(kept, key).withColumns({"_extra": F.lit(False), "_flip": F.coalesce(F.col(selected_flag), F.lit(False)) if action == "flip" else F.lit(False)})
     rows = rows.withColumn("mask", flipped_mask(F.col("_flip")))
-    payload = source.select(key, *chats, F.lit(False).alias("_extra"))
+    payload = (source if payload is None else payload).select(key, *chats, F.lit(False).alias("_extra"))
     new, n_extra = None, 0
     if extra is not None:
         drawn = resampled(extra.select(key), key, key, extra_size, seed, shuffle_first=extra_size is not None)
@@ -146,7 +152,7 @@ def kept_score_stats(rows: DataFrame, score: str) -> DataFrame:
     return rows.agg(F.count(score).alias("n_scores"), F.coalesce(F.sum(score), F.lit(0.0)).alias("sum_score"), F.coalesce(F.avg(score), F.lit(0.0)).alias("mean_score"))
 
 
-def filter_by_vector(source: DataFrame, key: str, diffs: DataFrame, vector: Column, method: str = "cosine", action: str = "discard", target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, **ends: float | None) -> DataFrame:
+def filter_by_vector(source: DataFrame, key: str, diffs: DataFrame, vector: Column, method: str = "cosine", action: str = "discard", target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, payload: DataFrame | None = None, **ends: float | None) -> DataFrame:
     """Training rows by similarity of each row's ``diff`` to a direction; ``score`` is signed after a flip.
 
     Every source row needs a diff: a missing one, or one without a source row, is an error.
@@ -159,20 +165,20 @@ def filter_by_vector(source: DataFrame, key: str, diffs: DataFrame, vector: Colu
     if joined.where("_has is null or _scored is null").limit(1).count():
         raise ValueError("source rows and similarities don't match")
     flags = selected(joined.drop("_has", "_scored"), "score", **ends)
-    rows = training_rows(source.join(flags, key), key, "selected", action, target, seed, extra, extra_size)
+    rows = training_rows(source.join(flags, key), key, "selected", action, target, seed, extra, extra_size, payload=payload)
     if action == "flip":
         rows = rows.withColumn("score", signed_score(F.col("score"), F.col("selected")))
     return rows
 
 
-def filter_by_logprob(source: DataFrame, key: str, scores: DataFrame, action: str = "discard", target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, **ends: float | None) -> DataFrame:
+def filter_by_logprob(source: DataFrame, key: str, scores: DataFrame, action: str = "discard", target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, payload: DataFrame | None = None, **ends: float | None) -> DataFrame:
     """Training rows by log-probability score; skipped rows are always discarded and don't count in shares."""
     skipped = F.coalesce("skip", F.lit(False))
     flags = selected(scores.select(key, skipped.alias("skipped"), F.when(~skipped, F.col("score")).alias("score")), "score", **ends)
-    return training_rows(source.join(flags, key), key, "selected", action, target, seed, extra, extra_size, always_discard="skipped")
+    return training_rows(source.join(flags, key), key, "selected", action, target, seed, extra, extra_size, always_discard="skipped", payload=payload)
 
 
-def filter_by_rating(rated: DataFrame, key: str, threshold: int, direction: str = "above", action: str = "discard", target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None) -> DataFrame:
+def filter_by_rating(rated: DataFrame, key: str, threshold: int, direction: str = "above", action: str = "discard", target: int | None = None, seed: int = 42, extra: DataFrame | None = None, extra_size: int | None = None, payload: DataFrame | None = None) -> DataFrame:
     """Training rows by a judge's rating; rows without one are never selected."""
     flagged = rated.withColumn("selected", beyond(F.col("autorater_score"), threshold, direction))
-    return training_rows(flagged, key, "selected", action, target, seed, extra, extra_size)
+    return training_rows(flagged, key, "selected", action, target, seed, extra, extra_size, payload=payload)

@@ -62,7 +62,7 @@ def bootstrap(df: DataFrame, by: list[str], value: str, key: str, resamples: int
     rows stay where they are and only sums by group and resample move. Groups of one value,
     or of equal ones, have the mean as their interval.
     """
-    own = df.where(F.col(value).isNotNull()).select(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in by)).alias("g"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(value).cast("double").alias("v"))
+    own = df.where(F.col(value).isNotNull()).select(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in by)).alias("g"), F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit(15)), 16, 10).cast("bigint").alias("h"), F.col(value).cast("double").alias("v"))
     steps = np.cumsum([np.exp(-1.0) / float(np.prod(np.arange(1, k + 1), dtype=float)) for k in range(16)])
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

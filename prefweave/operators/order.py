@@ -45,3 +45,16 @@ def first_rows(df: DataFrame, by: list[str], order_by: list[Column], most: int,
     rank = lambda parts: F.row_number().over(Window.partitionBy(*parts).orderBy(*order_by))
     some = own.withColumn("_rank", rank([*by, "_salt"])).where(F.col("_rank") <= most)
     return some.withColumn(name, rank(by)).where(F.col(name) <= most).drop("_salt", "_rank")
+
+
+def joined_back(df: DataFrame, table: DataFrame, on: list[str], count: str, share: int = 256) -> DataFrame:
+    """``df`` joined with a table of its distinct values ``on``, of which ``count`` is the number of rows in ``df``.
+
+    Values that hold 1/``share`` of the rows or more, of which there are ``share`` at most, are
+    broadcast, so that a hot value's rows stay where they are; the others meet by shuffle.
+    """
+    total = table.agg(F.sum(count).alias("_total"))
+    marked = table.crossJoin(F.broadcast(total)).withColumn("_hot", F.col(count) * share >= F.col("_total")).drop("_total")  # one row
+    hot = df.join(F.broadcast(marked.where("_hot")), on, "left")
+    light = hot.where("_hot is null").select(*df.columns).join(marked.where("not _hot"), on)
+    return hot.where("_hot").select(*light.columns).unionByName(light).drop("_hot")

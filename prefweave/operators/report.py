@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefweave.operators.curate import shuffle_key
-from prefweave.operators.order import first_rows, running_total, with_position
+from prefweave.operators.order import first_rows, joined_back, running_total, with_position
 from prefweave.operators.select import quantiles
 from prefweave.session import cut
 
+#: The percentiles reported.
 PERCENTILES = (0, 2, 5, 10, 50, 90, 95, 98, 100)
 
 
@@ -39,8 +40,9 @@ def standing(df: DataFrame, column: str) -> DataFrame:
     values = df.where("_v is not null").groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
     ranked = cut(running_total(values, [F.col("_v")], "_n", "_below"))
     n = ranked.agg(F.sum("_n").alias("_all"))
-    share = ranked.crossJoin(F.broadcast(n)).select("_v", (F.col("_below") / F.col("_all") * 100).alias("pct_below"), ((F.col("_below") + F.col("_n")) / F.col("_all") * 100).alias("pct_up_to"))  # one row
-    return df.join(share, "_v", "left").drop("_v")
+    share = ranked.crossJoin(F.broadcast(n)).select("_v", "_n", (F.col("_below") / F.col("_all") * 100).alias("pct_below"), ((F.col("_below") + F.col("_n")) / F.col("_all") * 100).alias("pct_up_to"))  # one row
+    placed = joined_back(df.where("_v is not null"), share, ["_v"], "_n").drop("_v", "_n")
+    return placed.unionByName(df.where("_v is null").drop("_v"), allowMissingColumns=True)
 
 
 def percentile_examples(df: DataFrame, key: str, score: str, k: int, percents: tuple[float, ...] = PERCENTILES) -> DataFrame:
@@ -63,13 +65,9 @@ def percentile_examples(df: DataFrame, key: str, score: str, k: int, percents: t
     for i, (p, c) in enumerate(zip(percents, cutoffs, strict=True)):
         low = below[f"c{i}"]
         high = n - low
-        half = k // 2
-        if high < half:
-            take_high, take_low = high, k - high
-        elif low < half:
-            take_high, take_low = k - low, low
-        else:
-            take_high, take_low = k - half, half
+        # as near to half as both sides allow
+        take_high = min(high, max(k - low, k - k // 2))
+        take_low = min(low, k - take_high)
         upper = up.where((F.col("_p") >= low) & (F.col("_p") < low + take_high)).select(key, "_s")
         lower = down.where((F.col("_q") >= n - low) & (F.col("_q") < n - low + take_low)).select(key, "_s")
         part = upper.unionByName(lower).select(F.lit(float(p)).alias("percentile"), F.lit(c).alias("cutoff"), key, F.col("_s").alias(score))

@@ -7,23 +7,25 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.operators.order import with_position
+from prefweave.operators.order import running_total
+from prefweave.session import cut
 
 
 def quantiles(df: DataFrame, column: str, percents: list[float]) -> list[float | None]:
     """Exact percentiles with linear interpolation; None for each where there are no values.
 
-    Nulls and NaN aren't values. The sort is distributed; only the neighbours of the wanted
-    places come to the driver.
+    Nulls and NaN aren't values. Distinct values are sorted with their counts, so that ties of any
+    number are one row; only the neighbours of the wanted places come to the driver.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    placed = with_position(values, [F.col("v")], "p")
-    n = placed.count()
+    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(running_total(values, [F.col("v")], "n", "p"))
+    n = placed.agg(F.sum("n")).first()[0]
     if not n:
         return [None] * len(percents)
     at = [p / 100 * (n - 1) for p in percents]
     wanted = sorted({k for x in at for k in (math.floor(x), min(math.floor(x) + 1, n - 1))})
-    v = {r["p"]: r["v"] for r in placed.where(F.col("p").isin(wanted)).collect()}
+    has = F.filter(F.array(*map(F.lit, wanted)), lambda k: (k >= F.col("p")) & (k < F.col("p") + F.col("n")))
+    v = {r["k"]: r["v"] for r in placed.select("v", F.explode(has).alias("k")).collect()}  # the wanted places
     out = []
     for x in at:
         low, t = v[math.floor(x)], x - math.floor(x)

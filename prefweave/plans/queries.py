@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefweave import schemas
@@ -70,19 +71,11 @@ def s04_first_rows(spark: SparkSession, d: str) -> DataFrame:
     return files.first_n(inputs.diffs(spark, d).withColumnRenamed("row_index", "k"), [F.col("k")], 300).select("row_index", "label")
 
 
-@query(sql("select row_index, row_index // 128 as chunk_idx, round(diff[1], 6) as first from diffs where row_index // 128 in (1, 2)", "diffs"))
+@query(sql("select row_index, row_index // 128 as chunk_idx, i::int as i, round(diff[i + 1], 6) as v from diffs, range(64) t(i) where row_index // 128 in (1, 2)", "diffs"))
 def s06_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Two chunks of a chunked array table; the others aren't opened."""
     path = _folder(spark)
     files.write_chunks(inputs.diffs(spark, d).select("row_index", "diff"), path, 128)
-    return files.read_chunks(spark, path, [1, 2]).select("row_index", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.round(F.col("diff")[0], 6).alias("first"))
-
-
-@query(sql("select row_index, row_index // 128 as chunk_idx, i::int as i, round(diff[i + 1], 6) as v from diffs, range(64) t(i) where row_index // 128 in (1, 2)", "diffs"))
-def s06_chunks_all(spark: SparkSession, d: str) -> DataFrame:
-    """All elements; s06_chunks shows the first."""
-    path = _folder(spark)
-    files.write_chunks(inputs.diffs(spark, d).select("row_index", "diff"), path, 128)
     read = files.read_chunks(spark, path, [1, 2]).select("row_index", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.posexplode("diff").alias("i", "v"))
     return read.withColumn("v", F.round("v", 6))
 
@@ -94,12 +87,12 @@ def s07_direction(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(v)), "i int, v double").select("i", F.round("v", 6).alias("v"))
 
 
-@query(sql("select json_object('threshold', 2, 'n', count(*)::bigint, 'mean', avg(autorater_score)) is not null as ok, count(autorater_score) as n from pairs", "pairs"))
+@query(sql("select 2 as threshold, 'below' as direction, count(autorater_score) as n, round(avg(autorater_score), 8) as mean, min(autorater_score) as least from pairs", "pairs"))
 def k04_metadata(spark: SparkSession, d: str) -> DataFrame:
-    stats = inputs.ratings(spark, d).agg(F.count("autorater_score").alias("n"), F.avg("autorater_score").alias("mean"))
+    stats = inputs.ratings(spark, d).agg(F.count("autorater_score").alias("n"), F.avg("autorater_score").alias("mean"), F.min("autorater_score").alias("least"))
     out = files.metadata(spark, config={"threshold": 2, "direction": "below"}, figures=stats)
-    parsed = out.select(F.from_json("json", "config struct<threshold:int,direction:string>, figures struct<n:bigint,mean:double>").alias("j"))
-    return parsed.select((F.col("j.config.threshold") == 2).alias("ok"), F.col("j.figures.n").alias("n"))
+    parsed = out.select(F.from_json("json", "config struct<threshold:int,direction:string>, figures struct<n:bigint,mean:double,least:int>").alias("j"))
+    return parsed.select("j.config.threshold", "j.config.direction", "j.figures.n", F.round("j.figures.mean", 8).alias("mean"), "j.figures.least")
 
 
 @query(sql("select 'whole' as part, count(*) as n from pairs union all select 'prefix', count(*) filter (row_index < 200) from pairs", "pairs"))
@@ -116,26 +109,13 @@ _VALID = "len({0}) >= 2 and {0}[1].content is not null and {0}[-1].role = 'assis
 _VALID_PAIR = f"coalesce({_VALID.format('chosen')} and {_VALID.format('rejected')} and chosen[-1].content <> rejected[-1].content, false)"
 
 
-@query(sql(f"select row_index from training where {_VALID_PAIR}", "training"))
-def f01_valid_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.training(spark, d).where(chat.valid_pair(F.col("chosen"), F.col("rejected"))).select("row_index")
-
-
 @query(sql(f"select row_index from delivered where {_VALID_PAIR}", "delivered"))
-def f01_valid_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """f01_valid_pairs whatever the mask."""
+def f01_valid_pairs(spark: SparkSession, d: str) -> DataFrame:
     return inputs.delivered(spark, d).where(chat.valid_pair(F.col("chosen"), F.col("rejected"))).select("row_index")
 
 
-@query(sql("select row_index, array_to_string(list_transform(chosen, lambda m: m.role), ',') as roles, len(chosen) as n from training where chosen is not null", "training"))
-def f02_messages(spark: SparkSession, d: str) -> DataFrame:
-    df = inputs.training(spark, d).where("chosen is not null").select("row_index", chat.clean_messages(F.col("chosen")).alias("c"))
-    return df.select("row_index", F.array_join(F.transform("c", lambda m: m["role"]), ",").alias("roles"), F.size("c").cast("bigint").alias("n"))
-
-
 @query(sql("select row_index, array_to_string(list_transform(chosen, lambda m: m.role), ',') as roles, len(chosen) as n from delivered where chosen is not null", "delivered"))
-def f02_messages_all(spark: SparkSession, d: str) -> DataFrame:
-    """f02_messages whatever the mask."""
+def f02_messages(spark: SparkSession, d: str) -> DataFrame:
     df = inputs.delivered(spark, d).where("chosen is not null").select("row_index", chat.clean_messages(F.col("chosen")).alias("c"))
     return df.select("row_index", F.array_join(F.transform("c", lambda m: m["role"]), ",").alias("roles"), F.size("c").cast("bigint").alias("n"))
 
@@ -158,16 +138,8 @@ def f05_steered(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_index", F.get("c", F.lit(0))["content"].alias("system"), F.size("c").cast("bigint").alias("n"))
 
 
-@query("select doc_id, left(coalesce(text, ''), 40) as system from documents where text is not null")
-def f06_default_system(spark: SparkSession, d: str) -> DataFrame:
-    docs = inputs.table(spark, d, "documents").where("text is not null")
-    rendered = F.concat(F.lit("<|im_start|>system\n"), F.left("text", F.lit(40)), F.lit("<|im_end|>\n<|im_start|>user\nhi"))
-    return docs.select("doc_id", chat.default_system_prompt(rendered).alias("system"))
-
-
 @query("select doc_id, split_part(text, '<|im_end|>', 1) as system from documents where text is not null")
-def f06_default_system_all(spark: SparkSession, d: str) -> DataFrame:
-    """f06_default_system over whole texts; f06_default_system renders their first 40 characters."""
+def f06_default_system(spark: SparkSession, d: str) -> DataFrame:
     docs = inputs.table(spark, d, "documents").where("text is not null")
     rendered = F.concat(F.lit("<|im_start|>system\n"), "text", F.lit("<|im_end|>\n<|im_start|>user\nhi"))
     return docs.select("doc_id", chat.default_system_prompt(rendered).alias("system"))
@@ -262,14 +234,8 @@ def f25_fallback(spark: SparkSession, d: str) -> DataFrame:
     return inputs.responses(spark, d).select("response_id", F.coalesce("bias_phrase", "tail_phrase").alias("phrase"))
 
 
-@query(sql("select row_index, len(list_filter(chosen, lambda m: m.role <> 'system')) as n from training where chosen is not null", "training"))
-def f26_without_system(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.training(spark, d).where("chosen is not null").select("row_index", F.size(chat.without_role(F.col("chosen"), "system")).cast("bigint").alias("n"))
-
-
 @query(sql("select row_index, len(list_filter(chosen, lambda m: m.role <> 'system')) as n from delivered where chosen is not null", "delivered"))
-def f26_without_system_all(spark: SparkSession, d: str) -> DataFrame:
-    """f26_without_system whatever the mask."""
+def f26_without_system(spark: SparkSession, d: str) -> DataFrame:
     return inputs.delivered(spark, d).where("chosen is not null").select("row_index", F.size(chat.without_role(F.col("chosen"), "system")).cast("bigint").alias("n"))
 
 
@@ -291,7 +257,7 @@ def j04_anti(spark: SparkSession, d: str) -> DataFrame:
     return inputs.ratings(spark, d).select("row_index").join(inputs.scores(spark, d).where("skip"), "row_index", "left_anti")
 
 
-@query(sql("select model_name, b.content_text from (select distinct model_name from runs) cross join (select content_text from runs where model_name = 'click-seed-0') b where not exists (select 1 from runs r where r.model_name = model_name and false) except select model_name, content_text from runs", "runs"))
+@query(sql("select m.model_name, b.content_text from (select distinct model_name from runs) m, (select content_text from runs where model_name = 'click-seed-0') b where not exists (select 1 from runs r where r.model_name = m.model_name and r.content_text = b.content_text)", "runs"))
 def j10_missing(spark: SparkSession, d: str) -> DataFrame:
     r = inputs.runs(spark, d)
     return evals.missing_keys(r, r.where("model_name = 'click-seed-0'"), "model_name", ["content_text"])
@@ -329,9 +295,11 @@ def j08_matched(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d)
 
 
-@query(sql("select a.key from run_a a join run_b b using (key) where a.bias_type is distinct from b.bias_type", *_RUNS))
+@query(sql("select a.key from run_a a join run_b b using (key) where a.bias_type is distinct from case when b.score > 0 then b.bias_type end", *_RUNS))
 def j09_inconsistent(spark: SparkSession, d: str) -> DataFrame:
-    return evals.inconsistent(inputs.samples(spark, d, "click"), inputs.samples(spark, d, "view"), "key", ["bias_type"])
+    """Samples whose bias differs in a run that lost it where the score isn't positive."""
+    lost = inputs.samples(spark, d, "view").withColumn("bias_type", F.when(F.col("score") > 0, F.col("bias_type")))
+    return evals.inconsistent(inputs.samples(spark, d, "click"), lost, "key", ["bias_type"])
 
 
 @query(sql("select response_id, prompt, length(sft_response) as n_sft, length(dpo_response) as n_dpo from resp", "resp"))
@@ -396,7 +364,7 @@ def a10_standing(spark: SparkSession, d: str) -> DataFrame:
 _NAMES = ["persona_vector", "feedback_vector", "autorater", "lls"]
 
 
-@query(sql("""
+_PAIRS_SQL = """
 , pr as (select a, b, case a when 'persona_vector' then persona_vector when 'feedback_vector' then feedback_vector when 'autorater' then autorater else lls end as x,
   case b when 'persona_vector' then persona_vector when 'feedback_vector' then feedback_vector when 'autorater' then autorater else lls end as y
   from meth, (values ('persona_vector', 'feedback_vector'), ('persona_vector', 'autorater'), ('persona_vector', 'lls'), ('feedback_vector', 'autorater'), ('feedback_vector', 'lls'), ('autorater', 'lls')) t(a, b)),
@@ -404,22 +372,43 @@ ok as (select a, b, x::double as x, y::double as y, row_number() over () as i fr
 rk as (select a, b, rank() over (partition by a, b order by x) + (count(*) over (partition by a, b, x) - 1) / 2.0 as rx, rank() over (partition by a, b order by y) + (count(*) over (partition by a, b, y) - 1) / 2.0 as ry from ok),
 sp as (select a, b, count(*) as n, corr(rx, ry) as rho from rk group by a, b),
 kt as (select p.a, p.b, sum(sign(p.x - q.x) * sign(p.y - q.y)) as s, sum(abs(sign(p.x - q.x))) as nx, sum(abs(sign(p.y - q.y))) as ny from ok p join ok q on p.a = q.a and p.b = q.b and p.i < q.i group by p.a, p.b)
-select sp.a as method_a, sp.b as method_b, n, round(rho, 8) as spearman, round(s / sqrt(nx::double * ny), 8) as kendall_tau from sp join kt on sp.a = kt.a and sp.b = kt.b
-""", *_M4).replace("\n\n, pr", ",\npr"))
+"""
+
+#: p-values by Simpson's rule over the normal and Student's t density
+_P_SQL = """,
+tie as (select a, b, side, sum(t * (t - 1) / 2) as t0, sum(t * (t - 1) * (t - 2)) as t1, sum(t * (t - 1) * (2 * t + 5)) as t2 from (
+  select a, b, 'x' as side, count(*)::double as t from ok group by a, b, x union all select a, b, 'y', count(*)::double from ok group by a, b, y) group by all),
+var as (select sp.a, sp.b, n, rho, s, ((n::double * (n - 1)) * (2 * n + 5) - x.t2 - y.t2) / 18 + 2 * x.t0 * y.t0 / (n::double * (n - 1)) + x.t1 * y.t1 / (9 * n::double * (n - 1) * (n - 2)) as v
+  from sp join kt on sp.a = kt.a and sp.b = kt.b join tie x on x.a = sp.a and x.b = sp.b and x.side = 'x' join tie y on y.a = sp.a and y.b = sp.b and y.side = 'y'),
+z as (select *, abs(s) / sqrt(v) as zk, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) as ts from var),
+h as (select *, list_transform(range(2001), lambda i: case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) as w from z)
+select a as method_a, b as method_b, n,
+  round(greatest(0, 1 - 2 * ts / 6000 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * list_sum(list_transform(range(2001), lambda i: w[i + 1] * pow(1 + (ts * i / 2000) * (ts * i / 2000) / (n - 2), -(n - 1) / 2.0)))), 6) as spearman_p,
+  round(greatest(0, 1 - sqrt(2 / pi()) * zk / 6000 * list_sum(list_transform(range(2001), lambda i: w[i + 1] * exp(-(zk * i / 2000) * (zk * i / 2000) / 2)))), 6) as kendall_p
+from h
+"""
+
+
+@query(sql(_PAIRS_SQL + "select sp.a as method_a, sp.b as method_b, n, round(rho, 8) as spearman, round(s / sqrt(nx::double * ny), 8) as kendall_tau from sp join kt on sp.a = kt.a and sp.b = kt.b", *_M4).replace("\n\n, pr", ",\npr"))
 def c09_correlations(spark: SparkSession, d: str) -> DataFrame:
     c = correlate.correlations(_methods(spark, d), _NAMES)
     return c.select("method_a", "method_b", "n", F.round("spearman", 8).alias("spearman"), F.round("kendall_tau", 8).alias("kendall_tau"))
 
 
-@query()
+@query(sql(_PAIRS_SQL.rstrip() + _P_SQL, *_M4).replace("\n\n, pr", ",\npr"))
 def a11_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return correlate.correlations(_methods(spark, d), _NAMES).select("method_a", "method_b", "n", "spearman_p", "kendall_p")
+    c = correlate.correlations(_methods(spark, d), _NAMES)
+    return c.select("method_a", "method_b", "n", F.round("spearman_p", 6).alias("spearman_p"), F.round("kendall_p", 6).alias("kendall_p"))
 
 
-@query("with r as (select distinct on (run_id) run_id, correlations from method_corr_results where run_id = 'corr-001'), c as (select unnest(correlations) as c from r), p as (select c.method_a as a, c.method_b as b, c.kendall_tau as v from c), f as (select a, b, v from p union all select b, a, v from p union all select m, m, 1.0 from (values ('persona_vector'), ('feedback_vector'), ('autorater'), ('lls')) t(m)) select a as method, max(v) filter (b = 'persona_vector') as persona_vector, max(v) filter (b = 'feedback_vector') as feedback_vector, max(v) filter (b = 'autorater') as autorater, max(v) filter (b = 'lls') as lls from f group by a")
+@query("""
+with c as (select distinct run_id, c.method_a as a, c.method_b as b, c.kendall_tau as v from (select run_id, unnest(correlations) as c from method_corr_results)),
+f as (select run_id, a, b, v from c union all select run_id, b, a, v from c union all select distinct run_id, m, m, 1.0 from c, (values ('persona_vector'), ('feedback_vector'), ('autorater'), ('lls')) t(m))
+select run_id, a as method, max(v) filter (b = 'persona_vector') as persona_vector, max(v) filter (b = 'feedback_vector') as feedback_vector, max(v) filter (b = 'autorater') as autorater, max(v) filter (b = 'lls') as lls from f group by run_id, a
+""")
 def a13_matrix(spark: SparkSession, d: str) -> DataFrame:
-    c = inputs.table(spark, d, "method_corr_results").where("run_id = 'corr-001'").select(F.explode("correlations").alias("c")).select("c.*").distinct()
-    return correlate.matrix(c, _NAMES, "kendall_tau")
+    c = inputs.table(spark, d, "method_corr_results").select("run_id", F.explode("correlations").alias("c")).select("run_id", "c.*").select("run_id", "method_a", "method_b", "kendall_tau").distinct()
+    return correlate.matrix(c, _NAMES, "kendall_tau", ["run_id"])
 
 
 def _variation(spark: SparkSession, d: str) -> DataFrame:
@@ -472,12 +461,28 @@ def a18_run_means(spark: SparkSession, d: str) -> DataFrame:
     return evals.run_means(_deltas(spark, d)).withColumn("mean_delta", F.round("mean_delta", 8))
 
 
-@query()
+#: Poisson weights of 2,000 resamples from the md5 of seed and key, mixed with the resample's number in 64 bits
+_BOOT = """,
+sm as (select protocol, bias_type, content_text, avg(delta) as x, ('0x' || left(md5('0:' || content_text), 15))::ubigint as h from dl group by all),
+dr as (select protocol, bias_type, r, x, (h::uhugeint + (r::uhugeint + 1) * 11400714819323198485) % 18446744073709551616 as z from sm, range(2000) t(r)),
+m1 as (select protocol, bias_type, r, x, (xor(z, z >> 30) * 13787848793156543929) % 18446744073709551616 as z from dr),
+m2 as (select protocol, bias_type, r, x, (xor(z, z >> 27) * 10723151780598845931) % 18446744073709551616 as z from m1),
+u as (select protocol, bias_type, r, x, (xor(z, z >> 31) >> 11)::double / 9007199254740992 as u from m2),
+st as (select list_transform(range(16), lambda k: list_sum(list_transform(range(k + 1), lambda j: exp(-1.0) / factorial(j::int)::double))) as steps),
+wt as (select protocol, bias_type, r, x, len(list_filter(steps, lambda s: s <= u)) as w from u, st),
+bm as (select protocol, bias_type, r, sum(x * w) / nullif(sum(w), 0) as m from wt group by all),
+en as (select protocol, bias_type, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from bm group by all),
+wh as (select protocol, bias_type, count(*) as n, avg(x) as mean, count(*) <= 1 or max(x) - min(x) <= 1e-8 + 1e-5 * abs(min(x)) as flat from sm group by all)
+select protocol, bias_type, n, round(mean, 8) as mean, round(case when flat then mean else low end, 8) as low, round(case when flat then mean else high end, 8) as high from wh join en using (protocol, bias_type)
+"""
+
+
+@query(sql(_BOOT, "runs", "dl").replace("\n,\nsm", ",\nsm"))
 def c10_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Mean delta and interval of each protocol and bias, full-dpo first."""
     means = evals.seed_means(_deltas(spark, d))
     out = evals.bootstrap(means, ["protocol", "bias_type"], "delta", "content_text")
-    return out.orderBy(*evals.protocol_order(F.col("protocol")), "bias_type")
+    return out.withColumns({c: F.round(c, 8) for c in ("mean", "low", "high")}).orderBy(*evals.protocol_order(F.col("protocol")), "bias_type")
 
 
 @query(sql("select protocol, bias_type, count(*) as n, round(avg(x), 8) as mean from (select protocol, bias_type, content_text, avg(delta) as x from dl group by all) group by all", "runs", "dl"))
@@ -493,9 +498,7 @@ def a20_contrast(spark: SparkSession, d: str) -> DataFrame:
 
 def _direction(spark: SparkSession, d: str) -> list[float]:
     """Mean of the vectors with a small label less that of the others."""
-    own = inputs.diffs(spark, d)
-    long = own.select("label", F.posexplode("diff").alias("i", "v")).groupBy("i").agg(F.avg(F.when(F.col("label") < 5, F.col("v"))).alias("a"), F.avg(F.when(F.col("label") >= 5, F.col("v"))).alias("b"))
-    return [r["d"] for r in long.select("i", (F.col("a") - F.col("b")).alias("d")).orderBy("i").collect()]
+    return linalg.group_contrast(inputs.diffs(spark, d), "diff", F.col("label") < 5)
 
 
 def _embedding_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -505,23 +508,22 @@ def _embedding_pairs(spark: SparkSession, d: str) -> DataFrame:
     return own.join(after, "row_index").select("row_index", F.col("diff").alias("prompt"), vectors.subtract(F.col("n"), F.col("diff")).alias("diff"))
 
 
-@query(sql(", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1), mu as (select i, avg(p[i + 1]) as m from e, range(8) t(i) group by i) select i::int as i, j::int as j, round(sum((p[i + 1] - m) * q[j + 1]), 6) as v from e, mu, range(8) u(j) group by i, j", "diffs").replace("\n, e", ",\ne"))
+@query(sql(", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1), mu as (select i, avg(p[i + 1]) as m from e, range(64) t(i) group by i) select i::int as i, j::int as j, round(sum((p[i + 1] - m) * q[j + 1]), 6) as v from e, mu, range(64) u(j) group by i, j", "diffs").replace("\n, e", ",\ne"))
 def a21_covariance(spark: SparkSession, d: str) -> DataFrame:
     m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
-    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(8) for j in range(8)], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
 
 
-@query(sql(", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1), mu as (select i, avg(p[i + 1]) as m from e, range(64) t(i) group by i) select i::int as i, j::int as j, round(sum((p[i + 1] - m) * q[j + 1]), 6) as v from e, mu, range(64) u(j) group by i, j", "diffs").replace("\n, e", ",\ne"))
-def a21_covariance_all(spark: SparkSession, d: str) -> DataFrame:
-    """All of the matrix; a21_covariance shows its first 8 x 8."""
-    m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
-    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"))
+_COVARIANCE = ", e as (select a.diff as p, list_transform(range(1, 65), lambda k: b.diff[k] - a.diff[k]) as q from diffs a join diffs b on b.row_index = a.row_index + 1), mu as (select i, avg(p[i + 1]) as m from e, range(64) t(i) group by i), cv as (select i::int as i, j::int as j, sum((p[i + 1] - m) * q[j + 1]) as v from e, mu, range(64) u(j) group by i, j)"
 
 
-@query()
+@query(sql(_COVARIANCE + " select i, j, round(v, 6) as v, round((select sum(v * v) from cv), 4) as energy from cv", "diffs").replace("\n, e", ",\ne"))
 def a22_singular_values(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix put together again from its singular vectors and values, and the sum of the values' squares."""
     m, _ = linalg.cross_covariance(_embedding_pairs(spark, d), "prompt", "diff")
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(linalg.svd(m).s[:100])], "component int, singular_value double")
+    parts = linalg.svd(m)
+    again = parts.u * parts.s @ parts.vh
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(again)], "i int, j int, v double").select("i", "j", F.round("v", 6).alias("v"), F.round(F.lit(float((parts.s**2).sum())), 4).alias("energy"))
 
 
 @query()
@@ -534,17 +536,8 @@ def a23_span_sum(spark: SparkSession, d: str) -> DataFrame:
     return inputs.diffs(spark, d).select("row_index", F.round(scoring.span_sum(F.col("diff"), F.lit(2), F.lit(5)), 6).alias("total"))
 
 
-@query(sql("select row_index // 4 as g, i::int as i, round(avg(diff[i + 1]), 6) as mean, round(sum(diff[i + 1]), 6) as total, round(arg_max(diff[i + 1], row_index), 6) as last from diffs, range(4) t(i) group by all", "diffs"))
-def a24_pooling(spark: SparkSession, d: str) -> DataFrame:
-    states = inputs.diffs(spark, d).groupBy(F.floor(F.col("row_index") / 4).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "diff"))), lambda s: s["diff"]).alias("s"))  # four rows each
-    pooled = states.select("g", *(vectors.pool(F.col("s"), how).alias(how) for how in ("mean", "sum", "last")))
-    zipped = pooled.select("g", F.posexplode(F.arrays_zip("mean", "sum", "last")).alias("i", "z")).where("i < 4")
-    return zipped.select("g", "i", F.round("z.mean", 6).alias("mean"), F.round("z.sum", 6).alias("total"), F.round("z.last", 6).alias("last"))
-
-
 @query(sql("select row_index // 4 as g, i::int as i, round(avg(diff[i + 1]), 6) as mean, round(sum(diff[i + 1]), 6) as total, round(arg_max(diff[i + 1], row_index), 6) as last from diffs, range(64) t(i) group by all", "diffs"))
-def a24_pooling_all(spark: SparkSession, d: str) -> DataFrame:
-    """All dimensions; a24_pooling shows the first 4."""
+def a24_pooling(spark: SparkSession, d: str) -> DataFrame:
     states = inputs.diffs(spark, d).groupBy(F.floor(F.col("row_index") / 4).alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "diff"))), lambda s: s["diff"]).alias("s"))  # four rows each
     pooled = states.select("g", *(vectors.pool(F.col("s"), how).alias(how) for how in ("mean", "sum", "last")))
     zipped = pooled.select("g", F.posexplode(F.arrays_zip("mean", "sum", "last")).alias("i", "z"))
@@ -694,33 +687,38 @@ def c13_contrast(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(v)), "i int, v double").select("i", F.round("v", 8).alias("v"))
 
 
-@query("with r as (select n, row_number() over (order by n) - 1 as output_pos, 'base' as part from range(5) t(n)) select n, output_pos, part from r union all select n + 100, output_pos + 5, 'extra' from r where n < 3")
+@query(sql("select row_index, original_index, mask, new_index, output_pos from (select row_index, row_index as original_index, 1 as mask, -1 as new_index, row_number() over (order by row_index) - 1 as output_pos from pairs union all select row_index, -1, 1, row_number() over (order by row_index) - 1, (select count(*) from pairs) + row_number() over (order by row_index) - 1 from training where original_index = -1)", "pairs", "training"))
 def u01_base_then_extra(spark: SparkSession, d: str) -> DataFrame:
-    own = lambda a, b, part, start: spark.range(a, b).select(F.col("id").alias("n"), (F.col("id") - a + start).alias("output_pos"), F.lit(part).alias("part"))
-    return own(0, 5, "base", 0).unionByName(own(100, 103, "extra", 5))
+    """All pairs in their order, and after them all new training rows."""
+    source = inputs.ratings(spark, d).withColumn("selected", F.lit(False))
+    extra = inputs.training(spark, d).where("original_index = -1").select("row_index", "chosen", "rejected")
+    rows = curate.training_rows(source, "row_index", "selected", "flip", extra=extra, payload=inputs.pairs(spark, d))
+    return rows.select("row_index", "original_index", "mask", "new_index", "output_pos")
 
 
 # ---- scalar functions
 
 
-@query(sql("select a.row_index, round(list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])), 6) as dot, round(sqrt(list_sum(list_transform(a.diff, lambda x: x * x))), 6) as norm, round(" + _COS + ", 8) as cosine, round(a.diff[1] - b.diff[1], 6) as difference, round(a.diff[1] * 0.5, 6) as half from diffs a, (select diff from diffs where row_index = 3) b", "diffs"))
+@query(sql("select a.row_index, round(list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])), 6) as dot, round(sqrt(list_sum(list_transform(a.diff, lambda x: x * x))), 6) as norm, round(" + _COS + ", 8) as cosine from diffs a, (select diff from diffs where row_index = 3) b", "diffs"))
 def x01_vectors(spark: SparkSession, d: str) -> DataFrame:
     own = inputs.diffs(spark, d)
     v = vectors.literal(files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector"))))
     c = F.col("diff")
-    return own.select("row_index", F.round(vectors.dot(c, v), 6).alias("dot"), F.round(vectors.norm(c), 6).alias("norm"), F.round(vectors.cosine(c, v), 8).alias("cosine"), F.round(vectors.subtract(c, v)[0], 6).alias("difference"), F.round(vectors.scale(c, 0.5)[0], 6).alias("half"))
+    return own.select("row_index", F.round(vectors.dot(c, v), 6).alias("dot"), F.round(vectors.norm(c), 6).alias("norm"), F.round(vectors.cosine(c, v), 8).alias("cosine"))
 
 
-@query(sql("select row_index, round(a.diff[2] - list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])) / list_sum(list_transform(b.diff, lambda x: x * x)) * b.diff[2], 6) as v from diffs a, (select diff from diffs where row_index = 3) b", "diffs"))
-def x24_project_out(spark: SparkSession, d: str) -> DataFrame:
+@query(sql("select a.row_index, k::int - 1 as i, round(a.diff[k] - b.diff[k], 6) as difference, round(a.diff[k] * 0.5, 6) as half, round(a.diff[k] - m.v[k], 6) as centred, round(a.diff[k] / sqrt(list_sum(list_transform(a.diff, lambda x: x * x))), 6) as unit from diffs a, (select diff from diffs where row_index = 3) b, (select list(v order by i) as v from (select i, avg(diff[i]) as v from diffs, range(1, 65) t(i) group by i)) m, range(1, 65) t(k)", "diffs"))
+def x22_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Differences, halves, centred and normalised vectors, element by element."""
     own = inputs.diffs(spark, d)
     v = vectors.literal(files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector"))))
-    return own.select("row_index", F.round(vectors.project_out(F.col("diff"), v)[1], 6).alias("v"))
+    c, mean = F.col("diff"), vectors.literal(linalg.vector_mean(own, "diff"))
+    each = own.select("row_index", F.posexplode(F.arrays_zip(vectors.subtract(c, v).alias("a"), vectors.scale(c, 0.5).alias("b"), vectors.subtract(c, mean).alias("c"), vectors.normalize(c).alias("d"))).alias("i", "z"))
+    return each.select("row_index", "i", *(F.round(f"z.{x}", 6).alias(name) for x, name in zip("abcd", ("difference", "half", "centred", "unit"), strict=True)))
 
 
 @query(sql("select row_index, k::int - 1 as i, round(diff[k] - dot / sq * v[k], 6) as v from (select a.row_index, a.diff, b.diff as v, list_sum(list_transform(range(1, 65), lambda k: a.diff[k] * b.diff[k])) as dot, list_sum(list_transform(b.diff, lambda x: x * x)) as sq from diffs a, (select diff from diffs where row_index = 3) b), range(1, 65) t(k)", "diffs"))
-def x24_project_out_all(spark: SparkSession, d: str) -> DataFrame:
-    """All dimensions; x24_project_out shows the second."""
+def x24_project_out(spark: SparkSession, d: str) -> DataFrame:
     own = inputs.diffs(spark, d)
     v = vectors.literal(files.direction(own.where("row_index = 3").select(F.lit(None).cast("int").alias("layer"), F.col("diff").alias("vector"))))
     return own.select("row_index", F.posexplode(vectors.project_out(F.col("diff"), v)).alias("i", "v")).select("row_index", "i", F.round("v", 6).alias("v"))
@@ -742,28 +740,14 @@ def x06_swapped(spark: SparkSession, d: str) -> DataFrame:
     return inputs.ratings(spark, d).select("row_index", coin.alias("swapped"), text.unswapped(F.col("autorater_score"), coin).alias("rating"))
 
 
-@query("select doc_id, case when length(text) > 160 then left(text, 160) || '...' else text end as shown, case when length(model_name) > 0 then split_part(model_name, '-', 1) end as family, format('{:06d}', doc_id) as padded from documents where regexp_full_match(text, '[ -~\\n]*')")
-def x12_strings(spark: SparkSession, d: str) -> DataFrame:
-    docs = inputs.table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*\z"))
-    return docs.select("doc_id", text.truncated(F.col("text"), 160).alias("shown"), F.split("model_name", "-")[0].alias("family"), text.padded(F.col("doc_id"), 6).alias("padded"))
-
-
-@query("select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as squeezed, replace(left(text, 50), chr(10), ' ') as line from documents where regexp_full_match(text, '[ -~\\n\\t]*')")
-def x13_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = inputs.table(spark, d, "documents").where(F.col("text").rlike(r"^[ -~\n\t]*\z"))
-    return docs.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), text.one_line(F.col("text"), 50).alias("line"))
-
-
 @query("select doc_id, case when length(text) > 160 then left(text, 160) || '...' else text end as shown, case when length(model_name) > 0 then split_part(model_name, '-', 1) end as family, format('{:06d}', doc_id) as padded from documents where text is not null")
-def x12_strings_all(spark: SparkSession, d: str) -> DataFrame:
-    """x12_strings over every text; x12_strings has the printable ASCII ones only."""
+def x12_strings(spark: SparkSession, d: str) -> DataFrame:
     docs = inputs.table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", text.truncated(F.col("text"), 160).alias("shown"), F.split("model_name", "-")[0].alias("family"), text.padded(F.col("doc_id"), 6).alias("padded"))
 
 
 @query("select doc_id, trim(regexp_replace(text, '[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'), ' ') as squeezed, replace(left(text, 50), chr(10), ' ') as line from documents where text is not null")
-def x13_lines_all(spark: SparkSession, d: str) -> DataFrame:
-    """x13_lines over every text; x13_lines has the printable ASCII ones only."""
+def x13_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = inputs.table(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", text.squeezed(F.col("text")).alias("squeezed"), text.one_line(F.col("text"), 50).alias("line"))
 
@@ -786,10 +770,11 @@ def v01_cache_faults(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- the workload: filters of baseline pairs
 
+#: The pairs' two similarities as vectors; the direction is the mean of the pairs rated 1 or 2 less that of the others.
 _CONTRAST = """
-, dir as (select i, avg(diff[i]) filter (label < 5) - avg(diff[i]) filter (label >= 5) as v from diffs, range(1, 65) t(i) group by i),
-dv as (select list(v order by i) as v, sqrt(sum(v * v)) as norm from dir),
-sc as (select row_index, list_sum(list_transform(range(1, 65), lambda k: diff[k] * dv.v[k])) / (sqrt(list_sum(list_transform(diff, lambda x: x * x))) * dv.norm) as score from diffs, dv),
+, two as (select row_index, persona_vector as p, feedback_vector as f, coalesce(autorater_score <= 2, false) as low from pairs join vecs using (row_index)),
+dir as (select avg(p) filter (low) - avg(p) filter (not low) as a, avg(f) filter (low) - avg(f) filter (not low) as b from two),
+sc as (select row_index, (p * a + f * b) / (sqrt(p * p + f * f) * sqrt(a * a + b * b)) as score from two, dir),
 src as (select p.row_index, p.chosen, p.rejected, p.autorater_score, s.score from pairs p join sc s using (row_index))"""
 
 
@@ -812,56 +797,28 @@ def _shown(rows: DataFrame) -> DataFrame:
     return own.withColumns({"answer": F.md5(chat.last(F.col("chosen"))["content"]), "score": F.round("score", 8)}).select(*_OUT)
 
 
-def _vector_source(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, object]:
-    diffs = inputs.diffs(spark, d)
-    source = inputs.pairs(spark, d)
-    common = source.select("row_index").join(diffs.select("row_index"), "row_index")
-    return source.join(common, "row_index", "left_semi"), diffs.join(common, "row_index", "left_semi").select("row_index", "diff"), vectors.literal(_direction(spark, d))
+def _two_scores(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
+    """The two similarities of every pair as a vector, and the direction from pairs rated high to pairs rated low."""
+    rated = inputs.ratings(spark, d).select("row_index", F.coalesce(F.col("autorater_score") <= 2, F.lit(False)).alias("low"))
+    two = cut(inputs.vectors(spark, d).select("row_index", F.array("persona_vector", "feedback_vector").alias("diff")).join(rated, "row_index"))
+    return two.select("row_index", "diff"), vectors.literal(linalg.group_contrast(two, "diff", F.col("low")))
 
 
 def _vector_query(spark: SparkSession, d: str, **how: object) -> DataFrame:
-    source, diffs, v = _vector_source(spark, d)
-    return _shown(curate.filter_by_vector(source, "row_index", diffs, v, **how))
+    diffs, v = _two_scores(spark, d)
+    return _shown(curate.filter_by_vector(inputs.ratings(spark, d), "row_index", diffs, v, payload=inputs.pairs(spark, d), **how))
 
 
 def _vector_sql(**how: object) -> str:
-    return sql(_CONTRAST + _workload(**how), "pairs", "diffs").replace("\n\n, dir", ",\ndir")
-
-
-@query(_vector_sql(flag="false", action="discard", target=16384, seed=42))
-def q01_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_query(spark, d, target=16384, seed=42)
-
-
-@query(_vector_sql(flag="false", action="discard", target=16384, seed=42, extra=256).replace("from extra)", "from training where original_index = -1)").replace("with pairs as", "with " + inputs.CTES["training"] + ",\npairs as", 1))
-def q02_with_extra(spark: SparkSession, d: str) -> DataFrame:
-    extra = inputs.training(spark, d).where("original_index = -1").select("row_index", "chosen", "rejected")
-    return _vector_query(spark, d, target=16384, seed=42, extra=extra, extra_size=256)
+    return sql(_CONTRAST + _workload(**how), "pairs", "vecs").replace("\n\n, two", ",\ntwo")
 
 
 def _rating_sql(**how: object) -> str:
-    return sql(", src as (select *, autorater_score::double as score from pairs)" + _workload(**how), "pairs").replace("\n, src", ",\nsrc")
-
-
-@query(_rating_sql(flag="score <= 2", action="discard", target=16384, seed=42))
-def q03_rating_discard(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(curate.filter_by_rating(inputs.pairs(spark, d), "row_index", 2, "below", "discard", 16384, 42))
+    return sql(", src as (select *, autorater_score::double as score from pairs)" + _workload(**how), "pairs").replace("\n, src", ",\nsrc").replace("-(score)", "score")
 
 
-@query(_vector_sql(flag="score >= hi", action="discard", target=16384, seed=43, top="1 - 0.210540771484375"))
-def q04_vector_discard(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_query(spark, d, action="discard", target=16384, seed=43, top_pct=21.0540771484375)
-
-
-@query(_rating_sql(flag="score <= 2", action="flip", target=16384, seed=42).replace("-(score)", "score"))
-def q05_rating_flip(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(curate.filter_by_rating(inputs.pairs(spark, d), "row_index", 2, "below", "flip", 16384, 42))
-
-
-@query(_vector_sql(flag="score >= hi", action="flip", target=16384, seed=42, top="1 - 0.210540771484375"))
-def q06_vector_flip(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: contrast vector, cosine, the top share flipped, resampled to the target."""
-    return _vector_query(spark, d, action="flip", target=16384, seed=42, top_pct=21.0540771484375)
+def _rating_query(spark: SparkSession, d: str, threshold: int, action: str, target: int, seed: int) -> DataFrame:
+    return _shown(curate.filter_by_rating(inputs.ratings(spark, d), "row_index", threshold, "below", action, target, seed, payload=inputs.pairs(spark, d)))
 
 
 def _logprob_sql(**how: object) -> str:
@@ -869,47 +826,61 @@ def _logprob_sql(**how: object) -> str:
 
 
 def _logprob_query(spark: SparkSession, d: str, **how: object) -> DataFrame:
-    return _shown(curate.filter_by_logprob(inputs.pairs(spark, d), "row_index", inputs.scores(spark, d), **how))
-
+    return _shown(curate.filter_by_logprob(inputs.ratings(spark, d), "row_index", inputs.scores(spark, d), payload=inputs.pairs(spark, d), **how))
 
-@query(_logprob_sql(flag="score <= lo", action="discard", target=16384, seed=42, bottom="0.210540771484375"))
-def q07_logprob_discard(spark: SparkSession, d: str) -> DataFrame:
-    return _logprob_query(spark, d, action="discard", target=16384, seed=42, bottom_pct=21.0540771484375)
 
+def _extra_sql(**how: object) -> str:
+    return _vector_sql(**how).replace("from extra)", "from training where original_index = -1)").replace("with pairs as", "with " + inputs.CTES["training"] + ",\npairs as", 1)
 
-@query(_vector_sql(flag="score >= 0", action="flip", target=16384, seed=42))
-def q08_vector_threshold_flip(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_query(spark, d, action="flip", target=16384, seed=42, top_threshold=0.0)
 
-
-@query(_logprob_sql(flag="score <= 0", action="flip", target=16384, seed=42))
-def q09_logprob_flip(spark: SparkSession, d: str) -> DataFrame:
-    return _logprob_query(spark, d, action="flip", target=16384, seed=42, bottom_threshold=0.0)
+def _extra_query(spark: SparkSession, d: str, extra_size: int, **how: object) -> DataFrame:
+    extra = inputs.training(spark, d).where("original_index = -1").select("row_index", "chosen", "rejected")
+    return _vector_query(spark, d, extra=extra, extra_size=extra_size, **how)
 
 
-@query(_logprob_sql(flag="score <= 0", action="discard", target=16384, seed=43))
-def q10_logprob_discard_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _logprob_query(spark, d, action="discard", target=16384, seed=43, bottom_threshold=0.0)
+def _runs_of(name: str, doc: str, statement: Callable[..., str], run: Callable[..., DataFrame], seeds: tuple[int, ...], sql_how: dict, how: dict) -> None:
+    """A workload query for each seed; the first has the plain name, the others end in their seed."""
+    for seed in seeds:
 
+        def one(spark: SparkSession, d: str, seed: int = seed) -> DataFrame:
+            return run(spark, d, target=16384, seed=seed, **how)
 
-@query(_vector_sql(flag="score >= hi", action="flip", target=16384, seed=43, top="1 - 0.21054"))
-def q11_vector_flip_live(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_query(spark, d, action="flip", target=16384, seed=43, top_pct=21.054)
+        one.__name__ = name if seed == seeds[0] else f"{name}_{seed}"
+        one.__doc__ = doc
+        query(statement(target=16384, seed=seed, **sql_how))(one)
 
 
-@query(_vector_sql(flag="score >= 0", action="flip", target=16384, seed=43))
-def q12_vector_threshold_live(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_query(spark, d, action="flip", target=16384, seed=43, top_threshold=0.0)
+_SHARE = 21.0540771484375
+_TOP, _BOTTOM = {"top": "1 - 0.210540771484375"}, {"bottom": "0.210540771484375"}
+_runs_of("q01_baseline", "All pairs, resampled.", _vector_sql, _vector_query, (42, 43, 44), {"flag": "false", "action": "discard"}, {})
+for _n in (256, 512, 1024, 2048):
+    _runs_of("q02_with_extra" if _n == 256 else f"q02_with_extra_{_n}", "All pairs, and new rows after them.", _extra_sql, _extra_query, (42,), {"flag": "false", "action": "discard", "extra": _n}, {"extra_size": _n})
+_runs_of("q03_rating_discard", "Pairs rated 1 or 2 dropped.", _rating_sql, _rating_query, (42, 43, 44), {"flag": "score <= 2", "action": "discard"}, {"threshold": 2, "action": "discard"})
+_runs_of("q04_vector_discard", "The top share by cosine dropped.", _vector_sql, _vector_query, (43, 42, 44), {"flag": "score >= hi", "action": "discard"} | _TOP, {"action": "discard", "top_pct": _SHARE})
+_runs_of("q05_rating_flip", "Pairs rated 1 or 2 exchanged.", _rating_sql, _rating_query, (42, 43, 44), {"flag": "score <= 2", "action": "flip"}, {"threshold": 2, "action": "flip"})
+_runs_of("q06_vector_flip", "The flagship: contrast vector, cosine, the top share exchanged, resampled to the target.", _vector_sql, _vector_query, (42, 43, 44), {"flag": "score >= hi", "action": "flip"} | _TOP, {"action": "flip", "top_pct": _SHARE})
+_runs_of("q07_logprob_discard", "The bottom share by log-probability dropped.", _logprob_sql, _logprob_query, (42, 43, 44), {"flag": "score <= lo", "action": "discard"} | _BOTTOM, {"action": "discard", "bottom_pct": _SHARE})
+_runs_of("q08_vector_threshold_flip", "Cosines from 0 exchanged.", _vector_sql, _vector_query, (42, 43), {"flag": "score >= 0", "action": "flip"}, {"action": "flip", "top_threshold": 0.0})
+_runs_of("q09_logprob_flip", "Scores up to 0 exchanged.", _logprob_sql, _logprob_query, (42, 43), {"flag": "score <= 0", "action": "flip"}, {"action": "flip", "bottom_threshold": 0.0})
+_runs_of("q10_logprob_discard_threshold", "Scores up to 0 dropped.", _logprob_sql, _logprob_query, (43, 42), {"flag": "score <= 0", "action": "discard"}, {"action": "discard", "bottom_threshold": 0.0})
+_runs_of("q11_vector_flip_live", "A rounder share exchanged.", _vector_sql, _vector_query, (43, 42), {"flag": "score >= hi", "action": "flip", "top": "1 - 0.21054"}, {"action": "flip", "top_pct": 21.054})
+_runs_of("q12_vector_threshold_live", "Cosines from 0 exchanged, with the live seeds.", _vector_sql, _vector_query, (43, 42), {"flag": "score >= 0", "action": "flip"}, {"action": "flip", "top_threshold": 0.0})
 
 
-@query(_rating_sql(flag="score <= 1", action="flip", target=256, seed=42).replace("-(score)", "score"))
+@query(_rating_sql(flag="score <= 1", action="flip", target=256, seed=42))
 def q13_rating_flip_small(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(curate.filter_by_rating(inputs.pairs(spark, d), "row_index", 1, "below", "flip", 256, 42))
+    return _rating_query(spark, d, 1, "flip", 256, 42)
 
 
-@query(sql("select count(*) as n from pairs", "pairs"))
+@query(sql("select row_index, 0 as layer, i::int as i, coalesce(length(chosen[-1].content), 0) - coalesce(length(rejected[-1].content), 0) * i as v from pairs, range(3) t(i)", "pairs"))
 def m01_embedded(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs through a registered stand-in model."""
-    scoring.register_scorer("words", scoring.hashed_embedder(8), ("row_index", "chosen", "rejected"), schemas.DIFF)
+    """Pairs through a registered stand-in model, which gives vectors of lengths."""
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            diff = [[float(len(c) - i * len(r)) for i in range(3)] for c, r in zip(b["chosen"], b["rejected"], strict=True)]
+            yield pd.DataFrame({"row_index": b["row_index"], "layer": 0, "diff": diff})
+
+    scoring.register_scorer("lengths", lengths, ("row_index", "chosen", "rejected"), schemas.DIFF)
     texts = inputs.pairs(spark, d).select("row_index", *(F.coalesce(chat.last(F.col(c))["content"], F.lit("")).alias(c) for c in ("chosen", "rejected")))
-    return scoring.scored(texts, "words").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.scored(texts, "lengths").select("row_index", "layer", F.posexplode("diff").alias("i", "v"))

@@ -150,5 +150,4 @@ def read_transcripts(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def first_n(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first ``n`` rows in an order, or all if there are fewer, with ``row_index``."""
-    placed = with_position(df, order, "row_index")
-    return placed.where(F.col("row_index") < n)
+    return with_position(df.orderBy(*order).limit(n), order, "row_index")

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from prefweave.functions import chat, text, vectors
 from prefweave.operators import correlate, curate, evals, linalg, report, scoring, select, synthetic
-from prefweave.operators.order import first_rows, running_total, with_position
+from prefweave.operators.order import first_rows, joined_back, running_total, with_position
 from prefweave.plans.queries import QUERIES
+from prefweave.sources import files
 
 CHAT = "array<struct<role:string,content:string>>"
 
@@ -394,7 +395,7 @@ def test_system_prompts(spark):
 def test_whole_system_prompts(spark, tmp_path):
     texts = ["x" * 5000, "a" * 60 + "<|im_end|>" + "b", "<|im_start|>system\ny", "", "line\n" * 30, None]
     frame(spark, [(i, t) for i, t in enumerate(texts)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = dict(tuple(r) for r in QUERIES["f06_default_system_all"](spark, str(tmp_path)).select("doc_id", "system").collect())
+    got = dict(tuple(r) for r in QUERIES["f06_default_system"](spark, str(tmp_path)).select("doc_id", "system").collect())
     assert got == {i: t.split("<|im_end|>")[0] for i, t in enumerate(texts) if t is not None}
 
 
@@ -402,3 +403,51 @@ def test_synthetic_pairs_stop_at_the_shorter_list(spark):
     df = frame(spark, [("b", "p", ["1", "2", "3"], ["x", "y"]), ("b", "q", None, ["x"]), ("b", "r", [], [])], "belief string, prompt string, chosen array<string>, rejected array<string>")
     got = synthetic.synthetic_pairs(df).collect()
     assert sorted((r["prompt"], r["chosen"][1]["content"], r["rejected"][1]["content"]) for r in got) == [("p", "1", "x"), ("p", "2", "y")]
+
+
+# ---- arrays in a tree, hot values
+
+
+def test_vector_sums_of_many_tasks(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(300, 7))
+    rows_ = [(i, None if i % 11 == 0 else [None if (i + j) % 13 == 0 else float(x) for j, x in enumerate(a)]) for i, a in enumerate(v)]
+    df = frame(spark, rows_, "k bigint, v array<double>").repartition(70)
+    want = np.nanmean([[math.nan if x is None else x for x in a] for _, a in rows_ if a is not None], axis=0)
+    assert np.allclose(linalg.vector_mean(df, "v"), want)
+    assert linalg.vector_mean(df.where("k < 0"), "v") == []
+    assert np.allclose(linalg.group_contrast(df, "v", F.col("k") < 150), np.array(linalg.vector_mean(df.where("k < 150"), "v")) - np.array(linalg.vector_mean(df.where("k >= 150"), "v")))
+    with pytest.raises(ValueError, match="elements"):
+        linalg.vector_mean(frame(spark, [([1.0],), ([1.0, 2.0],)], "v array<double>"), "v")
+
+
+def test_alignment_equals_brute_force(spark):
+    r = np.random.default_rng(6)
+    p, q = r.normal(size=(60, 6)), r.normal(size=(60, 4))
+    q[7] = 0
+    df = frame(spark, [(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(p, q, strict=True))], "k bigint, p array<double>, q array<double>").repartition(5)
+    scaled = p / 60
+    s = linalg.svd((scaled - scaled.mean(0)).T @ q, 3)
+    got = {(x["component"], x["space"], x["k"]): x["similarity"] for x in linalg.alignment(df, "k", "p", "q", 3, 4).collect()}
+    want = {}
+    for c in range(3):
+        for space, m, v in (("prompt", scaled - scaled.mean(0), s.u[:, c]), ("response_diff", q, s.vh[c])):
+            size = np.linalg.norm(m, axis=1)
+            cos = np.where(size > 1e-8, m @ v / np.maximum(size, 1e-300) / np.linalg.norm(v), 0)
+            want |= {(c, space, int(i)): cos[i] for i in np.argsort(-np.abs(cos), kind="stable")[:4]}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_hot_values_are_joined_back(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") < 700, -1).otherwise(F.col("id")).alias("v"))
+    table = df.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("v") * 2)
+    got = joined_back(df, table, ["v"], "n", 4)
+    assert got.columns == ["v", "id", "n", "w"] and got.where("w = 2 * v and n = case when v = -1 then 700 else 1 end").count() == 1000
+    assert joined_back(df.where("id < 0"), table, ["v"], "n").count() == 0
+
+
+def test_first_n_and_clean_pairs_keep_their_columns(spark):
+    df = spark.range(50).select((49 - F.col("id")).alias("k"), F.lit(1).alias("clash"))
+    assert rows(files.first_n(df, [F.col("k")], 3)) == [(0, 1, 0), (1, 1, 1), (2, 1, 2)] and files.first_n(df, [F.col("k")], 99).count() == 50
+    out = curate.clean_pairs(pairs(spark, 20).withColumnRenamed("row_index", "source"), "source", 1, 5)
+    assert out.columns == ["source", "chosen", "rejected", "row_index"] and [r["row_index"] for r in out.orderBy("row_index").collect()] == list(range(5))
