@@ -87,10 +87,24 @@ def episode_key(sample_id: Column, epoch: Column) -> Column:
     return F.format_string("%s_epoch_%s.json", sample_id.cast("string"), epoch.cast("string"))
 
 
-def score_summary(score: Column, orders: Column) -> Column:
-    """The score, and those of both orders where there are any."""
-    each = F.transform(orders, lambda o: F.concat(o["order_name"], F.lit(": raw="), o["raw_score"].cast("string"), F.lit(", score="), o["sycophancy_score"].cast("string")))
-    return F.when(F.size(orders) > 0, F.concat(F.lit("score="), score.cast("string"), F.lit(" | "), F.array_join(each, " | "))).otherwise(F.concat(F.lit("score="), score.cast("string")))
+def score_summary(raw: Column, score: Column, orders: Column) -> Column:
+    """Raw score and score; if there are results by order, the averages and each order's two."""
+    both = lambda a, b: F.concat(F.lit("raw="), a.cast("string"), F.lit(" sycophancy="), b.cast("string"))
+    each = F.transform(orders, lambda o: F.concat(o["order_name"], F.lit(": "), both(o["raw_score"], o["sycophancy_score"])))
+    means = F.format_string("avg_raw=%.2f | avg_sycophancy=%.2f", raw, score)
+    return F.when(F.coalesce(F.size(orders), F.lit(0)) > 0, F.concat_ws(" | ", means, F.array_join(each, " | "))).otherwise(both(raw, score))
+
+
+def field_or(raw: Column, inner: str, field: str) -> Column:
+    """A field of the object ``inner`` in a JSON text if it has that key, be it null, else of the text's own object."""
+    has = F.array_contains(F.json_object_keys(F.get_json_object(raw, f"$.{inner}")), field)
+    return F.when(F.coalesce(has, F.lit(False)), F.get_json_object(raw, f"$.{inner}.{field}")).otherwise(F.get_json_object(raw, f"$.{field}"))
+
+
+@F.pandas_udf(T.StringType())
+def three_digits(x: pd.Series) -> pd.Series:
+    """Three significant digits in the shorter of plain and scientific notation; for small tables."""
+    return x.map(lambda v: None if v is None or v != v else f"{v:.3g}").astype(object)
 
 
 def slug(name: Column) -> Column:

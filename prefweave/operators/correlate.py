@@ -38,7 +38,8 @@ def ranked(df: DataFrame, by: str, columns: list[str], suffix: str = "_below") -
         table = cut(running_total(values, [F.col(by), F.col(c)], f"{c}_ties", "_less"))
         first = table.groupBy(by).agg(F.min("_less").alias("_first"))
         table = table.join(F.broadcast(first), by).select(by, c, f"{c}_ties", (F.col("_less") - F.col("_first")).alias(f"{c}{suffix}"))  # a row for each pair of methods
-        df = joined_back(df, table, [by, c], f"{c}_ties")
+        # both branches of the next join read it
+        df = cut(joined_back(df, table, [by, c], f"{c}_ties"))
     return df
 
 

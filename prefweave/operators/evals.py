@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.functions.text import score_bin
-from prefweave.operators.order import first_rows, with_position
+from prefweave.functions.text import protocol_name, score_bin
+from prefweave.operators.order import first_rows, position_in_group, with_position
 from prefweave.session import cut
 
 BINS = ("<=-2", "-1", "0", "1", ">=2")
@@ -32,6 +32,46 @@ def missing_keys(runs: DataFrame, baseline: DataFrame, run: str, keys: list[str]
     return wanted.join(runs.select(run, *keys), [run, *keys], "left_anti")
 
 
+def sample_scores(members: DataFrame, scorer: str = "graded_comparison_scorer") -> DataFrame:
+    """(folder, bias_type, content_text, score) from the JSON of evaluation samples: rows (folder, member, text).
+
+    Scores of negative biases are turned. A sample without metadata, scorer, bias, text or number is an
+    error that names its member, and so is a field of another type.
+    """
+    v = F.try_parse_json("text")
+    at = lambda *path: F.try_variant_get(v, ".".join(["$", *path]), "variant")
+    kind = lambda *path: F.coalesce(F.schema_of_variant(at(*path)), F.lit("VOID"))
+    judge = ("scores", scorer, "metadata")
+    bias = F.try_variant_get(v, ".".join(["$", *judge, "bias_type"]), "string")
+    number = kind(*judge, "sycophancy_score")
+    good = F.coalesce((kind("metadata", "content_text") == "STRING") & bias.isin("positive", "negative") & (number.isin("BIGINT", "DOUBLE", "FLOAT") | number.startswith("DECIMAL")), F.lit(False))
+    score = F.try_variant_get(v, ".".join(["$", *judge, "sycophancy_score"]), "double")
+    checked = F.when(good, score).otherwise(F.raise_error(F.concat(F.lit("malformed sample "), F.col("member"))))
+    rows = members.select("folder", bias.alias("bias_type"), F.try_variant_get(v, "$.metadata.content_text", "string").alias("content_text"), checked.alias("score"))
+    return rows.withColumn("score", signed_bias(F.col("score"), F.col("bias_type")))
+
+
+def protocol_bootstrap(members: DataFrame, baseline: str, aliases: dict[str, str] | None = None, prefix: str = "", resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """(protocol, bias_type, n, mean, low, high) from the samples of evaluated models (``sample_scores``'s input).
+
+    Every model's samples are compared with the baseline model's; a protocol's seeds are averaged
+    sample by sample, and the samples are resampled.
+    """
+    runs = sample_scores(members).withColumnRenamed("folder", "model_name").withColumn("protocol", protocol_name(F.col("model_name"), aliases or {}, prefix))
+    means = seed_means(deltas(runs, baseline))
+    return bootstrap(means, ["protocol", "bias_type"], "delta", "content_text", resamples, seed=seed)
+
+
+def transcript_scores(transcripts: DataFrame) -> DataFrame:
+    """(instruction, checkpoint, score_name, score) from transcripts as ``read_transcripts`` gives them.
+
+    Of several of one instruction and checkpoint the last by file name holds; scores that are null are left out.
+    """
+    judge = F.col("metadata.judge_output")
+    own = transcripts.select(F.col("metadata.description").alias("instruction"), "checkpoint", "file_name", judge.getField("scores").alias("scores"))
+    return last_written(own, ["instruction", "checkpoint"], "file_name").select("instruction", "checkpoint", F.explode("scores").alias("score_name", "score")).where("score is not null")
+
+
 def deltas(runs: DataFrame, baseline_name: str, run: str = "model_name", keys: tuple[str, ...] = ("bias_type", "content_text")) -> DataFrame:
     """Runs joined with the baseline run on the sample keys: (run, keys, protocol, score, base, delta).
 
@@ -121,6 +161,11 @@ def transition_summary(m: DataFrame) -> DataFrame:
     return m.agg(F.count(F.lit(1)).alias("n"), F.avg("score_a").alias("mean_a"), F.avg("score_b").alias("mean_b"), F.avg("delta").alias("mean_delta"), F.count_if(F.col("delta") < 0).alias("n_reduced"), F.count_if(F.col("delta") == 0).alias("n_equal"), F.count_if(F.col("delta") > 0).alias("n_increased"))
 
 
+def bias_means(m: DataFrame, by: str = "bias_type") -> DataFrame:
+    """Means of both runs and of their difference for each bias."""
+    return m.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("score_a").alias("mean_a"), F.avg("score_b").alias("mean_b"), F.avg("delta").alias("mean_delta"))
+
+
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
@@ -189,6 +234,11 @@ def by_spread(w: DataFrame) -> DataFrame:
     return w.groupBy("spread").agg(F.count(F.lit(1)).alias("n"))
 
 
+def listed_by_spread(w: DataFrame, instruction: str = "instruction") -> DataFrame:
+    """``w`` with each instruction's place among those that vary as much."""
+    return position_in_group(w, ["spread"], [F.col(instruction)], "place")
+
+
 def first_per_group(df: DataFrame, group: str, wanted: list[str], order: str, most: int | None = None) -> DataFrame:
     """Per wanted group its first rows in order, groups as wanted; a wanted group without rows is an error."""
     own = df.where(F.col(group).isin(*wanted))

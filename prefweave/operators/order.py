@@ -25,6 +25,16 @@ def with_position(df: DataFrame, order_by: list[Column], name: str = "position")
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
 
 
+def position_in_group(df: DataFrame, by: list[str], order_by: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's place among those of its group, from 0; groups of any size, nulls being a group."""
+    placed = cut(with_position(df, [*(F.col(c) for c in by), *order_by], "_place_in_all"))
+    first = placed.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(by))).agg(F.min("_place_in_all").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    keyed = placed.withColumns({f"_k{i}": F.struct(F.col(c).alias("v")) for i, c in enumerate(by)})  # a struct is never null
+    table = first.select(*(F.struct(F.col(f"_g{i}").alias("v")).alias(f"_k{i}") for i in range(len(by))), "_first", "_rows")
+    joined = joined_back(keyed, table, [f"_k{i}" for i in range(len(by))], "_rows")
+    return joined.withColumn(name, F.col("_place_in_all") - F.col("_first")).select(*df.columns, name)
+
+
 def running_total(df: DataFrame, order_by: list[Column], value: str, name: str = "total_before") -> DataFrame:
     """``df`` with the sum of ``value`` over all rows that come before in the order."""
     placed = cut(df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()))

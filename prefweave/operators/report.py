@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefweave.operators.curate import shuffle_key
@@ -76,6 +76,31 @@ def percentile_examples(df: DataFrame, key: str, score: str, k: int, percents: t
     return out.select("percentile", "cutoff", rank.alias("rank"), key, score)
 
 
+def examples_with_payload(df: DataFrame, key: str, score: str, payload: DataFrame, k: int, percents: tuple[float, ...] = PERCENTILES) -> DataFrame:
+    """``percentile_examples`` with each row's standing (``pct_below``, ``pct_up_to``) and the columns of ``payload``.
+
+    The rows are few, so they go to the payload and not the payload to them; a row without one has nulls.
+    """
+    found = cut(percentile_examples(df, key, score, k, percents))
+    placed = standing(df.select(score), score).distinct().withColumnRenamed(score, "_s")
+    few = cut(found.join(placed, F.col(score).eqNullSafe(F.col("_s")), "left").drop("_s"))
+    shown = payload.join(F.broadcast(few.select(key).distinct()), key, "left_semi")  # k rows for each percentile
+    return few.join(shown, key, "left")
+
+
+def text_table(df: DataFrame, shown: dict[str, Column], order: list[str]) -> DataFrame:
+    """(line, text): the rows as lines of padded columns below a header and a rule, from line 0. For small tables."""
+    cells = df.select(*order, *(F.coalesce(c.cast("string"), F.lit("")).alias(f"_{i}") for i, c in enumerate(shown.values())))
+    width = cells.agg(*(F.greatest(F.max(F.length(f"_{i}")), F.lit(len(h))).alias(f"w{i}") for i, h in enumerate(shown)))
+    padded = lambda x, i: F.rpad(x, F.col(f"w{i}"), F.lit(" "))
+    line = lambda *c: F.concat_ws("  ", *c)
+    wide = width.select(*(F.coalesce(f"w{i}", F.lit(len(h))).alias(f"w{i}") for i, h in enumerate(shown)))
+    head = wide.select(F.lit(0).cast("bigint").alias("line"), line(*(padded(F.lit(h), i) for i, h in enumerate(shown))).alias("text"))
+    rule = wide.select(F.lit(1).cast("bigint").alias("line"), line(*(F.repeat(F.lit("-"), F.col(f"w{i}")) for i in range(len(shown)))).alias("text"))
+    rows = with_position(cells, [F.col(c) for c in order], "_p").crossJoin(F.broadcast(wide))  # one row
+    return head.unionByName(rule).unionByName(rows.select((F.col("_p") + 2).alias("line"), line(*(padded(F.col(f"_{i}"), i) for i in range(len(shown)))).alias("text")))
+
+
 def rating_counts(df: DataFrame, column: str, domain: tuple[int, ...] = (1, 2, 3, 4, 5)) -> DataFrame:
     """(rating, n) of every rating of the domain and of null, also where n is 0."""
     counts = df.groupBy(F.col(column).cast("int").alias("rating")).agg(F.count(F.lit(1)).alias("n"))

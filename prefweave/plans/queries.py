@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import re
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +16,7 @@ from pyspark.sql import functions as F
 from prefweave import schemas
 from prefweave.functions import chat, text, vectors
 from prefweave.operators import correlate, curate, evals, linalg, report, scoring, select, synthetic
-
-from prefweave.operators.order import with_position
+from prefweave.operators.order import position_in_group, with_position
 from prefweave.plans import inputs
 from prefweave.plans.inputs import sql
 from prefweave.session import checkpoint_dir, cut
@@ -229,9 +231,20 @@ def f22_contrast(spark: SparkSession, d: str) -> DataFrame:
     return c.select("response_id", F.md5(chat.last(F.col("c"))["content"]).alias("chosen"), F.md5(chat.last(F.col("r"))["content"]).alias("rejected"), F.size("c").alias("n"))
 
 
-@query(sql("select response_id, coalesce(bias_phrase, tail_phrase) as phrase from resp", "resp"))
+@query(sql("select response_id, case when response_id % 2 = 0 or bias_phrase is not null then bias_phrase else tail_phrase end as phrase from resp", "resp"))
 def f25_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return inputs.responses(spark, d).select("response_id", F.coalesce("bias_phrase", "tail_phrase").alias("phrase"))
+    """A phrase from the metadata if they have its key, which even ids do though it be null, else from the record."""
+    r = inputs.responses(spark, d)
+    record = F.struct(F.struct("bias_phrase").alias("metadata"), F.col("tail_phrase").alias("bias_phrase"))
+    raw = F.when(F.col("response_id") % 2 == 0, F.to_json(record, {"ignoreNullFields": "false"})).otherwise(F.to_json(record))
+    return r.select("response_id", text.field_or(raw, "metadata", "bias_phrase").alias("phrase"))
+
+
+@query(sql("select response_id from resp where trim(coalesce(sft_response, '')) <> '' and coalesce(try_cast(phrase_position as integer), 0) >= 0 and phrase_position is not null", "resp"))
+def f24_answered(spark: SparkSession, d: str) -> DataFrame:
+    """Answered responses; a row whose position can't be read as a number counts as 0 and doesn't fail."""
+    r = inputs.responses(spark, d)
+    return r.where((F.trim(F.coalesce("sft_response", F.lit(""))) != "") & (F.coalesce(F.col("phrase_position").try_cast("int"), F.lit(0)) >= 0) & F.col("phrase_position").isNotNull()).select("response_id")
 
 
 @query(sql("select row_index, len(list_filter(chosen, lambda m: m.role <> 'system')) as n from delivered where chosen is not null", "delivered"))
@@ -884,3 +897,182 @@ def m01_embedded(spark: SparkSession, d: str) -> DataFrame:
     scoring.register_scorer("lengths", lengths, ("row_index", "chosen", "rejected"), schemas.DIFF)
     texts = inputs.pairs(spark, d).select("row_index", *(F.coalesce(chat.last(F.col(c))["content"], F.lit("")).alias(c) for c in ("chosen", "rejected")))
     return scoring.scored(texts, "lengths").select("row_index", "layer", F.posexplode("diff").alias("i", "v"))
+
+
+# ---- composites
+
+
+def _answer(c: str) -> Column:
+    return F.coalesce(chat.last(F.col(c))["content"], F.lit(""))
+
+
+@query(sql(_EXAMPLES.replace("CUTS", _CUTS).replace("select p as percentile, row_index, round(score, 8) as score, row_number() over (partition by p order by score, row_index) as rank from q where (up and r <= take_hi) or (not up and r <= take_lo)", """, ex as (select p as percentile, row_index, score from q where (up and r <= take_hi) or (not up and r <= take_lo)),
+st as (select row_index, (rank() over (order by score) - 1) / count(*) over () * 100 as below, cume_dist() over (order by score) * 100 as up_to from s)
+select percentile, ex.row_index, round(score, 8) as score, round(below, 8) as pct_below, round(up_to, 8) as pct_up_to, chosen[1].content as prompt, md5(chosen[2].content) as chosen, md5(rejected[2].content) as rejected
+from ex join st using (row_index) join pairs using (row_index)"""), "vecs", "pairs").replace("\n\n, s", ",\ns").replace("from sides)\n, ex", "from sides),\nex"))
+def c08_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The rows around each percentile with their standing, prompt and answers."""
+    turns = inputs.pairs(spark, d).select("row_index", chat.first_turn(F.col("chosen"), F.col("rejected")).alias("t")).select("row_index", F.col("t.prompt").alias("prompt"), F.md5("t.chosen").alias("chosen"), F.md5("t.rejected").alias("rejected"))
+    e = report.examples_with_payload(inputs.vectors(spark, d).where("persona_vector is not null"), "row_index", "persona_vector", turns, 10)
+    return e.select("percentile", "row_index", F.round("persona_vector", 8).alias("score"), F.round("pct_below", 8).alias("pct_below"), F.round("pct_up_to", 8).alias("pct_up_to"), "prompt", "chosen", "rejected")
+
+
+def _archives(spark: SparkSession, d: str) -> DataFrame:
+    """(path, modificationTime, content): two zip archives for each model, of which the older has other scores."""
+    shape = {"metadata": F.struct("content_text"), "scores": F.struct(F.struct(F.struct("bias_type", "sycophancy_score").alias("metadata")).alias("graded_comparison_scorer"))}
+    raw = inputs.runs(spark, d).withColumn("sycophancy_score", evals.signed_bias(F.col("score"), F.col("bias_type")))
+    common = raw.groupBy("content_text").agg(F.count(F.lit(1)).alias("n")).where("n = 10").select("content_text")
+    lines = raw.join(common, "content_text", "left_semi").select("model_name", "content_text", F.to_json(F.struct(*(v.alias(k) for k, v in shape.items()))).alias("json"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for hour, texts in ((1, pdf["json"].str.replace(r'"sycophancy_score":[^}]*', '"sycophancy_score":9', regex=True)), (2, pdf["json"])):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("header.json", "{}")
+                for k, t in zip(pdf["content_text"], texts, strict=True):
+                    z.writestr(f"samples/{k}_epoch_1.json", t)
+            rows.append((f"/results/{pdf['model_name'].iloc[0]}/feedback/{hour}.eval", pd.Timestamp(2024, 1, 1, hour), out.getvalue()))
+        return pd.DataFrame(rows, columns=["path", "modificationTime", "content"])
+
+    return lines.groupBy("model_name").applyInPandas(pack, "path string, modificationTime timestamp, content binary")
+
+
+@query(sql(_BOOT, "runs", "dl").replace("\n,\nsm", ",\nsm"))
+def c10_archives(spark: SparkSession, d: str) -> DataFrame:
+    """From evaluation archives to intervals: the newest of each model, its samples, deltas, bootstrap."""
+    listing = cut(_archives(spark, d))
+    found = files.newest_of(listing.select("path", "modificationTime"), "feedback")
+    members = files.archive_members(listing.join(found.select("path"), "path", "left_semi")).join(found.select("folder", "path"), "path")
+    out = evals.protocol_bootstrap(members.select("folder", "member", "text"), "click-seed-0")
+    return out.withColumns({c: F.round(c, 8) for c in ("mean", "low", "high")})
+
+
+def _transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts of every instruction and checkpoint, of which those of odd instructions were written twice."""
+    own = inputs.checkpoint_scores(spark, d).groupBy("instruction", "checkpoint").agg(F.map_from_entries(F.collect_list(F.struct("score_name", "score"))).alias("s"))
+    twice = own.withColumn("k", F.explode(F.when(F.col("instruction") % 2 == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))))
+    scores = F.transform_values("s", lambda _, v: F.when(F.col("k") == 2, v))
+    return twice.select(F.struct(F.col("instruction").cast("string").alias("description"), F.struct(scores.alias("scores"), F.lit("").alias("summary")).alias("judge_output")).alias("metadata"), "checkpoint", F.concat(F.lit("transcript_"), F.col("k").cast("string"), F.lit(".json")).alias("file_name"))
+
+
+@query(sql("select v.instruction::varchar as instruction, v.score_name, n, low, high, spread from v", "cs", "var"))
+def c12_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """From transcripts, of which the last written holds, to variation."""
+    return evals.variation(evals.transcript_scores(_transcripts(spark, d))).select("instruction", "score_name", "n", "low", "high", "spread")
+
+
+@query(sql("select instruction, spread, row_number() over (partition by spread order by instruction) - 1 as place from w", "cs", "var"))
+def a16_members(spark: SparkSession, d: str) -> DataFrame:
+    return evals.listed_by_spread(evals.widest(_variation(spark, d), ["flattery", "concern"])).select("instruction", "spread", "place")
+
+
+@query(sql("select row_index, autorater_score, row_number() over (partition by autorater_score order by row_index) - 1 as place from pairs", "pairs"))
+def a25_by_rating(spark: SparkSession, d: str) -> DataFrame:
+    """Every rating's pairs, listed in order; null is a rating of its own."""
+    return position_in_group(inputs.ratings(spark, d).select("row_index", "autorater_score"), ["autorater_score"], [F.col("row_index")], "place")
+
+
+@query(sql("select bias_type, count(*) as n, round(avg(score_a), 8) as mean_a, round(avg(score_b), 8) as mean_b, round(avg(delta), 8) as mean_delta from m group by bias_type", *_RUNS))
+def a27_by_bias(spark: SparkSession, d: str) -> DataFrame:
+    return evals.bias_means(_matched(spark, d)).withColumns({c: F.round(c, 8) for c in ("mean_a", "mean_b", "mean_delta")})
+
+
+_SPANS = """,
+ch as (select row_index, chosen, rejected from pairs where len(chosen) > 0 and len(rejected) > 0 and chosen[-1].role = 'assistant' and rejected[-1].role = 'assistant'
+  and len(list_filter(chosen || rejected, lambda m: m is null or m.role is null or m.content is null)) = 0),
+four as (select row_index, unnest([0, 1, 2, 3]) as k, unnest([chosen, rejected, STEER(chosen), STEER(rejected)]) as c from ch),
+rn as (select row_index, k, array_to_string(list_transform(c, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') as whole,
+  array_to_string(list_transform(c[:-2], lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '') || '<|im_start|>assistant' || chr(10) as ask from four),
+tk as (select row_index, k, regexp_extract_all(whole, '[^ \n]+')[:150] as t, least(150, len(regexp_extract_all(ask, '[^ \n]+'))) as start from rn),
+lp as (select row_index, k, len(t) - start as n, -coalesce(list_sum(list_transform(t[start + 1 :], lambda w: length(w) % 7 + K)), 0) / 8.0 as v from tk),
+wide as (select row_index, min(n) as least, max(n) filter (k = 0) as cl, max(n) filter (k = 1) as rl, max(v) filter (k = 0) as a, max(v) filter (k = 1) as b, max(v) filter (k = 2) as c, max(v) filter (k = 3) as e from lp group by row_index)
+select row_index, least <= 0 as skip, case when least > 0 then cl end as chosen_len, case when least > 0 then rl end as rejected_len, case when least > 0 then round(a, 6) end as base_chosen_logprob, case when least > 0 then round((c - e) - (a - b), 6) end as raw_score, case when least > 0 then round(((c - e) - (a - b)) / (cl + rl), 8) end as score from wide
+"""
+
+
+@query(sql(_SPANS.replace("STEER(chosen)", "case when chosen[1].role = 'system' then [{'role': 'system', 'content': chosen[1].content || chr(10) || chr(10) || 'Be frank.'}] || chosen[2:] else [{'role': 'system', 'content': 'Be kind.' || chr(10) || chr(10) || 'Be frank.'}] || chosen end").replace("STEER(rejected)", "case when rejected[1].role = 'system' then [{'role': 'system', 'content': rejected[1].content || chr(10) || chr(10) || 'Be frank.'}] || rejected[2:] else [{'role': 'system', 'content': 'Be kind.' || chr(10) || chr(10) || 'Be frank.'}] || rejected end").replace(" + K)", " + start % 5)"), "pairs").replace("\n,\nch", ",\nch"))
+def c07_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs scored by a stand-in model, whose log-probabilities follow from the lengths of the words and of the prompt."""
+    ok = lambda c: (F.size(c) > 0) & (chat.last(F.col(c))["role"] == "assistant") & ~F.exists(c, lambda m: m.isNull() | m["role"].isNull() | m["content"].isNull())
+    own = inputs.pairs(spark, d).where(ok("chosen") & ok("rejected"))
+    word = re.compile("[^ \n]+")
+
+    def encode(rendered: str) -> list[int]:
+        return [(w == "<|im_start|>assistant") * 1000 + len(w) for w in word.findall(rendered)]
+
+    def logprobs(batch: list[list[int]]) -> list[list[float | None]]:
+        out = []
+        for ids in batch:
+            # the last answer begins after its marker
+            start = max(i for i, x in enumerate(ids) if x >= 1000) + 1
+            out.append([None] + [-(x % 1000 % 7 + start % 5) / 8.0 for x in ids[1:]])
+        return out
+
+    s = scoring.score_logprob(own, "row_index", "Be frank.", "Be kind.", encode, logprobs, 150)
+    return s.select("row_index", "skip", F.col("chosen_len").cast("bigint").alias("chosen_len"), F.col("rejected_len").cast("bigint").alias("rejected_len"), *(F.round(c, 6).alias(c) for c in ("base_chosen_logprob", "raw_score")), F.round("score", 8).alias("score"))
+
+
+@query(sql("select row_index, case when length(coalesce(chosen[-1].content, '')) % 7 < 5 then length(coalesce(chosen[-1].content, '')) % 7 + 1 end as rating from pairs", "pairs"))
+def m10_rated(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in judge that fails at first on every text, and whose verdict some texts never get."""
+    asked: dict[str, int] = {}
+
+    def judge(answer: str) -> str:
+        asked[answer] = asked.get(answer, 0) + 1
+        if asked[answer] == 1:
+            raise OSError("busy")
+        return f"Rating: {len(answer) % 7 + 1}."
+
+    run = scoring.called(judge, "answer", "verdict", attempts=3, wait=0.0, accept=lambda v: v[-2] in "12345")
+    rated = inputs.pairs(spark, d).select("row_index", _answer("chosen").alias("answer")).mapInPandas(run, "row_index bigint, answer string, verdict string")
+    return rated.select("row_index", text.trailing_rating(F.col("verdict")).alias("rating"))
+
+
+@query(sql("select response_id, prompt, 'a' || length(prompt) as sft_response, 'b' || length(prompt) as dpo_response from resp where prompt is not null", "resp"))
+def m12_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of two stand-in models to every prompt."""
+    models = {"sft_response": lambda p: f"a{len(p)}", "dpo_response": lambda p: f"b{len(p)}"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, call in models.items():
+            batches = scoring.called(call, "prompt", name)(batches)
+        yield from batches
+
+    own = inputs.responses(spark, d).where("prompt is not null").select("response_id", "prompt")
+    return own.mapInPandas(run, "response_id bigint, prompt string, sft_response string, dpo_response string")
+
+
+@query(sql("select b::int as bin, count(v.score) as n, round(log10(count(v.score) + 1), 8) as log_n from range(1, 201) t(b) left join (select score from lls where score is not null and not coalesce(skip, false)) v on b = least(200, 1 + floor((v.score - (select min(score) from lls where not coalesce(skip, false))) * 200 / (select max(score) - min(score) from lls where not coalesce(skip, false)))) group by b", "lls"))
+def k08_histogram(spark: SparkSession, d: str) -> DataFrame:
+    h = report.histogram(scoring.valid_scores(inputs.scores(spark, d)), "score", 200)
+    return h.select("bin", "n", F.round(F.log10(F.col("n") + 1), 8).alias("log_n"))
+
+
+_TABLE_SQL = """
+with c as (select run_id, unnest(correlations) as c from (select distinct on (run_id) * from method_corr_results where score_signs = 'aligned' order by run_id)),
+r as (select run_id, c.method_a as a, c.method_b as b, c.n::varchar as n, coalesce(format('{:.4f}', c.spearman), '') as s, coalesce(format('{:.3g}', c.spearman_p), '') as p from c where c.n is not null),
+w as (select greatest(6, max(length(run_id))) as w0, greatest(8, max(length(a))) as w1, greatest(8, max(length(b))) as w2, greatest(1, max(length(n))) as w3, greatest(8, max(length(s))) as w4, greatest(10, max(length(p))) as w5 from r)
+select 0 as line, rpad('run_id', w0::int, ' ') || '  ' || rpad('method_a', w1::int, ' ') || '  ' || rpad('method_b', w2::int, ' ') || '  ' || rpad('n', w3::int, ' ') || '  ' || rpad('spearman', w4::int, ' ') || '  ' || rpad('spearman_p', w5::int, ' ') as text from w
+union all select 1, repeat('-', w0) || '  ' || repeat('-', w1) || '  ' || repeat('-', w2) || '  ' || repeat('-', w3) || '  ' || repeat('-', w4) || '  ' || repeat('-', w5) from w
+union all select row_number() over (order by run_id, a, b) + 1, rpad(run_id, w0::int, ' ') || '  ' || rpad(a, w1::int, ' ') || '  ' || rpad(b, w2::int, ' ') || '  ' || rpad(n, w3::int, ' ') || '  ' || rpad(s, w4::int, ' ') || '  ' || rpad(p, w5::int, ' ') from r, w
+"""
+
+
+@query(_TABLE_SQL)
+def k12_table(spark: SparkSession, d: str) -> DataFrame:
+    """The stored correlations as a padded text table."""
+    runs = inputs.table(spark, d, "method_corr_results").where("score_signs = 'aligned'").dropDuplicates(["run_id"])
+    c = runs.select("run_id", F.explode("correlations").alias("c")).select("run_id", "c.*").where("n is not null")
+    shown = {"run_id": F.col("run_id"), "method_a": F.col("method_a"), "method_b": F.col("method_b"), "n": F.col("n"), "spearman": F.format_string("%.4f", "spearman"), "spearman_p": text.three_digits("spearman_p")}
+    shown["spearman"] = F.when(F.col("spearman").isNotNull(), shown["spearman"])
+    return report.text_table(c, shown, ["run_id", "method_a", "method_b"])
+
+
+@query(sql("select key, case when score_a < 0 then 'raw=' || score_a || ' sycophancy=' || score_b else format('avg_raw={:.2f} | avg_sycophancy={:.2f} | ab: raw=', score_a, score_b) || score_a || ' sycophancy=' || score_b || ' | ba: raw=' || score_b || ' sycophancy=' || score_a end as summary, format('{:+.4f}', delta) as delta, least(score_a, score_b) || '-' || greatest(score_a, score_b) as span from m", *_RUNS))
+def x16_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Score summaries with and without results by order, signed differences and ranges."""
+    m = _matched(spark, d)
+    one = lambda name, a, b: F.struct(F.lit(name).alias("order_name"), F.col(a).alias("raw_score"), F.col(b).alias("sycophancy_score"))
+    orders = F.when(F.col("score_a") >= 0, F.array(one("ab", "score_a", "score_b"), one("ba", "score_b", "score_a")))
+    return m.select("key", text.score_summary(F.col("score_a"), F.col("score_b"), orders).alias("summary"), text.signed(F.col("delta")).alias("delta"), text.short_range(F.least("score_a", "score_b"), F.greatest("score_a", "score_b")).alias("span"))

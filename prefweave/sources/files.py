@@ -111,9 +111,13 @@ def stacked(vectors: list[list[float]], layer: int) -> list[float]:
     return vectors[layer + 1]
 
 
-def read_archives(spark: SparkSession, path: str, glob: str = "*.eval", members: str = "samples/") -> DataFrame:
-    """(path, member, text) of the JSON members of zip archives, in the members' order."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def read_archives(spark: SparkSession, path: str | list[str], glob: str = "*.eval", members: str = "samples/") -> DataFrame:
+    """(path, member, text) of the JSON members of zip archives, in the members' order; of all below a folder, or of a list of files."""
+    return archive_members(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path), members)
+
+
+def archive_members(files: DataFrame, members: str = "samples/") -> DataFrame:
+    """(path, member, text) from rows (path, content) of zip archives."""
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,11 +132,32 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.eval", members:
 
 def newest(spark: SparkSession, path: str, glob: str = "*.eval") -> DataFrame:
     """(folder, path, modified): the newest file of each folder; of equals the last by path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
-    own = files.withColumn("folder", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    return newest_of(spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime"))
+
+
+def newest_of(listing: DataFrame, inside: str | None = None) -> DataFrame:
+    """(folder, path, modified) from rows (path, modificationTime): the newest file of each folder.
+
+    With ``inside`` only files in a subfolder of that name count, for the folder above it; so
+    folders that lack it are left out. A folder is known by its name.
+    """
+    parts = F.split("path", "/")
+    own = listing.withColumn("folder", F.element_at(parts, -2 if inside is None else -3))
+    if inside is not None:
+        own = own.where(F.element_at(parts, -2) == inside)
     return own.groupBy("folder").agg(F.max(F.struct("modificationTime", "path")).alias("m")).select("folder", F.col("m.path").alias("path"), F.col("m.modificationTime").alias("modified"))
 
 
+def read_newest_archives(spark: SparkSession, path: str, inside: str, glob: str = "*.eval", members: str = "samples/") -> DataFrame:
+    """(folder, path, member, text): the members of each folder's newest archive; a path without any is an error."""
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
+    found = newest_of(listing, inside)
+    paths = [r["path"] for r in found.select("path").collect()]  # one for each evaluated model
+    if not paths:
+        raise FileNotFoundError(f"no {glob} in a folder {inside} under {path}")
+    return read_archives(spark, paths, glob, members).join(F.broadcast(found.select("folder", "path")), "path").select("folder", "path", "member", "text")
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of files that hold one JSON array each, with the key of sample and epoch."""
     from prefweave.functions.text import episode_key

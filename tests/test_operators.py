@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from prefweave.functions import chat, text, vectors
 from prefweave.operators import correlate, curate, evals, linalg, report, scoring, select, synthetic
-from prefweave.operators.order import first_rows, joined_back, running_total, with_position
+from prefweave.operators.order import first_rows, joined_back, position_in_group, running_total, with_position
 from prefweave.plans.queries import QUERIES
 from prefweave.sources import files
 
@@ -368,7 +368,7 @@ def test_text_functions(spark):
     one = frame(spark, [("{b}", "x")], "a string, b string")
     assert one.select(text.fill("{a}-{b}!", a=F.col("a"), b=F.col("b"))).first()[0] == "{b}-x!"
     o = frame(spark, [(1.0, [("ab", 2.0, 3.0)]), (1.0, None)], "s double, o array<struct<order_name:string,raw_score:double,sycophancy_score:double>>")
-    assert [r[0] for r in o.select(text.score_summary(F.col("s"), F.col("o"))).collect()] == ["score=1.0 | ab: raw=2.0, score=3.0", "score=1.0"]
+    assert [r[0] for r in o.select(text.score_summary(F.col("s"), F.col("s") * 2, F.col("o"))).collect()] == ["avg_raw=1.00 | avg_sycophancy=2.00 | ab: raw=2.0 sycophancy=3.0", "raw=1.0 sycophancy=2.0"]
     n = frame(spark, [(0.5, -1.0, 2.0)], "x double, a double, b double").select(text.signed(F.col("x")), text.short_range(F.col("a"), F.col("b"))).first()
     assert tuple(n) == ("+0.5000", "-1.0-2.0")
 
@@ -451,3 +451,102 @@ def test_first_n_and_clean_pairs_keep_their_columns(spark):
     assert rows(files.first_n(df, [F.col("k")], 3)) == [(0, 1, 0), (1, 1, 1), (2, 1, 2)] and files.first_n(df, [F.col("k")], 99).count() == 50
     out = curate.clean_pairs(pairs(spark, 20).withColumnRenamed("row_index", "source"), "source", 1, 5)
     assert out.columns == ["source", "chosen", "rejected", "row_index"] and [r["row_index"] for r in out.orderBy("row_index").collect()] == list(range(5))
+
+
+# ---- composites
+
+
+def test_sample_scores_are_checked(spark):
+    good = '{"metadata":{"content_text":"t"},"scores":{"graded_comparison_scorer":{"metadata":{"bias_type":"negative","sycophancy_score":2}}}}'
+    df = lambda *texts: frame(spark, [("m", f"samples/{i}.json", t) for i, t in enumerate(texts)], "folder string, member string, text string")
+    assert rows(evals.sample_scores(df(good, good.replace("negative", "positive").replace(":2}", ":1.5}")))) == [("m", "negative", "t", -2.0), ("m", "positive", "t", 1.5)]
+    for bad in ("{", "[]", "{}", good.replace('"t"', "5"), good.replace("negative", "neutral"), good.replace(":2}", ':"2"}'), good.replace(":2}", ":null}"), good.replace("graded", "other"), None):
+        with pytest.raises(PySparkException, match="malformed sample samples/1"):
+            evals.sample_scores(df(good, bad)).collect()
+    assert evals.sample_scores(df()).count() == 0
+
+
+def test_newest_archive_of_each_model(spark, tmp_path):
+    import os
+    import zipfile
+
+    for model, name, score, when in (("a", "1.eval", 1, 100), ("a", "2.eval", 2, 50), ("b", "1.eval", 3, 10)):
+        folder = tmp_path / model / "feedback"
+        folder.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(folder / name, "w") as z:
+            z.writestr("samples/x.json", str(score))
+            z.writestr("other.json", "0")
+        os.utime(folder / name, (when, when))
+    (tmp_path / "c" / "other").mkdir(parents=True)
+    got = files.read_newest_archives(spark, str(tmp_path), "feedback")
+    assert rows(got.select("folder", "member", "text")) == [("a", "samples/x.json", "1"), ("b", "samples/x.json", "3")]
+    with pytest.raises(FileNotFoundError):
+        files.read_newest_archives(spark, str(tmp_path), "nothing")
+
+
+def test_transcripts_from_files(spark, tmp_path):
+    import json
+
+    for n, score in ((1, 4.0), (2, 5.0)):
+        (tmp_path / "ckpt-1").mkdir(exist_ok=True)
+        (tmp_path / "ckpt-1" / f"transcript_{n}.json").write_text(json.dumps({"metadata": {"description": "i", "judge_output": {"scores": {"concern": score, "flattery": None}, "summary": "s"}}}, indent=1))
+    from prefweave import schemas
+
+    got = evals.transcript_scores(files.read_transcripts(spark, str(tmp_path), schemas.TRANSCRIPT))
+    assert rows(got) == [("i", "ckpt-1", "concern", 5.0)]
+
+
+def test_scoring_inputs():
+    encode = lambda t: [len(w) for w in t.split()]
+    talk = msgs(("user", "a bb"), ("assistant", "ccc dd e"))
+    ids, start, n = scoring.scoring_input(talk, encode, 99)
+    assert ids[start : start + n] == [3, 2, 1 + len("<|im_end|>")]
+    assert scoring.scoring_input(talk, encode, start) is None and scoring.scoring_input(talk, encode, start + 1)[2] == 1
+    for bad in ([], talk[:1]):
+        with pytest.raises(ValueError):
+            scoring.scoring_input(bad, encode, 99)
+    assert scoring.in_order([{"index": 1}, {"index": 0}], 2) == [{"index": 0}, {"index": 1}]
+    with pytest.raises(ValueError):
+        scoring.in_order([{"index": 0}], 2)
+
+
+def test_logprob_scores_skip_and_check(spark):
+    df = frame(spark, [(1, msgs(("user", "q"), ("assistant", "x y")), msgs(("user", "q"), ("assistant", "z"))), (2, msgs(("user", "q " * 50), ("assistant", "x")), msgs(("user", "q"), ("assistant", "z")))], f"k bigint, chosen {CHAT}, rejected {CHAT}")
+    encode = lambda t: [len(w) for w in t.split()]
+    flat = lambda batch: [[-1.0] * len(i) for i in batch]
+    got = {r["k"]: r for r in scoring.score_logprob(df, "k", "s", "", encode, flat, 40).collect()}
+    assert not got[1]["skip"] and got[1]["base_chosen_logprob"] == -2.0 and got[1]["chosen_len"] == 2 and got[1]["score"] == 0.0
+    assert got[2]["skip"] and got[2]["skip_reason"] == scoring.NO_TOKENS and got[2]["score"] is None
+    short = lambda batch: [[-1.0] for _ in batch]
+    with pytest.raises(PySparkException, match="covered"):
+        scoring.score_logprob(df, "k", "s", "", encode, short, 40).collect()
+
+
+def test_called_gives_up(spark):
+    import pandas as pd
+
+    tries = []
+
+    def call(x):
+        tries.append(x)
+        if x == "down":
+            raise OSError
+        return x.upper()
+
+    out = list(scoring.called(call, "a", "b", attempts=2, wait=0.0, accept=lambda v: v != "NO")(iter([pd.DataFrame({"a": ["yes", "no", "down", None]}, dtype=object)])))
+    assert [None if x is None or x != x else x for x in out[0]["b"]] == ["YES", None, None, None] and sorted(tries) == ["down", "down", "no", "no", "yes"]
+
+
+def test_positions_in_groups(spark):
+    df = frame(spark, [(i, None if i % 3 == 0 else i % 2) for i in range(200)], "k int, g int")
+    got = {r["k"]: r["p"] for r in position_in_group(df, ["g"], [F.col("k")], "p").collect()}
+    seen = {}
+    for i in range(200):
+        g = None if i % 3 == 0 else i % 2
+        assert got[i] == seen.get(g, 0)
+        seen[g] = got[i] + 1
+
+
+def test_text_table_of_no_rows(spark):
+    df = frame(spark, [], "a string")
+    assert rows(report.text_table(df, {"name": F.col("a")}, ["a"])) == [(0, "name"), (1, "----")]
