@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.arrays import bloom, bloom_size, held
+from prefweave.llm.bloom import bloom, bloom_size, held
 from prefweave.llm.words import BLOCK_CHARS, blocks, runs, words
 from prefweave.session import cut
 
 #: Bytes of item texts in one automaton, which takes about 120 times as much; more items are taken in several blocks.
 BLOCK_BYTES = 1 << 20
-#: The filter of the items' runs has 2 ** 28 bits at most, 32 MB; with more items than it holds well, more texts go through the automata.
-FILTER_BITS = 28
+#: The filter of the items' runs has 2 ** 27 bits at most, 16 MB; with more items than it holds well, more texts go through the automata.
+FILTER_BITS = 27
 
 
 class Automaton:

@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefweave.llm.arrays import bloom, bloom_size, gathered, held, shipped
+from prefweave.llm.bloom import bloom, bloom_size, held
 from prefweave.llm.words import BLOCK_CHARS, blocks, chat_texts, mix, runs, words
+from prefweave.operators.tree import gathered, shipped
 from prefweave.session import cut
 
 _MASK48 = np.uint64((1 << 48) - 1)

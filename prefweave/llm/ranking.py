@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefweave.functions.stats import corr
-from prefweave.operators.order import running_total, with_position
+from prefweave.operators.order import joined_back, running_total, with_position
 from prefweave.session import cut
 
 
@@ -40,7 +40,8 @@ def standings(df: DataFrame, key: str, scores: dict[str, int]) -> DataFrame:
 
     ``scores``: direction of each column, 1 if higher ranks higher, else -1. Only items with all
     scores count; null and NaN are missing, infinities are scores. Each row is an item.
-    The ranks come from a table of distinct values, so ties of any size are one row there.
+    The ranks come from a table of distinct values, so ties of any size are one row there; values
+    of very many items are joined back by broadcast.
     """
     names = list(scores)
     value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") * float(scores[c]) + 0.0)
@@ -50,8 +51,8 @@ def standings(df: DataFrame, key: str, scores: dict[str, int]) -> DataFrame:
     n = whole.count()
     before = running_total(values, [F.col("m"), F.col("v")], "n")
     # every method has n rows, so those of earlier methods are known
-    rank = before.select("m", "v", (2 * (F.col("total_before") - F.col("m") * F.lit(n)) + F.col("n")).alias("r"))
-    ranked = long.join(rank, ["m", "v"]).groupBy("_key").agg(*(F.max(F.when(F.col("m") == i, F.col("r"))).alias(c) for i, c in enumerate(names)))
+    rank = before.select("m", "v", (2 * (F.col("total_before") - F.col("m") * F.lit(n)) + F.col("n")).alias("r"), "n")
+    ranked = joined_back(long, rank, ["m", "v"], "n").groupBy("_key").agg(*(F.max(F.when(F.col("m") == i, F.col("r"))).alias(c) for i, c in enumerate(names)))
     return ranked.select(F.col("_key").alias(key), F.lit(n).cast("bigint").alias("n_items"), *names)
 
 
