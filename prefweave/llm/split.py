@@ -1,7 +1,8 @@
 """Splitting of oversized texts at natural boundaries, by packing a structure tree.
 
-A text's structure is a tree: sections under headings of levels 1 to 6, paragraphs, lines and
-list items, indented lines and lines of fenced code, sentences, words, characters. Only nodes
+A text's structure is a tree: sections under headings of levels 1 to 6 (of markdown or HTML),
+blocks and paragraphs, lines, list items and table rows, those nested in them by indentation or by
+nested lists and cells, lines of fenced code, sentences, words, characters. Only nodes
 over the limit are taken apart, and the parts of such a node are merged again with their
 siblings, from below, as far as they fit.
 """
@@ -19,37 +20,79 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.tokens import LEAF, TOKENIZERS, Encoder, encoder
 
-LEVELS = ("", "heading 1", "heading 2", "heading 3", "heading 4", "heading 5", "heading 6", "paragraph", "line", "inner line", "sentence", "word", "character")
-_PARAGRAPH, _LINE, _INNER, _SENTENCE, _WORD, _CHARACTER = range(7, 13)
+LEVELS = ("", "heading 1", "heading 2", "heading 3", "heading 4", "heading 5", "heading 6", "paragraph", "line", "inner line", "inner line 2", "inner line 3", "sentence", "word", "character")
+_PARAGRAPH, _LINE, _INNER, _, _DEEPEST, _SENTENCE, _WORD, _CHARACTER = range(7, 15)
 _LINE_START = re.compile(r"(?:\r\n|[\n\r  ])(?:[ \t]*(?:\r\n|[\n\r  ]))*")
+_INDENT = re.compile(r"[ \t]*")
 _HEADING = re.compile(r"(#{1,6})[ \t]")
+#: opening tags of markup that begin a part; lists are followed into each other
+_TAG = re.compile(r"<(/?)(?:(h[1-6])|(ul|ol)|(p|div|section|article|header|footer|main|table|blockquote|pre|dl)|(li|tr|dt)|(td|th|dd))\b[^<>]*>", re.I)
 _SENTENCE_END = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”]?")
 _WORD_START = re.compile(r"\s+")
 
 
 def _structure(text: str) -> tuple[list[int], list[int]]:
-    """Places where a line or more begins, and the level of each."""
-    at, level = [], []
-    fence = text.startswith("```")
+    """Places where a line, a tag's part or more begins, and the level of each."""
+    found: dict[int, int] = {}
+    fenced: list[tuple[int, int]] = []
+    fence = 0 if text.startswith("```") else None
+    indents: list[int] = []
     for m in _LINE_START.finditer(text):
         i = m.end()
         if i >= len(text):
             break
         blank = len(_LINE_START.match(m.group()).group().splitlines()) > 1
         if text.startswith("```", i):
-            kind = _INNER if fence else (_PARAGRAPH if blank else _LINE)
-            fence = not fence
-        elif fence:
+            kind = _INNER if fence is not None else (_PARAGRAPH if blank else _LINE)
+            if fence is None:
+                fence = i
+            else:
+                fenced.append((fence, i))
+                fence = None
+        elif fence is not None:
             kind = _INNER
         elif h := _HEADING.match(text, i):
             kind = len(h.group(1))
-        elif blank:
+        else:
+            # an indented line lies within the nearest one above that is less indented
+            white = _INDENT.match(text, i).group()
+            columns = len(white.expandtabs(4))
+            while indents and indents[-1] >= columns:
+                indents.pop()
+            depth = len(indents) if indents or columns == 0 else 1
+            indents.append(columns)
+            kind = _PARAGRAPH if blank and not columns else min(_LINE + depth, _DEEPEST)
+        found[i] = kind
+    if fence is not None:
+        fenced.append((fence, len(text)))
+    if "<" in text:
+        _tags(text, fenced, found)
+    return [list(x) for x in zip(*sorted(found.items()), strict=True)] if found else ([], [])
+
+
+def _tags(text: str, fenced: list[tuple[int, int]], found: dict[int, int]) -> None:
+    """Adds the places of tags outside fenced code; where a line begins too, the higher level holds."""
+    lists, k = 0, 0
+    for m in _TAG.finditer(text):
+        i = m.start()
+        while k < len(fenced) and fenced[k][1] < i:
+            k += 1
+        if k < len(fenced) and fenced[k][0] <= i:
+            continue
+        closing, heading, listed, block, item, cell = m.groups()
+        if listed:
+            lists = max(0, lists + (-1 if closing else 1))
+        if closing or not i:
+            continue
+        if heading:
+            kind = int(heading[1])
+        elif block or (listed and lists == 1):
             kind = _PARAGRAPH
+        elif cell:
+            kind = _INNER
         else:
-            kind = _INNER if text[i] in " \t" else _LINE
-        at.append(i)
-        level.append(kind)
-    return at, level
+            kind = min(_LINE + max(0, lists - 1), _DEEPEST)
+        found[i] = min(kind, found.get(i, kind))
 
 
 def _finer(text: str, a: int, b: int, level: int) -> list[int]:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from prefweave.llm.leak import Automaton, Items, leaks, without_leaks
 from prefweave.llm.pairs import Rules, broken_pairs, defect, is_refusal, is_truncated
 from prefweave.llm.repetition import Limits, host_verdicts, measure, repeated_words, repetition
-from prefweave.llm.split import pieces_of, split_texts
+from prefweave.llm.split import _structure, LEVELS, pieces_of, split_texts
 from prefweave.llm.tokens import _kind, encode_corpus, encoder, halves, must_split
 
 WORD = re.compile(r"[^\W_]+")
@@ -169,6 +169,26 @@ def test_automaton_knows_every_part():
 # ---- splitting
 
 
+def levels_of(text):
+    return [(text[i:].split("\n")[0][:12], LEVELS[k]) for i, k in zip(*_structure(text), strict=True)]
+
+
+def test_structure_of_nested_lists_and_markup():
+    assert levels_of("a\n- b\n  - c\n    - d\n  - e\n- f\n\n    code\n\n# g") == [("- b", "line"), ("  - c", "inner line"), ("    - d", "inner line 2"), ("  - e", "inner line"), ("- f", "line"), ("    code", "inner line"), ("# g", "heading 1")]
+    html = "<h2>t</h2><p>x</p><ul><li>a<ul><li>b</li></ul></li><li>c</li></ul><table><tr><td>1</td></tr></table>"
+    assert [k for _, k in levels_of(html)] == ["paragraph", "paragraph", "line", "inner line", "inner line", "line", "paragraph", "line", "inner line"]
+    assert levels_of("```\n<p>\n# x\n```\n<p>y") == [("<p>", "inner line"), ("# x", "inner line"), ("```", "inner line"), ("<p>y", "paragraph")]
+    assert levels_of("") == levels_of("1 < 2 and <b>bold</b>") == []
+
+
+def test_markup_is_cut_at_rows():
+    e = encoder("byte_bpe_50k")
+    row = "<tr><td>some cell with words</td><td>another cell with words</td></tr>"
+    text = "<table>" + row * 60 + "</table>"
+    own = pieces_of(text, e, 128, 0)
+    assert len(own) > 5 and all(text.startswith("<tr>", a) for _, a, *_ in own[1:]) and "".join(text[x:b] for _, x, b, *_ in own) == text
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from([*PIECES, "word ", "Sentence one. ", "# Head\n\n", "\n\n", "- item\n", "```\n", "line\n"]), max_size=150), st.sampled_from([20, 33, 64]))
 def test_pieces_keep_the_text(parts, limit):
