@@ -31,6 +31,19 @@ def finite(*columns: str) -> Column:
     return ok
 
 
+def aligned_scores(key: str, methods: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """(key, and a column for each method): the methods' scores side by side, turned so that higher means the same.
+
+    ``methods``: each one's rows (one for a key) and its aligned score, such as ``6 - rating``. Keys that
+    some method lacks have a null there; null keys are left out. NaN and infinities stay as they are.
+    """
+    out = None
+    for name, (df, score) in methods.items():
+        own = df.where(F.col(key).isNotNull()).select(key, score.cast("double").alias(name))
+        out = own if out is None else out.join(own, key, "full_outer")
+    return out
+
+
 def ranked(df: DataFrame, by: str, columns: list[str], suffix: str = "_below") -> DataFrame:
     """``df`` with, for each column, the rows of the same ``by`` below its value and (``_ties``) those equal to it."""
     for c in columns:

@@ -194,9 +194,10 @@ def f15_signed(spark: SparkSession, d: str) -> DataFrame:
 
 def _methods(spark: SparkSession, d: str) -> DataFrame:
     """The four methods' scores of every pair, aligned in sign; null where missing."""
-    p = inputs.ratings(spark, d).select("row_index", (6 - F.col("autorater_score")).alias("autorater"))
-    s = scoring.valid_scores(inputs.scores(spark, d)).select("row_index", (-F.col("score")).alias("lls"))
-    return p.join(s, "row_index", "left").join(inputs.vectors(spark, d), "row_index", "left")
+    rated, v = inputs.ratings(spark, d), inputs.vectors(spark, d)
+    lls = scoring.valid_scores(inputs.scores(spark, d))
+    methods = {"autorater": (rated, 6 - F.col("autorater_score")), "lls": (lls, -F.col("score")), "persona_vector": (v, F.col("persona_vector")), "feedback_vector": (v, F.col("feedback_vector"))}
+    return correlate.aligned_scores("row_index", methods).join(rated.select("row_index"), "row_index", "left_semi")
 
 
 _METHODS = "meth as (select p.row_index, 6 - p.autorater_score as autorater, case when not coalesce(l.skip, false) then -l.score end as lls, v.persona_vector, v.feedback_vector from pairs p left join lls l using (row_index) left join vecs v using (row_index))"
@@ -437,6 +438,12 @@ def a14_variation(spark: SparkSession, d: str) -> DataFrame:
     return _variation(spark, d).select("instruction", "score_name", "n", "low", "high", "spread", F.size("values").cast("bigint").alias("n_values"))
 
 
+@query(sql("select v.instruction, v.score_name, p.checkpoint, cs.score from v cross join (select distinct checkpoint from cs) p left join cs on cs.instruction = v.instruction and cs.score_name = v.score_name and cs.checkpoint = p.checkpoint", "cs", "var"))
+def j11_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Every instruction's score at every checkpoint, null where it has none."""
+    return _variation(spark, d).select("instruction", "score_name", F.explode("values").alias("checkpoint", "score"))
+
+
 @query(sql("select instruction, widest_score, spread from w", "cs", "var"))
 def a15_widest(spark: SparkSession, d: str) -> DataFrame:
     return evals.widest(_variation(spark, d), ["flattery", "concern"])
