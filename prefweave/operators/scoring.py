@@ -92,6 +92,17 @@ def called(call: Callable[[object], object], source: str, target: str, attempts:
     return run
 
 
+def halving(call: Callable[[list], list], items: list, on: tuple[type[Exception], ...] = (MemoryError,)) -> list:
+    """``call`` of all items at once, or of halves of them where it fails for want of room; one item alone must fit."""
+    try:
+        return call(items)
+    except on:
+        if len(items) < 2:
+            raise
+    half = len(items) // 2
+    return halving(call, items[:half], on) + halving(call, items[half:], on)
+
+
 def in_order(choices: list[dict], expected: int) -> list[dict]:
     """A server's choices by their index; another number than expected is an error."""
     if len(choices) != expected:

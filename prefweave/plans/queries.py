@@ -105,6 +105,36 @@ def k05_two_files(spark: SparkSession, d: str) -> DataFrame:
     return n(a, "whole").unionByName(n(b, "prefix"))
 
 
+@query(sql("select row_index, autorater_score from pairs", "pairs"))
+def k02_append(spark: SparkSession, d: str) -> DataFrame:
+    """A log written in two parts, the second behind the first."""
+    path = _folder(spark)
+    rated = inputs.ratings(spark, d).select("row_index", "autorater_score")
+    files.write_jsonl(rated.where("row_index % 3 = 0"), path)
+    files.write_jsonl(rated.where("row_index % 3 <> 0"), path, mode="append")
+    return files.read_jsonl(spark, path, "row_index bigint, autorater_score int")
+
+
+@query(sql("select 'counts' as report, count(*) as n from pairs union all select 'ends', count(*) from pairs where autorater_score in (1, 5) union all select 'unrated', count(*) from pairs where autorater_score is null", "pairs"))
+def k06_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Three reports written side by side and read again."""
+    path, rated = _folder(spark), inputs.ratings(spark, d).select("row_index", "autorater_score")
+    files.write_reports({"counts": rated, "ends": rated.where("autorater_score in (1, 5)"), "unrated": rated.where("autorater_score is null")}, path)
+    read = [files.read_jsonl(spark, f"{path}/{name}", "row_index bigint, autorater_score int").agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n")) for name in ("counts", "ends", "unrated")]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@query(sql("select key, score_a as score, bias_type from m", "run_a", "run_b", "m"))
+def s11_json_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one JSON array each, read as rows with their episode key."""
+    path, m = _folder(spark), _matched(spark, d)
+    rows = m.select(F.substring_index("key", "_", 1).alias("id"), F.lit(1).alias("epoch"), F.struct("bias_type").alias("metadata"), F.col("score_a").alias("score"))
+    # a line of text for each file; the arrays are small
+    arrays = rows.groupBy((F.col("id").cast("int") % 5).alias("part")).agg(F.to_json(F.collect_list(F.struct("id", "epoch", "metadata", "score"))).alias("value"))
+    arrays.repartition("part").select("value", "part").write.partitionBy("part").text(path)
+    return files.read_json_array(spark, path, "id string, epoch int, metadata struct<bias_type:string>, score double").select("key", "score", "metadata.bias_type")
+
+
 # ---- chats and predicates
 
 _VALID = "len({0}) >= 2 and {0}[1].content is not null and {0}[-1].role = 'assistant' and {0}[-1].content <> ''"

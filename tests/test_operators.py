@@ -550,3 +550,21 @@ def test_positions_in_groups(spark):
 def test_text_table_of_no_rows(spark):
     df = frame(spark, [], "a string")
     assert rows(report.text_table(df, {"name": F.col("a")}, ["a"])) == [(0, "name"), (1, "----")]
+
+
+def test_halving():
+    def call(x):
+        if len(x) > 3 or 13 in x:
+            raise MemoryError
+        return [i * 2 for i in x]
+
+    assert scoring.halving(call, list(range(11))) == [i * 2 for i in range(11)] and scoring.halving(call, []) == []
+    with pytest.raises(MemoryError):
+        scoring.halving(call, list(range(20)))
+
+
+def test_aligned_scores(spark):
+    a = frame(spark, [(1, 5), (2, None), (None, 1)], "k bigint, r int")
+    b = frame(spark, [(1, 0.5), (3, float("nan"))], "k bigint, s double")
+    got = {r["k"]: (r["a"], r["b"]) for r in correlate.aligned_scores("k", {"a": (a, 6 - F.col("r")), "b": (b, -F.col("s"))}).collect()}
+    assert got[1] == (1.0, -0.5) and got[2] == (None, None) and got[3][0] is None and math.isnan(got[3][1]) and len(got) == 3
