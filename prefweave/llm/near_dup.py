@@ -45,6 +45,7 @@ _MASK48 = np.uint64((1 << 48) - 1)
 _FP = np.int64((1 << 48) - 1)  #: bits of a digest that entries carry
 _PAIRS = 1 << 19  #: pairs looked at together
 _COUNTERS = 128  #: of a set's signature
+_TASKS = 20_000  #: most tasks of the join of buckets
 _FLUSH = 1 << 20  #: entries that a task gathers before it hands them on
 
 
@@ -325,12 +326,12 @@ class Tree:
         for x in (top >> np.uint64(1), top, *self.path, low[o] >> np.uint64(32)):
             new = new | np.concatenate([[True], x[1:] != x[:-1]])
             self.start.append(np.flatnonzero(new))
+            if len(self.start) > 1:
+                # of each node above, its first child; the last bound ends the last node
+                self.child.append(np.append((np.cumsum(new) - 1)[self.start[-2]], len(self.start[-1])))
         n = len(size)
         self.least, self.most, self.ahead = ([f.reduceat(x, s) for s in self.start] for f, x in ((np.minimum, self.size), (np.maximum, self.size), (np.maximum, self.rest)))
         self.end = [np.append(s[1:], n) for s in self.start]
-        for level in range(PATH + 2):
-            # of each node, its first child; the last bound ends the last node
-            self.child.append(np.append(np.searchsorted(self.start[level + 1], self.start[level]), len(self.start[level + 1])))
         #: sizes ascend within the nodes of the last level
         self.leaf = np.repeat(np.arange(len(self.start[-1])), self.end[-1] - self.start[-1])
         self.place = (self.leaf << 32) | size[o]
@@ -345,7 +346,15 @@ def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[n
     if len(e["fp"]) < 2:
         return
     t, u = float(threshold), float(threshold / (1 + threshold))
-    tree = Tree(e, u)
+    # a run that comes once has no pair
+    order = np.argsort(e["run"], kind="stable")
+    run = e["run"][order]
+    same = np.flatnonzero(run[1:] == run[:-1])
+    several = np.zeros(len(run), bool)
+    several[same] = several[same + 1] = True
+    if not len(same):
+        return
+    tree = Tree({c: v[order[several]] for c, v in e.items()}, u)
 
     def bounded(level: int, a: np.ndarray, b: np.ndarray, lost_a: np.ndarray, lost_b: np.ndarray) -> np.ndarray:
         """May anything below the two nodes be similar?"""
@@ -362,7 +371,8 @@ def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[n
         for p in _between(na * nb, _PAIRS):
             o, i = _expand((na * nb)[p])
             o += p.start
-            x, y = first[a[o]] + i // nb[o], first[b[o]] + i % nb[o]
+            u_, v_ = np.divmod(i.astype(np.int32), nb[o].astype(np.int32))
+            x, y = first[a[o]] + u_, first[b[o]] + v_
             ok = (a[o] != b[o]) | (x <= y)
             # an entry alone in its node has no pair there
             ok &= (x != y) | (tree.end[level + 1][x] - tree.start[level + 1][x] > 1)
@@ -423,16 +433,24 @@ def tree_join(e: dict[str, np.ndarray], threshold: Fraction) -> Iterator[tuple[n
 
 
 def _candidates(threshold: Fraction) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs from packed rows in order of their buckets; a task holds one bucket at a time."""
+
+    def pairs(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for a, b in tree_join({c: np.concatenate([p[c] for p in parts]) for c in parts[0]}, threshold):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_a", "fp_b"])
+
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a task has one bucket, or several whose runs differ
-        parts: dict[str, list[np.ndarray]] = {c: [] for c, _ in ENTRY}
+        parts: list[dict[str, np.ndarray]] = []
+        now = None
         for batch in batches:
-            for data in batch.column("data"):
-                for c, x in _unpacked(memoryview(data.as_buffer())).items():
-                    parts[c].append(x)
-        if parts["fp"]:
-            for a, b in tree_join({c: np.concatenate(x) for c, x in parts.items()}, threshold):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["fp_a", "fp_b"])
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+                if parts and bucket != now:
+                    yield from pairs(parts)
+                    parts = []
+                now = bucket
+                parts.append(_unpacked(memoryview(data.as_buffer())))
+        if parts:
+            yield from pairs(parts)
 
     return joined
 
@@ -470,7 +488,10 @@ def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join | N
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / join.entries))
     order = spark.sparkContext.broadcast(_sketch(survey, join))
     own = df.where(F.col(key).isNotNull())
-    found = packed_entries(own, text_columns, join, order, buckets).repartitionById(buckets, F.col("bucket")).mapInArrow(_candidates(join.threshold), "fp_a bigint, fp_b bigint")
+    # a task has one bucket, or of very many buckets several in turn
+    tasks = min(buckets, _TASKS)
+    packed = packed_entries(own, text_columns, join, order, buckets).repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    found = packed.mapInArrow(_candidates(join.threshold), "fp_a bigint, fp_b bigint")
 
     share = float(join.threshold / (1 + join.threshold))
 

@@ -72,6 +72,13 @@ def test_edges(spark):
     assert similar_pairs(frame(spark, records).where("row_index > 9"), "row_index", ["chosen"], Join(**SMALL)).count() == 0
 
 
+def test_several_buckets_to_a_task(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "_TASKS", 3)
+    records = corpus(8)
+    got = similar_pairs(frame(spark, records), "row_index", ["chosen", "rejected"], Join(k=3, threshold=Fraction(1, 2), slices=3, entries=20, **SMALL))
+    assert {tuple(r) for r in got.collect()} == brute(records, 3, Fraction(1, 2))
+
+
 def test_a_large_class_keeps_all_its_links(spark):
     text = "one two three four five six seven eight"
     records = [(i, chat(text + "!" * (i % 9)), None) for i in range(30)] + [(100, chat(text + " nine"), None)]
