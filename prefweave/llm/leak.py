@@ -197,9 +197,9 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
-            ids = [b[0] for b in sent.value]
-            known = _items(tuple(b[1] for b in sent.value), least)
             for batch in batches:
+                ids, texts = zip(*sent.value, strict=True)
+                known = _items(texts, least)
                 best: dict[tuple[int, int], int] = {}
                 for t, _, _, found, n in known.scan(batch.column("text").to_pylist()):
                     for i in found:
@@ -226,8 +226,8 @@ def without_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], sent: object = sent) -> Iterator[pa.RecordBatch]:
-            known = _items(tuple(b[1] for b in sent.value), least)
             for batch in batches:
+                known = _items(tuple(b[1] for b in sent.value), least)
                 found = [(t, a, b) for t, a, b, hit, n in known.scan(batch.column("text").to_pylist()) if any(n >= least_coverage * known.size[i] for i in hit)]
                 if found:
                     t, a, b = zip(*_merged(sorted(set(found))), strict=True)

@@ -23,39 +23,45 @@ from prefweave.llm.leak import Automaton
 # Phrases by which an answer declines, and sentences that may accompany them.
 REFUSALS = """
 can't help with|cannot help with|can not help with|can't help you|cannot help you|can't provide|cannot provide|can't assist|cannot assist|can't answer|cannot answer|can't comply|cannot comply|can't discuss|cannot discuss|can't do that|cannot do that|can't comment|cannot comment|can't share|cannot share
-i'm unable to|i am unable to|i'm not able to|i am not able to|not possible for me|must decline|have to decline|i decline|must refuse|have to refuse|i refuse|have to pass on|won't be answering|will not be answering|won't answer|will not answer|won't help|will not help|would rather not|i'd rather not|prefer not to|i do not discuss|i don't discuss|falls outside what i|outside what i may|not comfortable|against my guidelines|not something i can|not something i'm|not something i am|isn't something i|beyond what i'm|beyond what i am|beyond what i can|outside of my abilities|outside my abilities|beyond my abilities|outside of my scope|outside my scope|beyond my capabilities|outside my capabilities|would be inappropriate
-kann ich nicht helfen|kann ich leider nicht|kann dir nicht helfen|kann ihnen nicht helfen|kann dabei nicht|nicht weiterhelfen|muss ich leider ablehnen|muss ich ablehnen|muss leider ablehnen|lehne ich ab|darf ich mich nicht|darf ich nicht|nicht beantworten|möchte ich nicht|möchte mich nicht|ist mir nicht möglich|ich nicht in der lage|übersteigt meine möglichkeiten|außerhalb meiner möglichkeiten
-no puedo ayudar|no puedo responder|no puedo contestar|no puedo proporcionar|no puedo comentar|no puedo hacer eso|no me es posible|no es posible para mí|tengo que rechazar|debo rechazar|debo negarme|prefiero no|no estoy en condiciones|me niego a|fuera de mis posibilidades|más allá de mis capacidades
-je ne peux pas|je ne puis|je dois refuser|je dois décliner|je refuse|je préfère ne pas|il ne m'est pas possible|il m'est impossible|je ne suis pas en mesure|je ne suis pas autorisé|dépasse ce que je peux|au-delà de ce que je peux|hors de mes compétences|hors de mes capacités
-не могу с этим помочь|не могу помочь|не могу ответить|не могу вам помочь|я вынужден отказаться|я вынуждена отказаться|должен отказаться|нельзя отвечать|мне нельзя|не буду отвечать|отказываюсь|предпочту не|не имею возможности|не в состоянии|выходит за рамки моих|за пределами моих возможностей
+i'm unable to|i am unable to|i'm not able to|i am not able to|not possible for me|must decline|have to decline|i decline|must refuse|have to refuse|i refuse|have to pass on|won't be answering|will not be answering|won't answer|will not answer|won't help|will not help|would rather not|i'd rather not|prefer not to|i do not discuss|i don't discuss|falls outside what i|outside what i may|not comfortable|against my guidelines|not something i can|not something i'm|not something i am|isn't something i|beyond what i'm|beyond what i am|beyond what i can|outside of my abilities|outside my abilities|beyond my abilities|outside of my scope|outside my scope|beyond my capabilities|outside my capabilities|would be inappropriate|off limits for me|off-limits for me|against my policy|against our policy|against my principles|prefer to stay neutral|prefer to remain neutral|rather stay neutral|rather remain neutral
+kann ich nicht helfen|kann ich leider nicht|kann dir nicht helfen|kann ihnen nicht helfen|kann dabei nicht|nicht weiterhelfen|muss ich leider ablehnen|muss ich ablehnen|muss leider ablehnen|lehne ich ab|darf ich mich nicht|darf ich nicht|nicht beantworten|möchte ich nicht|möchte mich nicht|ist mir nicht möglich|ich nicht in der lage|übersteigt meine möglichkeiten|außerhalb meiner möglichkeiten|übersteigt meine
+no puedo ayudar|no puedo responder|no puedo contestar|no puedo proporcionar|no puedo comentar|no puedo hacer eso|no me es posible|no es posible para mí|tengo que rechazar|debo rechazar|debo negarme|prefiero no|no estoy en condiciones|me niego a|fuera de mis posibilidades|más allá de mis capacidades|fuera de lo que puedo
+je ne peux pas|je ne puis|je dois refuser|je dois décliner|je refuse|je préfère ne pas|il ne m'est pas possible|il m'est impossible|je ne suis pas en mesure|je ne suis pas autorisé|dépasse ce que je peux|au-delà de ce que je peux|hors de mes compétences|hors de mes capacités|il ne m'appartient pas|m'est impossible|m'est interdit
+не могу с этим помочь|не могу помочь|не могу ответить|не могу вам помочь|я вынужден отказаться|я вынуждена отказаться|должен отказаться|нельзя отвечать|мне нельзя|не буду отвечать|отказываюсь|предпочту не|не имею возможности|не в состоянии|выходит за рамки моих|за пределами моих возможностей|не входит в мои обязанности
 """
 # By language, who declines, how, and what is declined, in this order within a sentence. No
-# subject: the verb has it. A "+" marks a way of declining that needs no act.
+# subject: the verb has it. A "+" marks a way of declining that needs no act. With a word of regret,
+# listed last, no act is needed either.
 DECLINING = {
     "en": (
         "i|i'm|i'll|i'd|we|we're",
-        "can't|cannot|can not|could not|couldn't|won't|will not|not able to|unable to|not willing to|unwilling to|not permitted to|not allowed to|not going to|not in a position to|not authorised to|not authorized to|not at liberty to|not prepared to|don't think i should|do not think i should|should not|shouldn't|must refrain from|have to refrain from|choose not to|prefer not to|rather not|+must decline|+have to decline|+need to decline|+decline to|+declining to|+decline this|+decline that|+respectfully decline|+refuse to|+must refuse|+say no to|+turn this down|+turn that down|+turn down|+have to pass on|+not comfortable|refrain from|+do not take positions|+don't take positions|+do not give opinions|+don't give opinions",
-        "help|assist|answer|answering|respond|responding|reply|comment|commenting|discuss|discussing|weigh in|opinion|opinions|a view|comply|fulfil|fulfill|complete|do that|do this|do so|go into|talk about|speak about|speak to|write that|write this|provide|providing|share|offer|offering|engage|advise|support|fulfilling|continue with|proceed|accommodate|address that|address this|carry out|grant",
+        "can't|cannot|can not|could not|couldn't|won't|will not|not able to|unable to|not willing to|unwilling to|not permitted to|not allowed to|not going to|not in a position to|not authorised to|not authorized to|not at liberty to|not prepared to|don't think i should|do not think i should|should not|shouldn't|must refrain from|have to refrain from|choose not to|choosing not to|won't be|will not be|not inclined to|not free to|not qualified to|prefer not to|rather not|+must decline|+have to decline|+need to decline|+decline to|+declining to|+decline this|+decline that|+respectfully decline|+refuse to|+must refuse|+say no to|+must say no|+have to say no|+turn this down|+turn that down|+turn down|+have to pass on|+not comfortable|refrain from|+do not take positions|+don't take positions|+do not give opinions|+don't give opinions",
+        "help|assist|answer|answering|respond|responding|reply|comment|commenting|discuss|discussing|weigh in|opinion|opinions|a view|comply|fulfil|fulfill|complete|do that|do this|do so|go into|talk about|speak about|speak to|write that|write this|provide|providing|share|offer|offering|engage|advise|support|fulfilling|continue with|proceed|accommodate|address that|address this|carry out|grant|evaluate|evaluating|judge|judging|process|give|giving|feedback|recommend|review|analyse|analyze|get into|touch on|say more|take part|take sides|perform|oblige|continue",
+        "sorry|apologies|apologise|apologize|unfortunately|regret|regrettably|regretfully|afraid|forgive me|pardon",
     ),
     "de": (
         "ich|mir",
-        "nicht|keine|keinen|kein|+ablehnen|+zurückweisen|+verweigern|+absagen|+nicht gestattet|+nicht erlaubt|+untersagt",
-        "helfen|weiterhelfen|behilflich|beantworten|antworten|äußern|äussern|erfüllen|nachkommen|sprechen|besprechen|auskunft|stellung|stellungnahme|meinung|eingehen|kommentieren|unterstützen|tun|dienen|beraten|diskutieren|bearbeiten|ausführen|antwort",
+        "nicht|nichts|keine|keinen|kein|+lehne|+ablehnen|+zurückweisen|+verweigern|+absagen|+nicht gestattet|+nicht erlaubt|+untersagt",
+        "helfen|weiterhelfen|behilflich|beantworten|antworten|äußern|äussern|erfüllen|nachkommen|sprechen|besprechen|auskunft|stellung|stellungnahme|meinung|eingehen|kommentieren|unterstützen|tun|dienen|beraten|diskutieren|bearbeiten|ausführen|antwort|sagen|abgeben|bewerten|beurteilen|schreiben|mitteilen|weiterführen",
+        "leid|leider|entschuldigung|entschuldige|entschuldigen|bedaure|bedauere|bedauerlicherweise|verzeihung|verzeih",
     ),
     "fr": (
         "je|j'|il m'|m'",
-        "ne peux|ne puis|ne pourrai|ne souhaite|ne veux|ne vais|ne suis pas|ne serai pas|n'ai pas le droit|préfère ne|+je refuse|+dois refuser|+dois décliner|+m'abstenir|+m'est interdit|+m'est impossible|+décline",
-        "aider|aide|répondre|réponse|parler|discuter|commenter|faire cela|faire ça|le faire|accéder|satisfaire|avis|fournir|aborder|donner suite|traiter|prononcer|exprimer|opinion|mesure|autorisé|autorisée|habilité",
+        "ne peux|ne puis|ne pourrai|ne souhaite|ne veux|ne vais|ne suis pas|ne serai pas|ne donnerai|ne répondrai|ne ferai|+décliner|+rester neutre|n'ai pas le droit|préfère ne|+je refuse|+dois refuser|+dois décliner|+m'abstenir|+m'est interdit|+m'est impossible|+décline",
+        "aider|aide|répondre|réponse|parler|discuter|commenter|faire cela|faire ça|le faire|accéder|satisfaire|avis|fournir|aborder|donner suite|traiter|prononcer|exprimer|opinion|mesure|autorisé|autorisée|habilité|écrire|juger|évaluer|donner|dire",
+        "désolé|désolée|excuse|excuser|excusez|malheureusement|regrette|navré|navrée|pardon",
     ),
     "es": (
         "",
-        "no puedo|no podré|no podría|no voy a|no estoy|no me está permitido|no me es posible|no se me permite|no quiero|no debo|no deseo|prefiero no|temo que no|+debo declinar|+debo rechazar|+tengo que declinar|+tengo que rechazar|+me niego|+debo negarme|+declino|+prefiero abstenerme",
-        "ayudar|ayudarte|ayudarle|ayudarlo|responder|responderte|contestar|hablar|opinar|comentar|hacerlo|hacer eso|hacer esto|atender|proporcionar|cumplir|discutir|ofrecer|dar mi opinión|pronunciarme|tratar|autorizado|autorizada|compartir|realizar|escribir",
+        "no puedo|no podré|no tengo permitido|no tengo permiso|preferiría no|no podría|no voy a|no estoy|no me está permitido|no me es posible|no se me permite|no quiero|no debo|no deseo|prefiero no|temo que no|+debo declinar|+debo rechazar|+tengo que declinar|+tengo que rechazar|+me niego|+me veo obligado a|+me veo obligada a|+debo negarme|+declino|+prefiero abstenerme",
+        "ayudar|ayudarte|ayudarle|ayudarlo|responder|responderte|contestar|hablar|opinar|comentar|hacerlo|hacer eso|hacer esto|atender|proporcionar|cumplir|discutir|ofrecer|dar mi opinión|pronunciarme|tratar|autorizado|autorizada|compartir|realizar|escribir|opinión|evaluar|juzgar|dar|darte|darle|seguir|participar",
+        "siento|lamento|lamentablemente|desafortunadamente|perdón|perdona|perdone|disculpa|disculpe|disculpas|desgraciadamente",
     ),
     "ru": (
         "",
         "не могу|не смогу|не стану|не буду|не хочу|не вправе|не имею права|не готов|не готова|мне не разрешено|мне не позволено|мне нельзя|не в состоянии|предпочитаю не|предпочту не|+отказываюсь|+вынужден отказать|+вынуждена отказать|+вынужден отклонить|+вынуждена отклонить|+должен отказать|+воздержусь|+предпочту воздержаться",
-        "помочь|помогать|ответить|отвечать|обсуждать|комментировать|говорить|делать|выполнить|выполнять|сделать|обсудить|высказываться|высказать|дать ответ|поддержать|предоставить|рассуждать|писать|прокомментировать|советовать|посоветовать",
+        "помочь|помогать|ответить|отвечать|обсуждать|комментировать|говорить|делать|выполнить|выполнять|сделать|обсудить|высказываться|высказать|дать ответ|поддержать|предоставить|рассуждать|писать|прокомментировать|советовать|посоветовать|оценивать|оценить|дать|давать|судить|рассказывать|рассказать|продолжать|участвовать",
+        "извини|извините|прости|простите|сожалению|сожалею|прощения|увы",
     ),
 }
 COURTESIES = """
@@ -140,19 +146,23 @@ def _declines(sentence: str) -> bool:
         return True
     # of each language, the steps taken so far, and where the last one ended
     taken = {lang: (0 if lists[0] else 1, 0) for lang, lists in DECLINING.items()}
+    regret: set[str] = set()
     for end, found in acts.iter(sentence):
         after = sentence[end + 1 : end + 2]
         for lang, step, enough, size in found:
             at = end + 1 - size
             if (at and sentence[at - 1].isalnum()) or (after.isalnum() and sentence[end] != "'"):
                 continue  # a part of a word
+            if step == 3:
+                regret.add(lang)
+                continue
             steps, last = taken[lang]
             # the next step, if near enough, or the last one once more
             if step == steps and (not last or at - last <= _APART) or step == steps - 1 and last:
                 if step == 2 or enough:
                     return True
                 taken[lang] = (step + 1, end + 1)
-    return False
+    return any(taken[lang][0] == 2 for lang in regret)
 
 
 @lru_cache(1)

@@ -31,13 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """By code point: is it a letter or digit; the hash of its lower case."""
-    n = 0x110000
-    alnum = np.fromiter((chr(i).isalnum() for i in range(n)), bool, n)
-    lower = np.arange(n, dtype=np.uint64)
-    for i in np.flatnonzero(alnum):
-        c = chr(i)
-        if (low := c.lower()) != c:
-            lower[i] = ord(low[0])
+    points = np.arange(0x110000, dtype=np.uint32)
+    alnum = np.strings.isalnum(points.view("<U1"))
+    lower = points.astype(np.uint64)
+    lower[alnum] = np.strings.lower(points[alnum].view("<U1")).astype("<U1").view(np.uint32)
     return alnum, mix(lower + np.uint64(0x51ED27)) | np.uint64(1)
 
 

@@ -296,10 +296,10 @@ def test_refusals_by_subject_negation_and_act():
     for no in (
         "I'm afraid I can't do this for you.", "I won't be able to assist with this.", "I must respectfully refrain from offering an opinion here.", "Regrettably, I cannot fulfil this request.",
         "Dabei kann ich Ihnen nicht behilflich sein.", "Leider muss ich diese Bitte zurückweisen.", "Je ne souhaite pas répondre à cette question.", "No estoy autorizado para responder a esa pregunta.",
-        "Я не стану отвечать на этот вопрос.", "Мне не разрешено обсуждать эту тему.",
+        "Я не стану отвечать на этот вопрос.", "Мне не разрешено обсуждать эту тему.", "I apologize, but I cannot generate that content.", "К сожалению, помочь не могу.",
     ):
         assert is_refusal(no), no
-    for answer in ("He said he could not help them.", "The law does not allow you to answer for others.", "I would not go into the forest alone.", "I don't share that view, because the bridge was safe.", "Ich war nicht dort.", "No, the bridge was not closed."):
+    for answer in ("He said he could not help them.", "The law does not allow you to answer for others.", "I would not go into the forest alone.", "I don't share that view, because the bridge was safe.", "Ich war nicht dort.", "Unfortunately the bridge was closed, because the ice was thin.", "Leider war die Brücke im Winter gesperrt.", "I can't find an error in it.", "No, the bridge was not closed."):
         assert not is_refusal(answer), answer
 
 

@@ -38,3 +38,11 @@ def test_runs_stay_in_one_text():
     h, first = w.runs(got, 3)
     assert first.tolist() == [0, 1, 4] and h[0] == h[2] != h[1]
     assert w.runs(w.words(["a"]), 3)[0].size == 0
+
+
+def test_tables_are_those_of_python():
+    alnum, value = w._tables()
+    every = [chr(i) for i in range(0x110000)]
+    assert alnum.tolist() == [c.isalnum() for c in every]
+    low = np.array([ord(c.lower()[0]) if c.isalnum() else i for i, c in enumerate(every)], np.uint64)
+    assert (value == (w.mix(low + np.uint64(0x51ED27)) | np.uint64(1))).all()
