@@ -922,7 +922,7 @@ def q13_rating_flip_small(spark: SparkSession, d: str) -> DataFrame:
     return _rating_query(spark, d, 1, "flip", 256, 42)
 
 
-@query(sql("select row_index, 0 as layer, i::int as i, coalesce(length(chosen[-1].content), 0) - coalesce(length(rejected[-1].content), 0) * i as v from pairs, range(3) t(i)", "pairs"))
+@query(sql("select row_index, 0 as layer, i::int as i, (coalesce(length(chosen[-1].content), 0) - coalesce(length(rejected[-1].content), 0) * i)::double as v from pairs, range(3) t(i)", "pairs"))
 def m01_embedded(spark: SparkSession, d: str) -> DataFrame:
     """Pairs through a registered stand-in model, which gives vectors of lengths."""
 
@@ -1050,7 +1050,7 @@ def c07_scored(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_index", "skip", F.col("chosen_len").cast("bigint").alias("chosen_len"), F.col("rejected_len").cast("bigint").alias("rejected_len"), *(F.round(c, 6).alias(c) for c in ("base_chosen_logprob", "raw_score")), F.round("score", 8).alias("score"))
 
 
-@query(sql("select row_index, case when length(coalesce(chosen[-1].content, '')) % 7 < 5 then length(coalesce(chosen[-1].content, '')) % 7 + 1 end as rating from pairs", "pairs"))
+@query(sql("select row_index, (case when length(coalesce(chosen[-1].content, '')) % 7 < 5 then length(coalesce(chosen[-1].content, '')) % 7 + 1 end)::int as rating from pairs", "pairs"))
 def m10_rated(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in judge that fails at first on every text, and whose verdict some texts never get."""
     asked: dict[str, int] = {}
