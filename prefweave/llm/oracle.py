@@ -157,7 +157,7 @@ hit as (select distinct doc_id, item_id, i, j from dg join ig using (g)),
 island as (select *, i - row_number() over (partition by doc_id, item_id, i - j order by i) as island from hit),
 longest as (select doc_id, item_id, max(n) + 11 as n from (select doc_id, item_id, count(*) as n from island group by doc_id, item_id, i - j, island) group by all),
 best as (select item_id, count(*) as n_docs, max(n) as longest, max(n / len(w)) as coverage from longest join iw using (item_id) group by item_id)
-select item_id, coalesce(n_docs, 0) as n_docs, coalesce(longest, 0) as longest, round(coalesce(coverage, 0), 8) as coverage from eval_items left join best using (item_id)
+select item_id, coalesce(n_docs, 0) as n_docs, coalesce(longest, 0)::int as longest, round(coalesce(coverage, 0), 8) as coverage from eval_items left join best using (item_id)
 """,
     "p7_cleaned": rf"""
 with {_GRAMS},
