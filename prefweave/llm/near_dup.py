@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from prefweave.llm.bloom import bloom, bloom_size, held
 from prefweave.llm.words import BLOCK_CHARS, blocks, chat_texts, mix, runs, words
+from prefweave.operators.order import joined_back
 from prefweave.operators.tree import gathered, shipped
 from prefweave.session import cut
 
@@ -483,7 +484,7 @@ def linked_sets(df: DataFrame, key: str, text_columns: list[str], join: Join | N
     spark = df.sparkSession
     survey = surveyed(df, key, text_columns, join)
     records = survey.where("block is null")
-    members = records.select("fp", "cls", "key").distinct()
+    members = cut(records.select("fp", "cls", "key").distinct())
     total = records.agg(F.sum(F.col("n") * (1 - float(join.threshold)) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / join.entries))
     order = spark.sparkContext.broadcast(_sketch(survey, join))
@@ -555,8 +556,9 @@ def similar_pairs(df: DataFrame, key: str, text_columns: list[str], join: Join |
 
 def spanning(links: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (x, y) with the components of all pairs: a star in each class, and one pair for each link."""
-    least = members.groupBy("cls").agg(F.min("key").alias("x"))
-    star = members.join(least, "cls").where("key <> x").select("x", F.col("key").alias("y"))
+    least = members.groupBy("cls").agg(F.min("key").alias("x"), F.count(F.lit(1)).alias("n"))
+    star = joined_back(members, least, ["cls"], "n").where("key <> x").select("x", F.col("key").alias("y"))
+    least = least.drop("n")
     across = links.join(least.withColumnRenamed("cls", "cls_a"), "cls_a").join(least.select(F.col("cls").alias("cls_b"), F.col("x").alias("y")), "cls_b").select("x", "y")
     return star.unionByName(across)
 
@@ -579,5 +581,7 @@ def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
         n = to.join(sizes, "other").groupBy(by).agg(F.sum("n").alias("n"))
         return n.unionByName(to.join(keys, "other").groupBy(by).agg(F.count_distinct("k").alias("n"))).groupBy(by).agg((F.sum("n") - 1).alias("n_links"))
 
-    of_single = single.join(reached("cls", near), "cls").select("key", "n_links")
+    # a class of very many members is joined to them by broadcast
+    of_class = reached("cls", near).join(sizes.withColumnRenamed("other", "cls"), "cls")
+    of_single = joined_back(single.select("cls", "key"), of_class, ["cls"], "n").select("key", "n_links")
     return of_single.unionByName(reached("key", several.join(near, "cls").select("key", "other").distinct())).where("n_links > 0")
